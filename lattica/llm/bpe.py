@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, ship
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 LANE = 256
 CACHE_SLICES = 500_000
 LONG_SLICE = 128

@@ -9,6 +9,8 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,17 @@ def id_bucket(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
 
 
+#: Bytes of text that array operations take at a time.
+SLICE_BYTES = 1 << 19
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of consecutive texts of at most ``most`` bytes in total (a longer text alone), each with the place of its first."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for a, b in pieces(sizes, most):
+        yield a, texts.slice(a, b - a)
+
+
 def pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items of at most ``most`` in total; a larger item stands alone."""
     start, total = 0, 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces, ship
+from .common import SLICE_BYTES, checkpointed, pieces, ship, slices
 from .words import hashed, mix, windows
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9995, 6
@@ -28,7 +28,7 @@ def bands_for(similarity: float, recall: float, rows: int) -> int:
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; a text of fewer words has one n-gram, all its words, and none if it has no word."""
     out: list[np.ndarray] = []
-    for a, b in pieces([len(t) for t in texts], 1 << 22):
+    for a, b in pieces([len(t) for t in texts], SLICE_BYTES):
         w = hashed(texts[a:b])
         grams, first = windows(w, size)
         for k in range(b - a):
@@ -162,8 +162,8 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
     @F.arrow_udf("array<bigint>")
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sets = shingle_sets([t.encode() for t in texts.to_pylist()], words)
-            yield pa.array(band_hashes(sets, bands, rows), pa.list_(pa.int64()))
+            parts = [pa.array(band_hashes(shingle_sets([t.encode() for t in some.to_pylist()], words), bands, rows), pa.list_(pa.int64())) for _, some in slices(texts)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
 
     # Equal texts have equal bands, so copies collapse before the shuffle.
     texts = checkpointed(

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship
+from .common import ship, slices
 from .words import WHITE, hashed, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -73,11 +73,11 @@ def judge(raw: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float | None,
 def measure(texts: list[str | None], squeeze: zstandard.ZstdCompressor) -> list[dict]:
     raws = [(t or "").encode() for t in texts]
     out = []
-    for a, b in pieces([len(r) for r in raws], 1 << 22):
-        w = hashed(raws[a:b])
+    if raws:
+        w = hashed(raws)
         triples, first = windows(w, 3)
-        for k, raw in enumerate(raws[a:b]):
-            text = texts[a + k] or ""
+        for k, raw in enumerate(raws):
+            text = texts[k] or ""
             lines = [x for x in raw.split(b"\n") if x.strip(WHITE)]
             n_words = int(w.first[k + 1] - w.first[k])
             repeats = repeat_words(triples[first[k] : first[k + 1]])
@@ -113,7 +113,7 @@ def with_quality(docs: DataFrame, into: str, text_col: str = "text") -> DataFram
     def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
         for texts in batches:
-            yield pa.array(measure(texts.to_pylist(), squeeze), RESULT)
+            yield pa.array([x for _, some in slices(texts) for x in measure(some.to_pylist(), squeeze)], RESULT)
 
     # Named nondeterministic so that a filter on the verdict does not evaluate it a second time.
     return docs.withColumn(into, verdicts.asNondeterministic()(F.col(text_col)))
