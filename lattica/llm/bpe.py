@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces, ship
+from .common import pieces, ship, slices
 
 BATCH_CHARS = 1_000_000
 LANE = 256
-CACHE_SLICES = 500_000
+CACHE_SLICES = 350_000
 LONG_SLICE = 128
 
 # Classes of code points.
@@ -176,29 +177,34 @@ class Codec:
         self.lengths = np.array([len(x) for x in self.vocab], np.uint32)
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.cache: dict[bytes, bytes] = {}
+
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Open table of joinable pairs and their ranks, made when the first slice is merged; decoding needs none."""
         keys, values = [], []
-        for piece, rank in ranks.items():
+        for piece, rank in self.ranks.items():
             for k in range(1, len(piece)):
-                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+                a, b = self.ranks.get(piece[:k]), self.ranks.get(piece[k:])
                 if a is not None and b is not None:
                     keys.append(a * self.size + b)
                     values.append(rank)
-        self._hash(np.array(keys, np.int64), np.array(values, np.int64))
+        return self._hashed(np.array(keys, np.int64), np.array(values, np.int64))
 
-    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Pair ranks in an open table; pairs are found in ``probes`` steps at most."""
+    def _hashed(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs are found in ``probes`` steps at most."""
         self.bits = max(12, int(len(keys) * 4).bit_length())
         mask = (1 << self.bits) - 1
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.size, np.int64)
+        table, found = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.size, np.int32)
         left, self.probes = np.arange(len(keys)), 0
         while len(left):
             at = (self._slot(keys[left]) + self.probes) & mask
-            free = self.keys[at] < 0
-            self.keys[at[free]] = keys[left[free]]
-            won = self.keys[at] == keys[left]
-            self.values[at[won]] = values[left[won]]
+            free = table[at] < 0
+            table[at[free]] = keys[left[free]]
+            won = table[at] == keys[left]
+            found[at[won]] = values[left[won]]
             left = left[~won]
             self.probes += 1
+        return table, found
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -206,14 +212,15 @@ class Codec:
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each joined pair, ``size`` where it is no token (a negative b: none)."""
+        table, ranks = self.pairs
         keys = a * self.size + b
         slot, mask = self._slot(keys), (1 << self.bits) - 1
         out = np.full(keys.shape, self.size, np.int64)
         for k in range(self.probes):
             at = (slot + k) & mask
-            hit = self.keys[at] == keys
-            out[hit] = self.values[at[hit]]
-            if k == 0 and bool((hit | (self.keys[at] < 0)).all()):
+            hit = table[at] == keys
+            out[hit] = ranks[at[hit]]
+            if k == 0 and bool((hit | (table[at] < 0)).all()):
                 break
         out[b < 0] = self.size
         return out
@@ -357,20 +364,34 @@ def codec(path: str) -> Codec:
     return Codec(read_vocabulary(path) if path.endswith(".json") else read_ranks(path))
 
 
-ENCODED = pa.struct([("ids", pa.binary()), ("offsets", pa.binary())])
+def _binary(field: str) -> T.StructField:
+    return T.StructField(field, T.BinaryType())
+
 
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", and_decode: bool = False) -> DataFrame:
+    """id, ``ids`` and ``offsets`` (little-endian 32-bit integers) of every row of ``docs``; other columns are not looked at.
 
-def encoded(text: Column, path: str) -> Column:
-    """Struct of ``ids`` and ``offsets``, both as little-endian 32-bit integers; a null text counts as empty."""
+    With ``and_decode`` the ids are decoded again by the same task, into
+    ``decoded``.  Null and empty texts have no ids.  Special tokens' strings
+    are ordinary text.  Repeated rows are encoded each; an empty table stays
+    empty.  Results leave in slices, so no more than a slice is held encoded.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col), F.col(text_col))
+    schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), _binary("ids"), _binary("offsets")] + [_binary("decoded")] * and_decode)
 
-    @F.arrow_udf("struct<ids:binary,offsets:binary>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for texts in batches:
-            ids = c.encode([t or "" for t in texts.to_pylist()])
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([c.offsets(x) for x in ids], pa.binary())], fields=list(ENCODED))
+        for batch in batches:
+            for at, texts in slices(batch.column(1)):
+                ids = c.encode([t or "" for t in texts.to_pylist()])
+                offsets = [c.offsets(x) for x in ids]
+                columns = [batch.column(0).slice(at, len(ids)), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())]
+                if and_decode:
+                    columns.append(pa.array([c.decode(x, y) for x, y in zip(ids, offsets, strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return encode(text)
+    return rows.mapInArrow(encode, schema)
 
 
 def decoded(ids: Column, offsets: Column, path: str) -> Column:
@@ -380,21 +401,15 @@ def decoded(ids: Column, offsets: Column, path: str) -> Column:
     def decode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         c = codec(path)
         for some, places in batches:
-            yield pa.array([c.decode(x or b"", y) for x, y in zip(some.to_pylist(), places.to_pylist(), strict=True)], pa.binary())
+            parts = [pa.array([], pa.binary())]
+            for at, part in slices(some):
+                rows = zip(part.to_pylist(), places.slice(at, len(part)).to_pylist(), strict=True)
+                parts.append(pa.array([c.decode(x or b"", y) for x, y in rows], pa.binary()))
+            yield pa.concat_arrays(parts)
 
     return decode(ids, offsets)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ``ids`` and ``offsets`` of every row of ``docs``; other columns are not looked at.
-
-    Null and empty texts have no ids.  Special tokens' strings are ordinary
-    text.  Repeated rows are encoded each; an empty table stays empty.
-    """
-    ship(docs.sparkSession)
-    return docs.select(F.col(id_col), encoded(F.col(text_col), path).alias("code")).select(id_col, "code.ids", "code.offsets")
-
-
 def decode_documents(codes: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the bytes of the text, to the rows that encode_documents returns."""
     ship(codes.sparkSession)

@@ -55,7 +55,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.tiktoken")
-    rows = bpe.decode_documents(bpe.encode_documents(documents(spark, sf_dir), path), path)
+    rows = bpe.encode_documents(documents(spark, sf_dir), path, and_decode=True)
     return rows.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
