@@ -1 +1 @@
-"""TODO"""
+"""Column expressions: predicates, aggregates, text functions and patterns."""

@@ -1 +1 @@
-"""TODO"""
+"""Operators from DataFrame to DataFrame."""

@@ -1,19 +1,502 @@
-"""Registry of the engine's queries and of the SQL each must agree with."""
+"""The engine's queries over the driver's tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import cosine, fingerprint, jaccard, name_parts
+from ..operators import aggregate as agg
+from ..operators import distribution as dist
+from ..operators import health, redaction, relations, rows, search, workload
+from ..operators import join as joins
+from ..operators import profile as prof
+from ..operators import sql as gate
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with the SQL it must agree with."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _filter_query(name: str, of: str, spec: dict, columns: list[str], condition: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from ..functions.predicates import where
+
+        return where(table(spark, sf_dir, of), [spec]).select(*columns)
+
+    run.__name__ = name
+    query(f"SELECT {', '.join(columns)} FROM {of} WHERE {condition}")(run)
+
+
+_O, _L = ["o_orderkey", "o_orderstatus", "o_totalprice"], ["l_orderkey", "l_linenumber", "l_quantity"]
+_filter_query("filter_eq", "orders", {"column": "o_orderstatus", "op": "eq", "value": "F"}, _O, "o_orderstatus = 'F'")
+_filter_query("filter_eq_text_number", "lineitem", {"column": "l_quantity", "op": "eq", "value": "17"}, _L, "l_quantity = 17")
+_filter_query("filter_neq", "orders", {"column": "o_orderstatus", "op": "neq", "value": "F"}, _O, "o_orderstatus <> 'F'")
+_filter_query("filter_gt", "lineitem", {"column": "l_quantity", "op": "gt", "value": 48}, _L, "l_quantity > 48")
+_filter_query("filter_gte", "lineitem", {"column": "l_quantity", "op": "gte", "value": 49}, _L, "l_quantity >= 49")
+_filter_query("filter_lt", "lineitem", {"column": "l_quantity", "op": "lt", "value": 3}, _L, "l_quantity < 3")
+_filter_query("filter_lte", "lineitem", {"column": "l_quantity", "op": "lte", "value": 2}, _L, "l_quantity <= 2")
+_filter_query("filter_contains", "part", {"column": "p_name", "op": "contains", "value": "A"}, ["p_partkey", "p_name"], "p_name ILIKE '%a%'")
+_filter_query("filter_contains_escaped", "events", {"column": "props", "op": "contains", "value": "_"}, ["event_id", "props"], "contains(props, '_')")
+_filter_query("filter_in", "customer", {"column": "c_mktsegment", "op": "in", "value": ["BUILDING", "MACHINERY"]}, ["c_custkey", "c_mktsegment"], "c_mktsegment IN ('BUILDING', 'MACHINERY')")
+_filter_query("filter_not_null", "customer", {"column": "c_name", "op": "is_null", "value": False}, ["c_custkey", "c_name"], "c_name IS NOT NULL")
+_filter_query("filter_is_null", "customer", {"column": "c_name", "op": "is_null", "value": True}, ["c_custkey", "c_name"], "c_name IS NULL")
+_filter_query("filter_between", "orders", {"column": "o_orderdate", "op": "between", "value": ["1995-01-01", "1995-12-31"]}, _O, "o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def rows_order_limit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.get_rows(table(spark, sf_dir, "orders"), [{"column": "o_orderstatus", "op": "eq", "value": "O"}], ["o_orderkey", "o_totalprice"], "o_totalprice", "desc", 50, 100, ["o_orderkey"])
+
+
+@query("SELECT count(*) AS total_matching FROM orders WHERE o_totalprice > 100000")
+def rows_total_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.total_matching(table(spark, sf_dir, "orders"), [{"column": "o_totalprice", "op": "gt", "value": 100000}])
+
+
+@query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS value, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.top_values(table(spark, sf_dir, "lineitem").withColumn("d", F.to_date("l_shipdate")), "d", 50)
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS _row_id, event_id FROM events")
+def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.with_row_ids(table(spark, sf_dir, "events").select("event_id")).select("_row_id", "event_id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 20")
+def sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.sample_rows(table(spark, sf_dir, "orders"), 20, "head", "o_orderkey", ["o_orderkey", "o_custkey"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 20")
+def sample_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.sample_rows(table(spark, sf_dir, "orders"), 20, "tail", "o_orderkey", ["o_orderkey", "o_custkey"])
+
+
+@query()
+def sample_random_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.sample_rows(rows.with_row_ids(table(spark, sf_dir, "customer")), 20, "random", "_row_id", ["_row_id", "c_custkey"], seed=7)
+
+
+_ALL = [
+    {"column": "*", "function": "count", "alias": "n"}, {"column": "l_suppkey", "function": "count_distinct", "alias": "suppliers"}, {"column": "l_quantity", "function": "sum", "alias": "sum_qty"},
+    {"column": "l_extendedprice", "function": "max", "alias": "max_price"}, {"column": "l_extendedprice", "function": "min", "alias": "min_price"}, {"column": "l_quantity", "function": "median", "alias": "median_qty"},
+]
+_ALL_SQL = "count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, sum(l_quantity) AS sum_qty, max(l_extendedprice) AS max_price, min(l_extendedprice) AS min_price, median(l_quantity) AS median_qty"
+
+
+@query(f"SELECT {_ALL_SQL} FROM lineitem")
+def agg_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.groups_of(table(spark, sf_dir, "lineitem"), _ALL)
+
+
+@query(f"SELECT l_returnflag, l_linestatus, {_ALL_SQL} FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 50")
+def agg_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.aggregate(table(spark, sf_dir, "lineitem"), _ALL, ["l_returnflag", "l_linestatus"], order_by="n")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_discount), 6) AS avg_discount FROM lineitem GROUP BY 1, 2")
+def agg_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = agg.groups_of(table(spark, sf_dir, "lineitem"), [{"column": "l_discount", "function": "avg", "alias": "avg_discount"}], ["l_returnflag", "l_linestatus"])
+    return out.withColumn("avg_discount", F.round("avg_discount", 6))
+
+
+@query("SELECT l_partkey, count(*) AS n, sum(l_quantity) AS l_quantity FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-12-31' GROUP BY 1 HAVING count(*) >= 5 AND sum(l_quantity) BETWEEN 100 AND 400 ORDER BY 3 DESC, 1 LIMIT 100")
+def agg_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.aggregate(
+        table(spark, sf_dir, "lineitem"), [{"column": "*", "function": "count", "alias": "n"}, {"column": "l_quantity", "function": "sum", "alias": "l_quantity"}], ["l_partkey"],
+        [{"column": "l_shipdate", "op": "between", "value": ["1994-01-01", "1996-12-31"]}], [{"column": "n", "op": "gte", "value": 5}, {"column": "l_quantity", "op": "between", "value": [100, 400]}], "l_quantity", "desc", 100,
+    )
+
+
+@query("SELECT o_orderpriority, count(*) AS count_all, count(DISTINCT o_custkey) AS count_distinct_o_custkey FROM orders GROUP BY 1")
+def agg_default_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.groups_of(table(spark, sf_dir, "orders"), [{"column": "*", "function": "count"}, {"column": "o_custkey", "function": "count_distinct"}], ["o_orderpriority"])
+
+
+@query()
+def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.groups_of(table(spark, sf_dir, "lineitem"), [{"column": "l_partkey", "function": "count_distinct", "alias": "parts"}, {"column": "l_quantity", "function": "median", "alias": "median_qty"}], ["l_returnflag"], approximate=True)
+
+
+@query()
+def agg_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.sampled(table(spark, sf_dir, "lineitem"), "l_extendedprice", seed=3)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def agg_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.cube(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], [{"column": "*", "function": "count", "alias": "n"}])
+
+
+_OC = {"columns_a": ["o_orderkey", "o_custkey"], "columns_b": ["c_custkey", "c_name"]}
+
+
+@query("SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", filters_b=[{"column": "c_mktsegment", "op": "eq", "value": "BUILDING"}], **_OC)
+
+
+@query("SELECT c_custkey, c_name, o_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "left", ["c_custkey", "c_name"], ["o_custkey", "o_orderkey"])
+
+
+@query("SELECT c_custkey, c_name, o_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+def join_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", "right", ["o_custkey", "o_orderkey"], ["c_custkey", "c_name"])
+
+
+@query("SELECT n_nationkey, n_name, r_regionkey, r_name FROM nation CROSS JOIN region")
+def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join(table(spark, sf_dir, "nation"), table(spark, sf_dir, "region"), "n_nationkey", "r_regionkey", "cross", ["n_nationkey", "n_name"])
+
+
+@query("SELECT a.n_nationkey, a.n_name, b.n_regionkey, b.n_name AS n_name__b FROM nation a JOIN nation b ON a.n_nationkey = b.n_regionkey")
+def join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    return joins.join(n, n, "n_nationkey", "n_regionkey", "inner", ["n_nationkey", "n_name"], ["n_regionkey", "n_name"])
+
+
+@query("SELECT c_custkey, o_custkey, o_orderkey FROM customer FULL JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON c_custkey = o_custkey")
+def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "full", ["c_custkey"], ["o_custkey", "o_orderkey"], None, [{"column": "o_orderstatus", "op": "eq", "value": "P"}], "pre")
+
+
+@query("SELECT c_custkey, o_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000")
+def join_left_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "left", ["c_custkey"], ["o_custkey", "o_orderkey"], None, [{"column": "o_totalprice", "op": "gt", "value": 300000}])
+
+
+@query("SELECT c_custkey, o_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey")
+def join_left_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "left", ["c_custkey"], ["o_custkey", "o_orderkey"], None, [{"column": "o_totalprice", "op": "gt", "value": 300000}], "pre")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_custkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def join_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join_page(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", order_by="o_totalprice", order_dir="desc", limit=25, ties=["o_orderkey"], columns_a=["o_orderkey", "o_totalprice", "o_custkey"], columns_b=["c_custkey", "c_name"])
+
+
+@query("SELECT count(*) AS n_distinct, count(c_custkey) AS n_found FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN customer ON o_custkey = c_custkey")
+def join_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.containment(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer"), "c_custkey")
+
+
+_SQL_TEXTS = {
+    "sql_cte_window": ("orders", "WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM t WHERE rn = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 200"),
+    "sql_setops": ("orders customer", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' ORDER BY k LIMIT 300"),
+    "sql_union_all": ("nation region", "SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region"),
+    "sql_subquery": ("customer orders", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) ORDER BY c_custkey LIMIT 400"),
+    "sql_semi_anti": ("customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 500"),
+    "sql_multiway": ("nation customer orders region", "SELECT r_name, count(*) AS n, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "sql_theta_join": ("part", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND a.p_partkey < 40 AND b.p_partkey < 40 ORDER BY 1, 2 LIMIT 500"),
+    "sql_recursive": ("region", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t"),
+    "sql_grouping_sets": ("orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"),
+}
+
+
+def _sql_query(name: str, tables: list[str], text: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return gate.run_sql(spark, text, {t: table(spark, sf_dir, t) for t in tables})
+
+    run.__name__ = name
+    query(text)(run)
+
+
+for _name, (_tables, _text) in _SQL_TEXTS.items():
+    _sql_query(_name, _tables.split(), _text)
+
+
+@query("""WITH b AS (SELECT min(l_extendedprice) lo, max(l_extendedprice) hi FROM lineitem), s AS (SELECT unnest(range(20)) AS bin),
+c AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM lineitem, b GROUP BY 1)
+SELECT s.bin::INT AS bin, round(lo + s.bin * (hi - lo) / 20, 4) AS low, round(CASE WHEN s.bin = 19 THEN hi ELSE lo + (s.bin + 1) * (hi - lo) / 20 END, 4) AS high, coalesce(n, 0) AS count FROM s CROSS JOIN b LEFT JOIN c ON c.bin = s.bin""")
+def dist_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = dist.numeric_distribution(table(spark, sf_dir, "lineitem"), "l_extendedprice", 20)
+    return d.withColumns({"low": F.round("low", 4), "high": F.round("high", 4)})
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS bucket, count(*) AS count FROM orders GROUP BY 1")
+def dist_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dist.datetime_distribution(table(spark, sf_dir, "orders"), "o_orderdate", "month")
+
+
+@query("""WITH c AS (SELECT p_type AS v, count(*) AS n FROM part GROUP BY 1), r AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS k FROM c)
+SELECT CASE WHEN k <= 10 THEN v ELSE '<other>' END AS value, sum(n)::BIGINT AS count FROM r GROUP BY 1""")
+def dist_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dist.categorical_distribution(table(spark, sf_dir, "part"), "p_type", 10)
+
+
+_N4 = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
+_STRENGTH = "CASE WHEN abs(r) >= 0.9 THEN 'very strong' WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.5 THEN 'moderate' WHEN abs(r) >= 0.3 THEN 'weak' ELSE 'negligible' END AS strength, CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS direction"
+
+
+def _corr_sql(source: str) -> str:
+    parts = [f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 4) AS r, count(*) AS n FROM {source}" for i, a in enumerate(_N4) for b in _N4[i + 1 :]]
+    return f"SELECT column_a, column_b, r, n, {_STRENGTH} FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_corr_sql("lineitem"))
+def corr_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dist.correlations(table(spark, sf_dir, "lineitem"), _N4, 0.0)
+
+
+@query("WITH k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _N4) + " FROM lineitem) " + _corr_sql("k"))
+def corr_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dist.correlations(table(spark, sf_dir, "lineitem"), _N4, 0.0, method="spearman")
+
+
+def _profile_sql(name: str, columns: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS name, '{k}' AS type, count(*) AS count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS cardinality, (count(DISTINCT {c}) = count(*)) AS is_unique, (count(DISTINCT {c}) = count(*) AND '{k}' IN ('integer', 'string')) AS is_primary_key_candidate FROM {name}" for c, k in columns.items()
+    )
+
+
+_PROFILED = {
+    "orders": {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_totalprice": "float", "o_orderdate": "datetime", "o_orderpriority": "string"},
+    "customer": {"c_custkey": "integer", "c_name": "string", "c_nationkey": "integer", "c_acctbal": "float", "c_mktsegment": "string"},
+    "part": {"p_partkey": "integer", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "integer", "p_retailprice": "float"},
+    "events": {"event_id": "integer", "ts": "datetime", "user_id": "integer", "event_type": "string", "value": "float", "props": "string"},
+}
+_P = ["name", "type", "count", "null_count", "cardinality", "is_unique", "is_primary_key_candidate"]
+
+
+def _profile_query(name: str, columns: dict[str, str]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return prof.profile(table(spark, sf_dir, name).select(*columns)).select(*_P)
+
+    run.__name__ = f"profile_{name}"
+    query(_profile_sql(name, columns))(run)
+
+
+for _name, _columns in _PROFILED.items():
+    _profile_query(_name, _columns)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, round(min({c}), 4) AS min, round(max({c}), 4) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std_dev FROM lineitem" for c in _N4))
+def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = prof.column_stats(table(spark, sf_dir, "lineitem").select(*_N4))
+    return s.select("name", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("min", "max", "mean", "std_dev")])
+
+
+@query("SELECT name, value, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY count DESC, value) AS rank FROM (SELECT 'l_returnflag' AS name, l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linenumber', l_linenumber::VARCHAR, count(*) FROM lineitem GROUP BY 2)) WHERE rank <= 5")
+def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.top_values(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.profile(table(spark, sf_dir, "lineitem"), exact=False).select(*_P)
+
+
+@query("SELECT 'url' AS name, 'url' AS semantic_type, 1.0::DOUBLE AS semantic_confidence UNION ALL SELECT 'page_id', NULL, NULL")
+def profile_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.semantic_types(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query("SELECT event_type AS value FROM (SELECT event_type, min(event_id) AS f FROM events GROUP BY 1 ORDER BY 2 LIMIT 10)")
+def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.first_samples(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("SELECT 'o_orderkey' AS name, 0.9::DOUBLE AS confidence")
+def suggest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.suggest_keys(prof.profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")))
+
+
+@query("SELECT * FROM (SELECT 'o_custkey' AS \"column\", 'c_custkey' AS key, count(*) AS n_distinct, count(c_custkey) AS n_found, round(count(c_custkey) / count(*), 4) AS ratio FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'o_orderkey', 'c_custkey', count(*), count(c_custkey), round(count(c_custkey) / count(*), 4) FROM orders LEFT JOIN customer ON o_orderkey = c_custkey) WHERE ratio >= 0.95")
+def suggest_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.suggest_joins(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), [("o_custkey", "c_custkey"), ("o_orderkey", "c_custkey")])
+
+
+def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name in ("region", "nation", "customer", "supplier"):
+        df = table(spark, sf_dir, name)
+        values = prof.top_values(df, 50).groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("values"))
+        one = prof.profile(df).join(F.broadcast(values), "name").withColumn("dataset", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def similar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.similar_columns(_star(spark, sf_dir))
+
+
+@query()
+def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _star(spark, sf_dir).withColumn("name", F.regexp_replace("name", "^[a-z]_", ""))
+    return relations.foreign_keys(p)
+
+
+@query("SELECT 'c_acctbal' AS name, 'removed' AS change UNION ALL SELECT 'c_nationkey', 'type' UNION ALL SELECT 'extra', 'added'")
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer")
+    b = a.drop("c_acctbal").withColumn("c_nationkey", F.col("c_nationkey").cast("string")).withColumn("extra", F.lit(1))
+    return health.schema_drift(prof.profile(a, exact=False), prof.profile(b, exact=False)).select("name", "change")
+
+
+_HOT = "SELECT name, round(0.3 * card + 0.3 * outlier, 4) AS score FROM ("
+_HOT += " UNION ALL ".join(
+    f"SELECT '{c}' AS name, CASE WHEN count(DISTINCT {c}) <= 1 THEN 0.8 ELSE 0.2 * count(DISTINCT {c}) / count(*) END AS card, least((max({c}) - min({c})) / abs(avg({c})) / 5, 1.0) AS outlier FROM orders" for c in ("o_custkey", "o_totalprice")
+)
+
+
+@query(_HOT + ")")
+def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.hotspots(prof.profile(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"))).select("name", "score")
+
+
+@query("SELECT 0.9::DOUBLE AS score, 'A' AS grade")
+def dataset_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = health.dataset_health(prof.profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")))
+    return h.select(F.col("score"), "grade")
+
+
+@query("SELECT * FROM (VALUES ('null_health', 100.0::DOUBLE), ('type_confidence', 100.0), ('cardinality_health', 100.0), ('pk_presence', 100.0), ('semantic_coverage', 0.0), ('schema_stability', 100.0)) t(axis, score)")
+def health_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.radar(prof.profile(table(spark, sf_dir, "orders")), drift_free=True)
+
+
+@query("SELECT * FROM (VALUES ('null_health', 'stable'), ('type_confidence', 'stable'), ('cardinality_health', 'stable'), ('pk_presence', 'regression'), ('semantic_coverage', 'stable')) t(axis, change)")
+def health_radar_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return health.diff_radar(health.radar(prof.profile(o)), health.radar(prof.profile(o.drop("o_orderkey")))).select("axis", "change")
+
+
+_TERMS = ["the", "licensed", "with"]
+_TF = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(sorted(_TERMS)))
+_BM = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * dl / avgdl))" for i in range(3))
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), c AS (SELECT doc_id, len(t) AS dl, {_TF} FROM d),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(3))} FROM c)
+SELECT doc_id, round({_BM}, 6) AS score FROM c, s WHERE tf0 + tf1 + tf2 > 0 ORDER BY 2 DESC, 1 LIMIT 50""")
+def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25(table(spark, sf_dir, "documents"), " ".join(_TERMS), "doc_id", "text", 50)
+
+
+@query()
+def search_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _star(spark, sf_dir).withColumn("summary", F.concat_ws(" ", "type", "name"))
+    return search.search_columns(p.select("name", "type", "summary", "values"), "market segment building")
+
+
+@query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 4) AS score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 20")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 0").select("embedding").first()[0]
+    return search.cosine_top(e, q, "vec_id", "embedding", 20).withColumn("score", F.round("score", 4))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    a, b = e.alias("a"), e.alias("b")
+    return a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 4).alias("cos"))
+
+
+_EMAIL_SQL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b"
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(text, '{_EMAIL_SQL}', '[REDACTED:email]', 'g')) AS digest FROM documents")
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.redacted(F.col("text"), ["email"])).alias("digest"))
+
+
+@query(f"SELECT 'email' AS kind, sum(len(regexp_extract_all(text, '{_EMAIL_SQL}')))::BIGINT AS matches, count(*) FILTER (WHERE regexp_matches(text, '{_EMAIL_SQL}')) AS texts FROM documents")
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.redaction_counts(table(spark, sf_dir, "documents"), "text", ["email"])
+
+
+@query()
+def redact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redaction.redact_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), kinds=["credit_card", "ssn"])
+
+
+_LOG = [
+    ("SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 17", 3, 1.5), ("SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 99", 2, 0.5),
+    ("select o_totalprice from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'", 5, 9.0), ("SELECT x FROM unknown_table", 4, 1.0),
+]
+_ROLLUP = [
+    ("customer", "", 10, 11.0), ("customer", "c_name", 5, 2.0), ("customer", "c_acctbal", 5, 2.0), ("customer", "c_custkey", 10, 11.0), ("customer", "c_mktsegment", 5, 9.0),
+    ("orders", "", 5, 9.0), ("orders", "o_totalprice", 5, 9.0), ("orders", "o_custkey", 5, 9.0),
+]
+
+
+def _log(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_LOG, "query string, calls long, total_time double").withColumn("seen", F.lit("2024-01-01").cast("timestamp"))
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t, c) for t in ("customer", "orders") for c in table(spark, sf_dir, t).columns], "dataset string, name string")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{c}', {n}::BIGINT, {t}::DOUBLE)" for d, c, n, t in _ROLLUP) + ') t(dataset, "column", calls, total_time)')
+def workload_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workload.rollup(_log(spark), _columns(spark, sf_dir)).groupBy("dataset", "column").agg(F.sum("calls").alias("calls"), F.sum("total_time").alias("total_time"))
+
+
+@query("SELECT * FROM (VALUES ('c_nationkey', 'zero_hits'), ('o_orderstatus', 'zero_hits'), ('o_orderdate', 'zero_hits'), ('o_orderpriority', 'zero_hits')) t(name, state)")
+def unused_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = None
+    for t in ("customer", "orders"):
+        one = prof.profile(table(spark, sf_dir, t)).withColumn("dataset", F.lit(t))
+        p = one if p is None else p.unionByName(one)
+    return workload.unused_columns(p, workload.rollup(_log(spark), _columns(spark, sf_dir)), F.lit("2020-01-01").cast("timestamp")).select("name", "state")
+
+
+@query("SELECT o_orderkey, 'sha256:' || sha256(o_orderstatus || o_orderkey)[:32] AS fp FROM orders")
+def fingerprint_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", fingerprint(F.concat("o_orderstatus", F.col("o_orderkey").cast("string"))).alias("fp"))
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 4) AS jaccard FROM (SELECT p_partkey, regexp_extract_all(lower(p_type), '[a-z0-9]+') AS w FROM part) a JOIN (SELECT p_partkey, regexp_extract_all(lower(p_type), '[a-z0-9]+') AS w FROM part) b ON b.p_partkey = a.p_partkey + 1")
+def jaccard_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", name_parts(F.col("p_type")).alias("w"))
+    a, b = p.alias("a"), p.alias("b")
+    return a.join(b, F.col("b.p_partkey") == F.col("a.p_partkey") + 1).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(jaccard(F.col("a.w"), F.col("b.w")), 4).alias("jaccard"))
+
+
+@query("SELECT o_custkey, o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 2 PRECEDING) AS recent FROM orders")
+def window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(-2, 0)
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.sum("o_totalprice").over(w).alias("recent"))
+
+
+FLAGSHIP = [*_ALL, {"column": "l_extendedprice", "function": "avg", "alias": "avg_price"}]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Filtered, grouped and held-to aggregates of lineitem."""
+    return agg.aggregate(
+        table(spark, sf_dir, "lineitem"), FLAGSHIP, ["l_returnflag", "l_linestatus"], [{"column": "l_shipdate", "op": "between", "value": ["1993-01-01", "1998-09-02"]}], [{"column": "n", "op": "gte", "value": 1}], "n"
+    )
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -1 +1 @@
-"""TODO"""
+"""Reading files into typed tables, and keeping them."""
