@@ -26,13 +26,13 @@ def head(spark: SparkSession, path: str, size: int = SNIFFED) -> bytes:
 def sniff_encoding(raw: bytes) -> str:
     if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "UTF-16"
-    for cut in range(4):  # the last character may be cut
+    for cut in range(4 if len(raw) >= SNIFFED else 1):  # of a longer file the last character may be cut
         try:
             raw[: len(raw) - cut].decode("utf-8")
             return "UTF-8"
         except UnicodeDecodeError:
             pass
-    return "windows-1252"
+    return "iso-8859-1"
 
 
 def sniff_delimiter(raw: bytes, encoding: str) -> str:
