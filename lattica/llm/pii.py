@@ -25,6 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 SURE = 0.9
 ROUNDS, DAMPING = 8, 0.3
+#: How strongly repeated or similar words of a document ask for one label: the score of equal labels, and minus that of different ones.
+TIE = 2.5
 SHORT_KEY = 6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -159,20 +161,17 @@ def features_of(pattern: str) -> list[str]:
 
 
 def fit_weights(counts: dict[tuple[str, str], int]) -> Weights:
-    """Fits node weights by penalised maximum likelihood and edges by smoothed association, from counts.
+    """Fits node weights by penalised maximum likelihood and chain edges by smoothed association; skip edges ask for equal labels.
 
-    counts: ("n" + label, pattern), ("c" or "s", two labels) to a number.
+    counts: ("n" + label, pattern) or ("c", two labels) to a number.
     """
-    tables = {"c": np.ones((LABELS, LABELS)), "s": np.ones((LABELS, LABELS))}
+    chain = np.ones((LABELS, LABELS))
     seen: dict[str, np.ndarray] = {}
     for (what, key), n in counts.items():
         if what[0] == "n":
             seen.setdefault(key, np.zeros(LABELS))[int(what[1:])] += n
         else:
-            tables[what][int(key[0]), int(key[1])] += n
-    skip = tables["s"] + tables["s"].T
-    # A skip edge joins equal values, so at least as much mass as its smoothing is put on equal labels.
-    skip += np.eye(LABELS) * LABELS
+            chain[int(key[0]), int(key[1])] += n
 
     def association(t: np.ndarray) -> np.ndarray:
         p = t / t.sum()
@@ -198,7 +197,7 @@ def fit_weights(counts: dict[tuple[str, str], int]) -> Weights:
             grad = x.T @ (y - p * y.sum(axis=1, keepdims=True)) / total - 1e-4 * theta
             step = 0.9 * step + grad
             theta += 0.5 * step
-    return Weights(index, theta, association(tables["c"]), association(skip))
+    return Weights(index, theta, association(chain), TIE * (2 * np.eye(LABELS) - 1))
 
 
 def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray) -> np.ndarray:
@@ -275,9 +274,10 @@ def learn(docs: DataFrame, text_col: str = "text") -> Weights:
                 if not text or not _SIGN.search(text):
                     continue
                 g = graph(text, base_spans(text))
-                found.update(zip((f"n{x}" for x in g.labels), g.patterns, strict=True))
-                found.update(("c", f"{g.labels[a]}{g.labels[b]}") for a, b in g.chain)
-                found.update(("s", f"{g.labels[a]}{g.labels[b]}") for a, b in g.skip)
+                # A word that no pattern caught, but that repeats one that was, is no example of a clean word.
+                doubtful = {x for a, b in g.skip if bool(g.labels[a]) != bool(g.labels[b]) for x in (a, b) if not g.labels[x]}
+                found.update((f"n{x}", p) for k, (x, p) in enumerate(zip(g.labels, g.patterns, strict=True)) if k not in doubtful)
+                found.update(("c", f"{g.labels[a]}{g.labels[b]}") for a, b in g.chain if a not in doubtful and b not in doubtful)
         keys = list(found)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["what", "key", "n"]
