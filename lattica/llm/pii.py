@@ -127,7 +127,8 @@ def graph(text: str, spans: list[Span]) -> Graph:
         g.places.append((a, b))
         g.labels.append(label)
         g.patterns.append(f"{shapes[k]}|{shapes.get(k - 1, '-')[:5]}|{shapes.get(k + 1, '-')[:5]}")
-        if i and nodes[i - 1] == k - 1:
+        chained = i > 0 and nodes[i - 1] == k - 1
+        if chained:
             g.chain.append((i - 1, i))
         word = words[k][0].strip(_EDGES).lower()
         digits = "".join(_DIGITS.findall(word))
@@ -135,7 +136,7 @@ def graph(text: str, spans: list[Span]) -> Graph:
         if len(digits) >= SHORT_KEY:
             similar |= {"d" + digits, "e" + digits[-7:]}
         # One edge to the last word of the same key ties all of them together without all pairs.
-        for j in {keys[x] for x in similar if x in keys} - {i - 1}:
+        for j in {keys[x] for x in similar if x in keys} - ({i - 1} if chained else set()):
             g.skip.append((j, i))
         keys |= dict.fromkeys(similar, i)
     return g
