@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, ship, slices
+from .common import pieces, release, ship, slices
 
 BATCH_CHARS = 1_000_000
 LANE = 256
@@ -390,6 +390,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 if and_decode:
                     columns.append(pa.array([c.decode(x, y) for x, y in zip(ids, offsets, strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+            release()
 
     return rows.mapInArrow(encode, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED = "lattica.llm.shipped"
+_C = ctypes.CDLL(None)
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -64,6 +65,13 @@ def id_bucket(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks, and its allocators keep what one batch needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_C, "malloc_trim", None):
+        trim(0)
+
+
 #: Bytes of text that array operations take at a time.
 SLICE_BYTES = 1 << 19
 

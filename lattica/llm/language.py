@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship
+from .common import pieces, release, ship, slices
 from .words import mix
 
 DIMENSIONS = 1024
 BATCH_CHARS = 400_000
-GRAM_ROWS = 8192
+GRAM_ROWS = 2048
 UNKNOWN = "und"
 RESULT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -133,12 +133,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches_of(texts):
-                names = sorted(set(langs[a:b]))
-                group = np.array([names.index(x) for x in langs[a:b]])
-                for name, row in zip(names, bundles(trigrams(texts[a:b]), group, len(names)), strict=True):
+            for at, some in slices(batch.column(0)):
+                texts, langs = some.to_pylist(), batch.column(1).slice(at, len(some)).to_pylist()
+                names = sorted(set(langs))
+                group = np.array([names.index(x) for x in langs])
+                for name, row in zip(names, bundles(trigrams(texts), group, len(names)), strict=True):
                     sums[name] = sums.get(name, 0) + row.astype(np.float64)
+        release()
         for name, row in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(row)], ["lang", "place", "value"])
 
@@ -193,7 +194,11 @@ def with_language(docs: DataFrame, profiles: Profiles, into: str, text_col: str
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores = predict([t or "" for t in texts.to_pylist()], shared.value)
+            names, scores = [], []
+            for _, some in slices(texts):
+                for all_of, new in zip((names, scores), predict([t or "" for t in some.to_pylist()], shared.value), strict=True):
+                    all_of += new
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(RESULT))
+            release()
 
     return docs.withColumn(into, identify.asNondeterministic()(F.col(text_col)))

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, checkpointed, pieces, ship, slices
+from .common import SLICE_BYTES, checkpointed, pieces, release, ship, slices
 from .words import hashed, mix, windows
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9995, 6
-BLOCK = 1024
-COLUMNS = 8192
+BLOCK = 256
+COLUMNS = 2048
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -112,8 +112,7 @@ def link_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
             part = np.zeros((n, COLUMNS), np.float32)
             part[owner[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - k * COLUMNS] = 1
             common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    links = common >= threshold * union - 1e-9
+    links = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
     np.fill_diagonal(links, False)
     links[sizes == 0] = False
     links[:, sizes == 0] = False
@@ -164,6 +163,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
         for texts in batches:
             parts = [pa.array(band_hashes(shingle_sets([t.encode() for t in some.to_pylist()], words), bands, rows), pa.list_(pa.int64())) for _, some in slices(texts)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+            release()
 
     # Equal texts have equal bands, so copies collapse before the shuffle.
     texts = checkpointed(
@@ -207,6 +207,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
                     held.setdefault(name, []).append(x)
         if held:
             yield from decide(key, held)
+        release()
 
     def decide(key: tuple, held: dict[str, list]) -> Iterator[pa.RecordBatch]:
         links = link_matrix(shingle_sets([t.encode() for t in held["text"]], words), similarity)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks, read_vocabulary
-from .common import checkpointed, ship
+from .common import checkpointed, release, ship, slices
 
 CAPACITY = 2048
 #: Items of one island's problem, islands for each problem, rounds between migrations, and the work of a round.
@@ -117,12 +117,14 @@ def encoder(path: str, pattern: str) -> Callable[[str], np.ndarray]:
     run of white space, which the shorter pattern splits alike, take that way.
     """
     ranks = read_vocabulary(path) if path.endswith(".json") else read_ranks(path)
-    whole = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    short = tiktoken.Encoding(path, pat_str=pattern.replace(LOOKAHEAD, ""), mergeable_ranks=ranks, special_tokens={})
+
+    @functools.cache
+    def by(pattern: str) -> tiktoken.Encoding:
+        return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
-        by = whole if _RUN.search(text) else short
-        return np.frombuffer(array("I", by.encode_ordinary(text)), np.uint32)
+        ids = by(pattern if _RUN.search(text) else pattern.replace(LOOKAHEAD, "")).encode_ordinary(text)
+        return np.frombuffer(array("I", ids), np.uint32)
 
     return encode
 
@@ -147,10 +149,11 @@ def cut_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int,
         encode = encoder(vocabulary, pattern)
         for texts in batches:
             rows = []
-            for t in texts.to_pylist():
+            for t in (t for _, some in slices(texts) for t in some.to_pylist()):
                 ids = encode(t) if t else np.empty(0, np.uint32)
                 rows.append(cut(np.append(ids, np.uint32(end_id)).astype("<u4", copy=False), capacity))
             yield pa.array(rows, _ARROW)
+            release()
 
     cuts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("pieces"))
     return cuts.select("id", F.inline("pieces")).withColumn("uid", F.monotonically_increasing_id())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -271,7 +271,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Weights:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t for _, some in slices(batch.column(0)) for t in some.to_pylist()):
                 if not text or not _SIGN.search(text):
                     continue
                 g = graph(text, base_spans(text))
@@ -279,6 +279,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Weights:
                 doubtful = {x for a, b in g.skip if bool(g.labels[a]) != bool(g.labels[b]) for x in (a, b) if not g.labels[x]}
                 found.update((f"n{x}", p) for k, (x, p) in enumerate(zip(g.labels, g.patterns, strict=True)) if k not in doubtful)
                 found.update(("c", f"{g.labels[a]}{g.labels[b]}") for a, b in g.chain if a not in doubtful and b not in doubtful)
+        release()
         keys = list(found)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["what", "key", "n"]
@@ -320,12 +321,24 @@ def with_spans(docs: DataFrame, weights: Weights, into: str, text_col: str = "te
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, np.ndarray] = {}
         for texts in batches:
-            found = find([t or "" for t in texts.to_pylist()], weights, known)
+            found = [x for _, some in slices(texts) for x in find([t or "" for t in some.to_pylist()], weights, known)]
             yield pa.array([[{"kind": KINDS[k], "start": a, "end": b, "base": base} for a, b, k, base in x] for x in found], _ARROW)
+            release()
 
     return docs.withColumn(into, spans.asNondeterministic()(F.col(text_col)))
 
 
+def cover(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | None:
+    if text is None or not spans:
+        return text
+    parts, done = [], 0
+    for a, b, kind, _ in spans:
+        if a >= done:
+            parts += [text[done:a], f"[{KINDS[kind].upper()}]"]
+        done = max(done, b)
+    return "".join(parts) + text[done:]
+
+
 def masked(text: Column, weights: Weights) -> Column:
     """The text with each span replaced by its kind in square brackets; overlapping spans become one, named by the first."""
 
@@ -333,18 +346,11 @@ def masked(text: Column, weights: Weights) -> Column:
     def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, np.ndarray] = {}
         for texts in batches:
-            plain = texts.to_pylist()
-            out: list[str | None] = []
-            for t, spans in zip(plain, find([t or "" for t in plain], weights, known), strict=True):
-                if t is None or not spans:
-                    out.append(t)
-                    continue
-                parts, done = [], 0
-                for a, b, kind, _ in spans:
-                    if a >= done:
-                        parts += [t[done:a], f"[{KINDS[kind].upper()}]"]
-                    done = max(done, b)
-                out.append("".join(parts) + t[done:])
-            yield pa.array(out, pa.string())
+            done = [pa.array([], pa.string())]
+            for _, some in slices(texts):
+                plain = some.to_pylist()
+                done.append(pa.array([cover(t, s) for t, s in zip(plain, find([t or "" for t in plain], weights, known), strict=True)], pa.string()))
+            yield pa.concat_arrays(done)
+            release()
 
     return mask(text)
