@@ -80,14 +80,14 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     counted, and the counts are range-partitioned and summed per partition
     before a running sum inside each.
     """
-    out = df.select(*[F.col(f"`{c}`") for c in columns])
+    base = out = df.select(*[F.col(f"`{c}`") for c in columns])
     for c in columns:
-        counts = out.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        counts = base.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
         out = out.join(running_total(counts, c).select(F.col(c), (F.col("upto") - (F.col("n") - 1) / 2).alias("__rank")), c, "left").withColumn(c, F.col("__rank")).drop("__rank")
     return out
 
 
-def running_total(counts: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+def running_total(counts: DataFrame, key: str, buckets: int = 32) -> DataFrame:
     """Adds ``upto``, the sum of ``n`` over all keys up to this one; keys fall into buckets at approximate quantiles."""
     cuts = counts.agg(F.percentile_approx(key, F.array(*[F.lit((k + 1) / buckets) for k in range(buckets - 1)]), 10_000).alias("cuts"))
     # A bucket holds equal keys together, so its number is an order on keys whatever the cuts' accuracy.
