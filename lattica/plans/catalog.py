@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine, fingerprint, jaccard, name_parts
 from ..operators import aggregate as agg
+from ..operators import describe, health, redaction, relations, rows, search, workload
 from ..operators import distribution as dist
-from ..operators import health, redaction, relations, rows, search, workload
 from ..operators import join as joins
 from ..operators import profile as prof
 from ..operators import sql as gate
+from ..streaming import workload as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -484,6 +485,79 @@ def window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.sum("o_totalprice").over(w).alias("recent"))
 
 
+@query(
+    "SELECT 'p_size' AS name, 'integer' AS type, count(DISTINCT p_size) AS cardinality, min(p_size)::VARCHAR AS min, max(p_size)::VARCHAR AS max FROM part UNION ALL SELECT 'p_brand', 'string', count(DISTINCT p_brand), min(p_brand), max(p_brand) FROM part"
+)
+def describe_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_brand", "p_size")
+    return describe.describe_dataset(prof.profile(p), prof.top_values(p, describe.PREVIEW), ["p_size", "p_brand"]).select("name", "type", "cardinality", "min", "max")
+
+
+@query("SELECT c_mktsegment AS value, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM customer), 2) AS pct FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def describe_column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.value_distribution(table(spark, sf_dir, "customer"), "c_mktsegment", 20)
+
+
+@query("""WITH b AS (SELECT min(p_size) lo, max(p_size) hi FROM part), s AS (SELECT unnest(range(10)) AS bin), c AS (SELECT least(floor((p_size - lo) / ((hi - lo) / 10)), 9)::INT AS bin, count(*) AS n FROM part, b GROUP BY 1)
+SELECT s.bin::INT AS bin, coalesce(n, 0) AS count FROM s LEFT JOIN c ON c.bin = s.bin""")
+def describe_column_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe.histogram(table(spark, sf_dir, "part"), "p_size", 10).select("bin", "count")
+
+
+@query("SELECT l_linenumber::VARCHAR AS value, count(*) AS count FROM lineitem GROUP BY 1")
+def profile_value_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.value_index(table(spark, sf_dir, "lineitem"), "l_linenumber").select(F.explode("value_index").alias("value", "count"))
+
+
+@query("SELECT '-1' AS value, 2::BIGINT AS columns, (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') + count(*) FILTER (WHERE o_orderpriority LIKE '1%') FROM orders)::BIGINT AS count")
+def profile_null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    a = F.when(F.col("o_orderstatus") == "F", "-1").otherwise(F.col("o_orderstatus"))
+    b = F.when(F.col("o_orderpriority").startswith("1"), "-1").otherwise(F.col("o_orderpriority"))
+    return prof.learned_null_tokens(o.select(a.alias("a"), b.alias("b")))
+
+
+@query("SELECT strftime(o_orderdate, '%Y') AS bucket, count(*) AS count FROM orders GROUP BY 1")
+def dist_datetime_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dist.datetime_distribution(table(spark, sf_dir, "orders"), "o_orderdate", "year")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def agg_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.cube(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], [{"column": "*", "function": "count", "alias": "n"}], rollup=True)
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.windowed(e, "ts", ["event_type"], "1 hour", "2 hours", F.count(F.lit(1)).alias("n"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM s GROUP BY user_id, k""")
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
+    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+
+
+@query("SELECT * FROM (VALUES ('nation', 'regionkey', 1), ('customer', 'nationkey', 2), ('supplier', 'nationkey', 2)) t(dataset, \"column\", depth) WHERE depth = 1")
+def schema_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _star(spark, sf_dir).withColumn("name", F.regexp_replace("name", "^[a-z]_", ""))
+    return relations.schema_impact(relations.foreign_keys(p), "region", "regionkey", 1)[0].where("depth > 0")
+
+
+@query("SELECT 'SELECT a FROM t WHERE b = ? AND c > ?' AS masked, count(*) AS n FROM customer")
+def sql_text_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.concat(F.lit("SELECT a FROM t WHERE b = '"), F.col("c_name"), F.lit("' AND c > "), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select(redaction.sql_text(q).alias("masked")).groupBy("masked").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 91.7::DOUBLE AS composite, 'A' AS grade")
+def health_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return health.composite(health.radar(prof.profile(table(spark, sf_dir, "orders").drop("o_orderkey")), drift_free=True).unionByName(spark.createDataFrame([("runtime_coverage", 100.0)], "axis string, score double")).where("axis <> 'semantic_coverage'"))
+
+
 FLAGSHIP = [*_ALL, {"column": "l_extendedprice", "function": "avg", "alias": "avg_price"}]
 
 

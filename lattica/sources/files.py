@@ -18,9 +18,19 @@ SNIFFED = 64 * 1024
 
 
 def head(spark: SparkSession, path: str, size: int = SNIFFED) -> bytes:
-    """The first bytes of a file, through Spark's own file systems."""
-    rows = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("b")).limit(1).collect()
-    return bytes(rows[0]["b"]) if rows else b""
+    """The first bytes of the first file at ``path``, through Spark's own file systems; no more of it is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in sorted(fs.globStatus(at) or [], key=lambda s: s.getPath().toString()):
+        below = [found] if found.isFile() else sorted(fs.listStatus(found.getPath()), key=lambda s: s.getPath().toString())
+        for file in below:
+            if file.isFile() and not file.getPath().getName().startswith(("_", ".")):
+                stream = fs.open(file.getPath())
+                try:
+                    return bytes(stream.readNBytes(size))
+                finally:
+                    stream.close()
+    raise RequestError("FILE_NOT_FOUND", path)
 
 
 def sniff_encoding(raw: bytes) -> str:
@@ -43,12 +53,16 @@ def sniff_delimiter(raw: bytes, encoding: str) -> str:
         return ","
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, header_row: int = 0, typed: bool = True) -> DataFrame:
-    """A delimited file; quoted line breaks are kept, missing cells are null, rows before the header row are dropped."""
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, header_row: int = 0, typed: bool = True, quoted_breaks: bool = True) -> DataFrame:
+    """A delimited file; quoted line breaks are kept, missing cells are null, rows before the header row are dropped.
+
+    A file whose quoted cells may hold line breaks cannot be split, so one task
+    reads it; without ``quoted_breaks`` large files are dealt over many tasks.
+    """
     raw = head(spark, path) if encoding is None or (delimiter is None and not path.endswith(".tsv")) else b""
     encoding = encoding or sniff_encoding(raw)
     delimiter = delimiter or ("\t" if path.endswith(".tsv") else sniff_delimiter(raw, encoding))
-    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("multiLine", quoted_breaks).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
     if not header_row:
         return infer(reader.option("header", True).csv(path)) if typed else reader.option("header", True).csv(path)
     plain = reader.option("header", False).csv(path).withColumn("__at", F.monotonically_increasing_id())

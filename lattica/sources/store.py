@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import RequestError
-from ..operators.profile import profile
+from ..operators.profile import profile, top_values
 from ..operators.rows import with_row_ids
 
 FORMAT, HISTORY = 3, 50
@@ -78,6 +78,7 @@ class Store:
         with_row_ids(df).write.parquet(f"{base}/rows")
         rows = self.spark.read.parquet(f"{base}/rows")
         profile(rows.drop("_row_id")).coalesce(1).write.parquet(f"{base}/profiles")
+        top_values(rows.drop("_row_id")).coalesce(1).write.parquet(f"{base}/values")
         m = {"format": FORMAT, "dataset": name, "base": base, "rows": rows.count(), "columns": [[f.name, f.dataType.simpleString()] for f in df.schema], "source": source, "source_key": key, "indexed_at": time.time()}
         m["fingerprint"] = fingerprint(rows, df.columns)
         self.publish(name, m)
@@ -95,6 +96,10 @@ class Store:
     def profiles(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.manifest(name)['base']}/profiles")
 
+    def values(self, name: str) -> DataFrame:
+        """(name, value, count, rank) of each column's most frequent values."""
+        return self.spark.read.parquet(f"{self.manifest(name)['base']}/values")
+
     def history(self, name: str, n: int = HISTORY) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{valid_id(name)}/history").orderBy(F.desc("indexed_at")).limit(min(n, HISTORY))
 
