@@ -89,7 +89,7 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def running_total(counts: DataFrame, key: str, buckets: int = 32) -> DataFrame:
     """Adds ``upto``, the sum of ``n`` over all keys up to this one; keys fall into buckets at approximate quantiles."""
-    cuts = counts.agg(F.percentile_approx(key, F.array(*[F.lit((k + 1) / buckets) for k in range(buckets - 1)]), 10_000).alias("cuts"))
+    cuts = counts.agg(F.percentile_approx(key, F.array(*[F.lit((k + 1) / buckets) for k in range(buckets - 1)]), 1_000).alias("cuts"))
     # A bucket holds equal keys together, so its number is an order on keys whatever the cuts' accuracy.
     dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda x: x < F.col(key)))).drop("cuts")
     totals = dealt.groupBy("bucket").agg(F.sum("n").alias("t"))

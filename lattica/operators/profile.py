@@ -27,8 +27,8 @@ def as_text(f: T.StructField) -> Column:
     return F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else c.cast("string")
 
 
-def column_stats(df: DataFrame) -> DataFrame:
-    """One row for each column, from one aggregation: counts, range, moments and quantiles.  NaN counts as null."""
+def stat_parts(df: DataFrame) -> tuple[list[Column], list[list[Column]]]:
+    """Aggregates, and for each column the fields they give: counts, range, moments and quantiles.  NaN counts as null."""
     parts, rows = [], []
     for i, f in enumerate(df.schema):
         kind = logical_type(f.dataType)
@@ -41,33 +41,63 @@ def column_stats(df: DataFrame) -> DataFrame:
         parts += [F.min(c if kind != "string" else text).cast("string").alias(f"lo{i}"), F.max(c if kind != "string" else text).cast("string").alias(f"hi{i}")]
         if number:
             d = c.cast("double")
-            parts += [F.avg(d).alias(f"m{i}"), F.stddev_samp(d).alias(f"s{i}"), F.var_samp(d).alias(f"v{i}"), F.percentile_approx(d, list(QUANTILES), 10_000).alias(f"q{i}")]
+            parts += [F.avg(d).alias(f"m{i}"), F.var_samp(d).alias(f"v{i}"), F.percentile_approx(d, list(QUANTILES), 10_000).alias(f"q{i}")]
         value = lambda name, cast: (F.col(f"{name}{i}") if number else F.lit(None)).cast(cast)  # noqa: B023, E731
+        nulls = F.col(f"n{i}") - F.col(f"k{i}")
         rows.append(
-            F.struct(
-                F.lit(f.name).alias("name"), F.lit(i).alias("position"), F.lit(kind).alias("type"), F.col(f"n{i}").alias("count"), (F.col(f"n{i}") - F.col(f"k{i}")).alias("null_count"),
-                F.when(F.col(f"n{i}") > 0, F.round(100.0 * (F.col(f"n{i}") - F.col(f"k{i}")) / F.col(f"n{i}"), 1)).otherwise(0.0).alias("null_pct"),
-                F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.round(value("m", "double"), 6).alias("mean"), F.round(value("s", "double"), 6).alias("std_dev"), F.round(value("v", "double"), 6).alias("variance"), value("q", "array<double>").alias("quantiles"),
-            )
+            [
+                F.lit(f.name).alias("name"), F.lit(i).alias("position"), F.lit(kind).alias("type"), F.col(f"n{i}").alias("count"), nulls.alias("null_count"),
+                F.when(F.col(f"n{i}") > 0, F.round(100.0 * nulls / F.col(f"n{i}"), 1)).otherwise(0.0).alias("null_pct"),
+                F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.round(value("m", "double"), 6).alias("mean"), F.round(F.sqrt(value("v", "double")), 6).alias("std_dev"), F.round(value("v", "double"), 6).alias("variance"), value("q", "array<double>").alias("quantiles"),
+            ]
         )
-    return df.agg(*parts).select(F.inline(F.array(*rows)))
+    return parts, rows
+
+
+def column_stats(df: DataFrame) -> DataFrame:
+    """One row for each column, from one aggregation: counts, range, moments and quantiles."""
+    parts, rows = stat_parts(df)
+    return df.agg(*parts).select(F.inline(F.array(*[F.struct(*r) for r in rows])))
+
+
+def lane(kind: T.DataType) -> str:
+    """The type in which a column's values are counted; only what has no plain type of its own is counted as text."""
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    plain = (T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    return kind.simpleString() if isinstance(kind, plain) else "string"
+
+
+def typed_counts(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(position, a column for each lane, n) of every distinct non-null value; formatting text costs more than counting, so it comes after."""
+    lanes = sorted({lane(f.dataType) for f in df.schema})
+    cell = lambda f, of: (as_text(f) if of == "string" else F.col(f"`{f.name}`").cast(of)) if lane(f.dataType) == of else F.lit(None).cast(of)
+    rows = [F.struct(F.lit(i).alias("position"), *[cell(f, of).alias(f"in_{of}") for of in lanes]) for i, f in enumerate(df.schema)]
+    held = [f"in_{of}" for of in lanes]
+    cells = df.select(F.inline(F.array(*rows))).where(F.greatest(*[F.col(c).isNotNull() for c in held]) if len(held) > 1 else F.col(held[0]).isNotNull())
+    return cells.groupBy("position", *held).agg(F.count(F.lit(1)).alias("n")), held
+
+
+def named(df: DataFrame) -> Column:
+    """A position's column name."""
+    return F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("position") + 1).alias("name")
 
 
 def value_counts(df: DataFrame) -> DataFrame:
     """(name, value, n) of every distinct non-null value of every column; tasks count before they shuffle."""
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("name"), as_text(f).alias("value")) for f in df.schema])))
-    return cells.where("value is not null").groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts, held = typed_counts(df)
+    return counts.select(named(df), F.coalesce(*[F.col(c).cast("string") for c in held]).alias("value"), "n")
 
 
 def cardinalities(df: DataFrame) -> DataFrame:
     """(name, cardinality, most) exactly, from the value counts."""
-    return value_counts(df).groupBy("name").agg(F.count(F.lit(1)).alias("cardinality"), F.max("n").alias("most"))
+    counts, _ = typed_counts(df)
+    return counts.groupBy("position").agg(F.count(F.lit(1)).alias("cardinality"), F.max("n").alias("most")).select(named(df), "cardinality", "most")
 
 
-def approximate_cardinalities(df: DataFrame) -> DataFrame:
-    """(name, cardinality) from one sketch for each column: no shuffle of values."""
-    one = df.agg(*[F.approx_count_distinct(as_text(f), 0.023).alias(f"d{i}") for i, f in enumerate(df.schema)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("name"), F.col(f"d{i}").alias("cardinality")) for i, f in enumerate(df.schema)])))
+def sketched(f: T.StructField) -> Column:
+    """What a sketch hashes: the value itself, and text only of nested values."""
+    return as_text(f) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`")
 
 
 def top_values(df: DataFrame, k: int = TOP) -> DataFrame:
@@ -81,8 +111,8 @@ def name_matches(name: str, hints: tuple[str, ...]) -> bool:
     return lower in hints or bool(set(lower.replace("-", "_").replace(" ", "_").split("_")) & set(hints))
 
 
-def semantic_types(df: DataFrame) -> DataFrame:
-    """(name, semantic_type, semantic_confidence): the first detector that holds for enough of a column's values, over all rows."""
+def kind_parts(df: DataFrame) -> tuple[list[Column], list[list[Column]]]:
+    """Aggregates, and for each column the fields they give: the first detector that holds for enough of its values, over all rows."""
     parts, rows = [], []
     for i, f in enumerate(df.schema):
         kind, c = logical_type(f.dataType), as_text(f)
@@ -92,26 +122,42 @@ def semantic_types(df: DataFrame) -> DataFrame:
             tests += [("zip_us", c.rlike(r"^\d{5}$"))] if name_matches(f.name, SEMANTIC[8][2]) else []
             tests += [("latitude", d.between(-90, 90))] if name_matches(f.name, LATITUDE) else []
             tests += [("longitude", d.between(-180, 180))] if name_matches(f.name, LONGITUDE) else []
-        parts.append(F.count(c).alias(f"k{i}"))
-        parts += [F.count_if(t).alias(f"t{i}_{j}") for j, (_, t) in enumerate(tests)]
         found = F.lit(None).cast("struct<t:string,c:double>")
+        if tests:
+            parts.append(F.count(c).alias(f"p{i}"))
+            parts += [F.count_if(t).alias(f"t{i}_{j}") for j, (_, t) in enumerate(tests)]
         for j, (n, _) in reversed(list(enumerate(tests))):
-            ratio = F.col(f"t{i}_{j}") / F.nullif(F.col(f"k{i}"), F.lit(0))
-            found = F.when((F.col(f"k{i}") >= LEAST_SAMPLES) & (ratio >= FIRES), F.struct(F.lit(n).alias("t"), F.round(ratio, 3).alias("c"))).otherwise(found)
-        rows.append(F.struct(F.lit(f.name).alias("name"), found.alias("x")))
-    return df.agg(*parts).select(F.inline(F.array(*rows))).select("name", F.col("x.t").alias("semantic_type"), F.col("x.c").alias("semantic_confidence"))
+            ratio = F.col(f"t{i}_{j}") / F.nullif(F.col(f"p{i}"), F.lit(0))
+            found = F.when((F.col(f"p{i}") >= LEAST_SAMPLES) & (ratio >= FIRES), F.struct(F.lit(n).alias("t"), F.round(ratio, 3).alias("c"))).otherwise(found)
+        rows.append([found["t"].alias("semantic_type"), found["c"].alias("semantic_confidence")])
+    return parts, rows
+
+
+def semantic_types(df: DataFrame) -> DataFrame:
+    """(name, semantic_type, semantic_confidence) of each column, from one aggregation."""
+    parts, rows = kind_parts(df)
+    return df.agg(F.count(F.lit(1)).alias("n"), *parts).select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("name"), *r) for f, r in zip(df.schema, rows, strict=True)])))
 
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
-    """One row for each column.  ``exact`` counts distinct values by a shuffle of value counts; else a sketch does."""
-    stats, kinds = column_stats(df), semantic_types(df)
-    cards = cardinalities(df) if exact else approximate_cardinalities(df).withColumn("most", F.lit(None).cast("long"))
+    """One row for each column.
+
+    Statistics and semantic types are one aggregation of the table.  ``exact``
+    counts distinct values by a shuffle of value counts; else sketches in that
+    same aggregation do.
+    """
+    (stats, stat_rows), (kinds, kind_rows) = stat_parts(df), kind_parts(df)
+    parts, rows = stats + kinds, [a + b for a, b in zip(stat_rows, kind_rows, strict=True)]
+    if not exact:
+        parts += [F.approx_count_distinct(sketched(f), 0.023).alias(f"d{i}") for i, f in enumerate(df.schema)]
+        rows = [r + [F.col(f"d{i}").alias("cardinality"), F.lit(None).cast("long").alias("most")] for i, r in enumerate(rows)]
+    out = df.agg(*parts).select(F.inline(F.array(*[F.struct(*r) for r in rows])))
+    if exact:
+        out = out.join(F.broadcast(cardinalities(df)), "name", "left")
     present = F.col("count") - F.col("null_count")
     unique = (present > 0) & (F.col("null_count") == 0) & (F.col("cardinality") == present)
     return (
-        stats.join(F.broadcast(cards), "name", "left")
-        .join(F.broadcast(kinds), "name", "left")
-        .withColumn("cardinality", F.coalesce("cardinality", F.lit(0)))
+        out.withColumn("cardinality", F.coalesce("cardinality", F.lit(0)))
         .withColumn("cardinality_is_exact", F.lit(exact))
         .withColumn("is_unique", unique)
         .withColumn("is_primary_key_candidate", unique & F.col("type").isin("integer", "string"))

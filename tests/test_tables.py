@@ -191,3 +191,14 @@ def test_helpers():
     cache.put("b", 2)
     assert cache.get("a") is None and cache.get("b") == 2
     assert repositories.discover([("a.csv", 5), ("b.bin", 1), ("c.csv", 10**9)]) == (["a.csv"], [("b.bin", "suffix"), ("c.csv", "size")])
+
+
+def test_values_are_counted_in_their_own_type(spark):
+    rows = [(1, 0.0, 1.5, "a", None, True, [1], "2024-01-01"), (1, -0.0, 1.5, "a", None, False, [1], "2024-01-01"), (None, 2.0, None, "1", None, None, [2], None)]
+    df = spark.createDataFrame(rows, "i int, d double, f float, s string, z string, b boolean, a array<int>, t string").withColumn("t", F.to_timestamp("t"))
+    found = {(r["name"], r["value"]): r["n"] for r in prof.value_counts(df).collect()}
+    assert found == {("i", "1"): 2, ("d", "0.0"): 2, ("d", "2.0"): 1, ("f", "1.5"): 2, ("s", "a"): 2, ("s", "1"): 1, ("b", "true"): 1, ("b", "false"): 1, ("a", "[1]"): 2, ("a", "[2]"): 1, ("t", "2024-01-01 00:00:00"): 2}
+    assert {r["name"]: (r["cardinality"], r["most"]) for r in prof.cardinalities(df).collect()}["d"] == (2, 2)
+    one = {r["name"]: r["cardinality"] for r in prof.profile(df).collect()}
+    assert one["z"] == 0 and one == {r["name"]: r["cardinality"] for r in prof.profile(df, exact=False).collect()}
+    assert prof.value_counts(df.select("s")).count() == 2
