@@ -96,8 +96,15 @@ def cardinalities(df: DataFrame) -> DataFrame:
 
 
 def sketched(f: T.StructField) -> Column:
-    """What a sketch hashes: the value itself, and text only of nested values."""
-    return as_text(f) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`")
+    """Estimated distinct values of a column, from one sketch of 2^11 registers: a single buffer, where ``approx_count_distinct`` has hundreds."""
+    c = F.col(f"`{f.name}`")
+    if lane(f.dataType) == "bigint":
+        value = c.cast("bigint")
+    elif lane(f.dataType) == "string" and not isinstance(f.dataType, T.DecimalType):
+        value = as_text(f)
+    else:
+        value = F.when(c.isNotNull(), F.xxhash64(c))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value, 11))
 
 
 def top_values(df: DataFrame, k: int = TOP) -> DataFrame:
@@ -149,7 +156,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     (stats, stat_rows), (kinds, kind_rows) = stat_parts(df), kind_parts(df)
     parts, rows = stats + kinds, [a + b for a, b in zip(stat_rows, kind_rows, strict=True)]
     if not exact:
-        parts += [F.approx_count_distinct(sketched(f), 0.023).alias(f"d{i}") for i, f in enumerate(df.schema)]
+        parts += [sketched(f).alias(f"d{i}") for i, f in enumerate(df.schema)]
         rows = [r + [F.col(f"d{i}").alias("cardinality"), F.lit(None).cast("long").alias("most")] for i, r in enumerate(rows)]
     out = df.agg(*parts).select(F.inline(F.array(*[F.struct(*r) for r in rows])))
     if exact:
