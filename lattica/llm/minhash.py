@@ -103,7 +103,7 @@ def link_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     column = np.cumsum(new) - 1
     often = np.bincount(column)[column] > 1 if len(values) else new  # a shingle of one text only is in no intersection
     column, owner = column[often], owner[often]
-    common = np.zeros((n, n), np.float32)
+    common = np.zeros((n, n))  # whole numbers, and a test below without float32's rounding
     if len(column):
         fresh = np.concatenate([[True], column[1:] != column[:-1]])
         column = np.cumsum(fresh) - 1
@@ -112,7 +112,8 @@ def link_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
             part = np.zeros((n, COLUMNS), np.float32)
             part[owner[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - k * COLUMNS] = 1
             common += part @ part.T
-    links = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
+    union = sizes[:, None] + sizes[None, :] - common
+    links = common >= threshold * union * (1 - 1e-12)
     np.fill_diagonal(links, False)
     links[sizes == 0] = False
     links[:, sizes == 0] = False

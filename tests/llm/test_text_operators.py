@@ -428,6 +428,18 @@ def test_join_against_brute_force(docs, empty, spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c, _ in want})
 
 
+def test_pairs_at_exactly_the_threshold_are_linked(spark):
+    for c in range(4, 4001, 4):  # c of c + c / 4 distinct shingles are 0.8; one more shingle is less
+        a = np.arange(c, dtype=np.uint64)
+        whole = np.arange(c + c // 4, dtype=np.uint64)
+        assert minhash.link_matrix([a, whole], 0.8).tolist() == [[False, True], [True, False]], c
+        assert not minhash.link_matrix([a, np.append(whole, np.uint64(10**6))], 0.8).any(), c
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[:220]), " ".join(words[:274]), " ".join(words[300:320]), " ".join(words[300:324]), " ".join(words[300:325])]
+    got = minhash.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == plain_classes(list(enumerate(texts)))
+
+
 def test_bands_reach_the_recall():
     b = minhash.bands_for(0.8, 0.9995, 6)
     assert 1 - (1 - 0.8**6) ** b >= 0.9995 > 1 - (1 - 0.8**6) ** (b - 1)
