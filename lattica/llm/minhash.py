@@ -138,7 +138,7 @@ def as_key(column: str) -> Column:
 
 
 def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links of each distinct text: (digest, class_id, n_links, first_id).
+    """Links of each distinct text: (digest, class_id, n_links, first_id, root).
 
     Texts are one class of copies by digest.  MinHash bands (their number
     follows from ``recall`` at ``similarity``) are shuffled; texts that share a
@@ -150,7 +150,8 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
     pairs.
 
     ``class_id`` is the least id of all texts linked directly or through
-    others; ``n_links`` is the number of other documents at ``similarity`` or
+    others, ``root`` the digest that stands for that class (ids may be null or
+    repeated, so class_id does not); ``n_links`` is the number of other documents at ``similarity`` or
     more, copies included; ``first_id`` is the least id of the text's own
     copies.  Texts without a word link to their copies only.  Null texts count
     as empty, null ids are passed over unless a class has no other.
@@ -234,7 +235,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
         .withColumn("root", F.coalesce("root", "digest"))
     )
     least = table.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    return table.join(least, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first_id")
+    return table.join(least, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first_id", "root")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
@@ -247,7 +248,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row of each class, that of the least id, with all its columns."""
     links = jaccard_links(docs, id_col=id_col, text_col=text_col, **settings)
-    keep = links.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("digest").alias("__digest")).select(F.col("class_id").alias("__id"), "__digest")
+    first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest"))
+    keep = links.groupBy("root").agg(first.alias("__first")).select(F.col("__first.first_id").alias("__id"), F.col("__first.digest").alias("__digest"))
     rows = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))).dropDuplicates([id_col, "__digest"])
     same = rows[id_col].eqNullSafe(keep["__id"]) & (rows["__digest"] == keep["__digest"])
     return rows.join(keep, same, "left_semi").drop("__digest")

@@ -440,6 +440,16 @@ def test_pairs_at_exactly_the_threshold_are_linked(spark):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == plain_classes(list(enumerate(texts)))
 
 
+def test_unlike_texts_with_null_or_repeated_ids_are_all_kept(spark):
+    rng = random.Random(10)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(12)]
+    near = f"{texts[0]} more"
+    rows = [(None, t) for t in texts[:6]] + [(5, t) for t in texts[6:]] + [(None, near), (3, texts[1]), (5, texts[6]), (None, None)]
+    kept = minhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], r["text"]) for r in kept)
+    assert got == Counter([(3, texts[1]), (None, None), *[(None, t) for t in texts[2:6]], *[(5, t) for t in texts[6:]], *[x for x in got if x in {(None, texts[0]), (None, near)}][:1]])
+
+
 def test_bands_reach_the_recall():
     b = minhash.bands_for(0.8, 0.9995, 6)
     assert 1 - (1 - 0.8**6) ** b >= 0.9995 > 1 - (1 - 0.8**6) ** (b - 1)
