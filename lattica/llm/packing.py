@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -109,21 +111,29 @@ LOOKAHEAD = r"|\s+(?!\S)"
 _RUN = re.compile(r"\s\s")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that a JSON vocabulary sets apart from its merges, by their strings."""
+    return {t["content"]: t["id"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])} if path.endswith(".json") else {}
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text by merge ranks; special tokens' strings are ordinary text.
+def encoder(path: str, pattern: str, added: bool = False) -> Callable[[str], np.ndarray]:
+    """Ids of a text by merge ranks; strings of added tokens get those tokens' ids if ``added``, else they are ordinary text.
 
     Without a lookahead the pattern runs in a plain automaton, so texts with no
     run of white space, which the shorter pattern splits alike, take that way.
     """
     ranks = read_vocabulary(path) if path.endswith(".json") else read_ranks(path)
+    special = added_tokens(path) if added else {}
+    holds = re.compile("|".join(map(re.escape, special))) if special else None
 
     @functools.cache
     def by(pattern: str) -> tiktoken.Encoding:
-        return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> np.ndarray:
-        ids = by(pattern if _RUN.search(text) else pattern.replace(LOOKAHEAD, "")).encode_ordinary(text)
+        by_pattern = by(pattern if _RUN.search(text) else pattern.replace(LOOKAHEAD, ""))
+        ids = by_pattern.encode(text, allowed_special="all") if holds and holds.search(text) else by_pattern.encode_ordinary(text)
         return np.frombuffer(array("I", ids), np.uint32)
 
     return encode
@@ -146,7 +156,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int,
 
     @F.arrow_udf(_PIECES)
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoder(vocabulary, pattern)
+        encode = encoder(vocabulary, pattern, added=True)
         for texts in batches:
             rows = []
             for t in (t for _, some in slices(texts) for t in some.to_pylist()):

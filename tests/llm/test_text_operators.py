@@ -356,6 +356,17 @@ def test_ids_are_the_tokenizers_library_s():
         assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_get_the_library_s_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|>b", "<|endoftext|>" * 2, "x  <|endoftext|>  y\n\n", "<|endoftext|", "é <|endoftext|>'s", "plain  text"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN).collect()
+    want = [np.array(t.encode(x, add_special_tokens=False).ids + [0], "<u4") for x in texts]
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(want)}
+
+
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1500, 300).tolist()
