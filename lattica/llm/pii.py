@@ -24,7 +24,8 @@ from .common import release, ship, slices
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 SURE = 0.9
-ROUNDS, DAMPING = 8, 0.3
+#: Messages pass until none changes by SETTLED; loops that never settle are left after MOST_ROUNDS.
+SETTLED, MOST_ROUNDS, DAMPING = 1e-4, 200, 0.3
 #: How strongly repeated or similar words of a document ask for one label: the score of equal labels, and minus that of different ones.
 TIE = 2.5
 SHORT_KEY = 6
@@ -116,7 +117,7 @@ def graph(text: str, spans: list[Span]) -> Graph:
     nodes = [k for k, m in enumerate(words) if _SIGN.search(m[0])]
     shapes = {k: _shape(words[k][0]) for k in nodes}
     g = Graph([], [], [], [], [])
-    keys: dict[str, int] = {}
+    keys: list[set[str]] = []
     at = 0
     reach = sorted(spans)
     for i, k in enumerate(nodes):
@@ -135,10 +136,16 @@ def graph(text: str, spans: list[Span]) -> Graph:
         similar = {"w" + word} if len(word) >= SHORT_KEY else set()
         if len(digits) >= SHORT_KEY:
             similar |= {"d" + digits, "e" + digits[-7:]}
-        # One edge to the last word of the same key ties all of them together without all pairs.
-        for j in {keys[x] for x in similar if x in keys} - ({i - 1} if chained else set()):
-            g.skip.append((j, i))
-        keys |= dict.fromkeys(similar, i)
+        keys.append(similar)
+    # Every word is tied to hubs of its keys: the first word caught as each kind, whose label is certain, or the first word if none is.
+    hubs: dict[str, dict[int, int]] = {}
+    for i, similar in enumerate(keys):
+        for x in similar:
+            hubs.setdefault(x, {}).setdefault(g.labels[i], i)
+    for i, similar in enumerate(keys):
+        if not g.labels[i]:
+            tied = {j for x in similar for label, j in hubs[x].items() if label or len(hubs[x]) == 1}
+            g.skip += [(j, i) for j in sorted(tied - {i})]
     return g
 
 
@@ -209,12 +216,16 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray) -> np
     tables = np.concatenate([potential, potential.transpose(0, 2, 1)])
     opposite = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(i), LABELS))
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         belief = unary.copy()
         np.add.at(belief, j, message)
         new = np.logaddexp.reduce(tables + (belief[i] - message[opposite])[:, :, None], axis=1)
         new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-        message = DAMPING * message + (1 - DAMPING) * new
+        new = DAMPING * message + (1 - DAMPING) * new
+        change = np.abs(new - message).max()
+        message = new
+        if change < SETTLED:
+            break
     belief = unary.copy()
     np.add.at(belief, j, message)
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
@@ -228,7 +239,7 @@ def added_spans(texts: list[str], graphs: list[Graph], w: Weights, known: dict[s
     for at, g in zip(first, graphs, strict=False):
         for k, (p, label) in enumerate(zip(g.patterns, g.labels, strict=True)):
             if label:
-                unary[at + k] = -30
+                unary[at + k] = -np.inf  # however many repeats lean another way
                 unary[at + k, label] = 0
             else:
                 if p not in known:

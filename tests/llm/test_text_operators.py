@@ -132,6 +132,25 @@ def test_field_adds_what_repeats_and_keeps_clean_texts(spark):
     assert added == ["15555550100"]
 
 
+def test_every_repeat_of_a_caught_number_is_labelled(spark):
+    rng = random.Random(12)
+    rows = [(i, f"{prose(rng, 20)} +1 (555) 555-{rng.randrange(1000, 9999)} {prose(rng, 20)}" if i % 2 else prose(rng, 40)) for i in range(400)]
+    rows.append((1000, "call +15555550100 " + " ".join(f"{prose(rng, 9)} or 15555550100 again" for _ in range(50))))
+    rows.append((1001, " ".join(f"{prose(rng, 9)} or 15555550100 again" for _ in range(25)) + " call +15555550100 " + " ".join(f"{prose(rng, 9)} or 15555550100 again" for _ in range(25))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.with_spans(df, pii.learn(df), "f").where("doc_id >= 1000").collect():
+        assert [r["text"][s["start"] : s["end"]] for s in r["f"] if not s["base"]] == ["15555550100"] * 50
+
+
+def test_repeats_hear_the_caught_word_however_many_there_are():
+    lean = pii.Weights({}, np.array([[1.0, 0, 0, 0, 0]]), np.zeros((pii.LABELS, pii.LABELS)), pii.TIE * (2 * np.eye(pii.LABELS) - 1))  # every word to clean
+    for n in (1, 50, 500):
+        for text in ("+15555550100 x" + " 15555550100 x" * n, "15555550100 x " * n + "+15555550100"):
+            found = pii.find([text], lean, {})[0]
+            assert [text[a:b] for a, b, kind, base in found if kind == 3 and not base] == ["15555550100"] * n
+            assert len(pii.graph(text, pii.base_spans(text)).skip) <= 3 * (n + 1)
+
+
 def test_pii_edges(docs, empty, spark):
     w = pii.learn(docs)
     got = pii.with_spans(docs, w, "found").select("doc_id", "text", "found").collect()
