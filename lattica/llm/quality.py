@@ -26,8 +26,9 @@ BANDS = [
     (6400, 0.22, 0.72),
     (25600, 0.20, 0.72),
 ]
-#: Whole chunks of CHUNK bytes are judged by this band; a text fails if more than BAD_CHUNKS of them lie outside it.
-CHUNK, CHUNK_BAND, BAD_CHUNKS = 4096, (0.22, 0.74), 0.5
+#: Chunks of CHUNK bytes are judged by this band, and what is left over by the band of its length (under LEAST_TAIL bytes it belongs to the chunk before).
+#: A text fails if more than BAD_CHUNKS of its chunks lie outside: clean prose has none.
+CHUNK, CHUNK_BAND, LEAST_TAIL, BAD_CHUNKS = 4096, (0.22, 0.74), 100, 0.05
 LEVEL = 3
 
 RESULT = pa.struct(
@@ -62,11 +63,16 @@ def judge(raw: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float | None,
         return None, 0, 0, False
     ratio = len(squeeze.compress(raw)) / len(raw)
     lo, hi = band(len(raw))
-    n = len(raw) // CHUNK
+    edges = [*range(0, len(raw) - len(raw) % CHUNK + 1, CHUNK)]
+    if len(edges) > 1 and len(raw) - edges[-1] >= LEAST_TAIL:
+        edges.append(len(raw))
+    else:
+        edges[-1] = len(raw) if len(edges) > 1 else 0
+    n = len(edges) - 1  # none in a text of less than a chunk, which is judged as a whole
     bad = 0
-    for k in range(n):
-        r = len(squeeze.compress(raw[k * CHUNK : (k + 1) * CHUNK])) / CHUNK
-        bad += not CHUNK_BAND[0] <= r <= CHUNK_BAND[1]
+    for a, b in zip(edges, edges[1:], strict=False):
+        low, high = CHUNK_BAND if b - a >= CHUNK else band(b - a)
+        bad += not low <= len(squeeze.compress(raw[a:b])) / (b - a) <= high
     return ratio, bad, n, lo <= ratio <= hi and bad <= BAD_CHUNKS * n
 
 

@@ -329,6 +329,17 @@ def test_compression_bands():
     assert not quality.judge(clean[:3000] + noise, z)[3]
 
 
+def test_junk_beside_prose_is_judged():
+    z, rng = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(7)
+    syllables = [a + b for a in "bcdfgklmnprst" for b in "aeiou"]
+    clean = " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(9000)).encode()
+    noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000)).encode()
+    for text in (clean[:20_480] + noise, clean[:24_576] + b"The same sentence is said again. " * 500, clean[:4096] + noise[:4095], clean[:4096] + noise[:2000], noise[:4096] + clean[:20_480]):
+        assert not quality.judge(text, z)[3]
+    for n in (*range(4090, 4210, 7), 8191, 8192, 8193, 8291, 8292, 12_000, 40_000):
+        assert quality.judge(clean[:n], z)[1:] == (0, n // 4096 + (n >= 4096 and n % 4096 >= quality.LEAST_TAIL), True), n
+
+
 # packing
 
 
@@ -578,6 +589,20 @@ def test_pipeline_rejects_and_keeps(spark):
     assert rng
 
 
+def test_unknown_languages_are_rejected(spark):
+    others = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "minden emberi lény szabadon születik és egyenlő méltósága és joga van az emberek ésszel és lelkiismerettel bírván",
+        "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+    ]
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(90_000 + i, f"{t} " * 20, None, "s", 20 * len(t)) for i, t in enumerate(others)], "doc_id long, text string, lang string, source string, n_chars long")
+    both = d.unionByName(extra)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, both, SF).collect()}
+    assert not kept & {90_000, 90_001, 90_002}
+    assert {r["doc_id"] for r in d.where("n_chars > 300").collect()} <= kept
+
+
 def test_pieces():
     assert list(pieces([3, 3, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)]
     assert list(pieces([], 6)) == []
