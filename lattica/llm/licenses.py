@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,12 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
 ]
+#: Whole texts, one file for each identifier; a copy may end with the terms, without the advice on how to apply them.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+    _text = _file.read_text(encoding="utf-8")
+    _terms, _end, _ = _text.partition(TERMS_END)
+    KNOWN += [(_file.stem, x) for x in {_text, _terms + _end, _terms}]
 #: Spellings that count as equal, applied to normalised text in this order.
 SPELLINGS = [
     ("licence", "license"),
@@ -77,8 +85,8 @@ SPELLINGS = [
     ("while", "whilst"),
     ("copyright owner", "copyright holder"),
 ]
-#: A line that names the holder of a copyright says nothing about which licence it is.
-COPYRIGHT_LINE = r"^[ \t\r]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
+#: A line that names the holder of a copyright, in a comment or not, says nothing about which licence it is.
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n(©]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|the[ \t][^\n]*(authors|contributors))|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 

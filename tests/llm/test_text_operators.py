@@ -215,6 +215,18 @@ def test_licenses(docs, empty, spark):
         licenses.scan_licenses(docs, known=[("X", "a")] * 3, most_known=2)
 
 
+def test_whole_licenses_and_commented_copyright_lines(spark):
+    folder = licenses.Path(licenses.__file__).parent / "license_texts"
+    texts = [(f.stem, f.read_text()) for f in sorted(folder.glob("*.txt"))]
+    assert {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= {n for n, _ in texts}
+    for head in ("# Copyright (c) 2020 X", " * Copyright 2021 X", "// Copyright The X Authors", "Copyright The X Authors"):
+        mark = head.split("C")[0]
+        texts += [("MIT", "\n".join([head, *(mark + line for line in licenses.KNOWN[0][1].split("\n"))]))]
+    texts += [("GPL-3.0", dict(texts)["GPL-3.0"].split("END OF TERMS")[0]), (None, dict(texts)["GPL-3.0"] + "\nand more words")]
+    rows = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["license"] for r in licenses.scan_licenses(rows).collect()} == {k: n for k, (n, _) in enumerate(texts)}
+
+
 # language
 
 
