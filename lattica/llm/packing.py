@@ -1,4 +1,10 @@
-"""Best-fit packing by a grouping genetic algorithm on islands with elite migration."""
+"""Best-fit packing by a grouping genetic algorithm on islands with elite migration.
+
+The first packings of an island place its documents in random orders, so what
+is better than they are comes from crossover: whole well-filled bins of one
+packing are injected into another, bins that hold a duplicate are opened, and
+the documents this displaces are placed by best fit.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -22,88 +29,100 @@ from .bpe import read_ranks, read_vocabulary
 from .common import checkpointed, release, ship, slices
 
 CAPACITY = 2048
-#: Items of one island's problem, islands for each problem, rounds between migrations, and the work of a round.
+#: Items of one island's problem, islands for each problem, and rounds between migrations.
 GROUP, ISLANDS, EPOCHS = 2048, 2, 2
-POPULATION, GENERATIONS, INJECTED = 4, 4, 0.3
+#: Packings of an island, children a generation, generations a round; a round ends early after PATIENCE generations without a bin less.
+POPULATION, CHILDREN, GENERATIONS, PATIENCE = 12, 8, 40, 16
+#: Share of a packing's bins that are injected, from and to; shares of the other's bins that are opened besides: the emptiest, and any.
+INJECTED, EMPTIEST, ANY = (0.2, 0.7), 0.03, 0.1
 #: Bins filled less than this are opened again and packed together with those of other groups.
 WELL_FILLED = 0.97
 
-Bins = list[list[int]]
 
+@dataclass
+class Packing:
+    """The bin of each item, and how full each bin is."""
+
+    where: np.ndarray
+    fill: np.ndarray
+
+    def cost(self, capacity: int) -> tuple[int, float]:
+        """Fewer bins first, then fuller ones (lower is better)."""
+        return len(self.fill), -float(((self.fill / capacity) ** 2).sum())
 
-def best_fit(order: list[int], sizes: list[int], bins: Bins, room: list[int], capacity: int) -> None:
-    """Puts items, in the given order, each into the bin with the least room that holds it; ``bins`` and ``room`` grow in place."""
+
+def best_fit(order: list[int], sizes: list[int], where: list[int], room: list[int], capacity: int) -> None:
+    """Puts items, in the given order, each into the bin with the least room that holds it; ``where`` and ``room`` change in place."""
     open_bins = sorted((r, k) for k, r in enumerate(room) if r)
     for item in order:
         size = sizes[item]
         at = bisect.bisect_left(open_bins, (size, -1))
         if at < len(open_bins):
             r, k = open_bins.pop(at)
-            bins[k].append(item)
             room[k] = r - size
         else:
-            k = len(bins)
-            bins.append([item])
+            k = len(room)
             room.append(capacity - size)
+        where[item] = k
         if room[k]:
             bisect.insort(open_bins, (room[k], k))
 
 
-def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones (as a cost: lower is better)."""
-    return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+def packed(order: np.ndarray, sizes: np.ndarray, capacity: int) -> Packing:
+    """All items by best fit in the given order."""
+    where, room = [0] * len(sizes), []
+    best_fit(order.tolist(), sizes.tolist(), where, room, capacity)
+    return Packing(np.array(where, np.int64), capacity - np.array(room, np.int64))
 
 
-def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: np.random.Generator) -> Bins:
-    """Injects well-filled bins of ``b`` whole into ``a``, drops the bins they duplicate, and best-fits what that displaced."""
-    fill = np.array([sum(sizes[i] for i in x) for x in b]) / capacity
-    count = max(1, int(INJECTED * len(b)))
-    chosen = np.argsort(-(fill + 0.05 * rng.random(len(b))), kind="stable")[:count]
-    child = [list(b[k]) for k in chosen]
-    taken = {i for x in child for i in x}
-    displaced: list[int] = []
-    for x in a:
-        if taken.isdisjoint(x):
-            child.append(list(x))
-        else:
-            displaced += [i for i in x if i not in taken]
-    # A little mutation: some of the emptiest bins are opened as well.
-    room = [capacity - sum(sizes[i] for i in x) for x in child]
-    loose = sorted(range(count, len(child)), key=lambda k: -room[k])[: max(1, len(child) // 50)]
-    for k in sorted(loose, reverse=True):
-        displaced += child.pop(k)
-        room.pop(k)
-    displaced.sort(key=lambda i: -sizes[i])
-    best_fit(displaced, sizes, child, room, capacity)
-    return child
-
-
-def evolve(sizes: list[int], start: list[Bins], capacity: int, seed: int) -> Bins:
-    """One round on one island: the best solution found from the given ones and fresh ones."""
+def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
+    """Injects well-filled bins of ``b`` whole into ``a``, opens the bins that hold a duplicate, and best-fits what that displaced.
+
+    As mutation some further bins of ``a`` are opened, and the displaced items
+    come in an order that is falling, or nearly so.
+    """
+    count = max(1, int(rng.uniform(*INJECTED) * len(b.fill)))
+    chosen = np.zeros(len(b.fill), bool)
+    chosen[np.argsort(-(b.fill / capacity + 0.03 * rng.random(len(b.fill))), kind="stable")[:count]] = True
+    taken = chosen[b.where]
+    opened = np.zeros(len(a.fill), bool)
+    opened[a.where[taken]] = True
+    left = np.flatnonzero(~opened)
+    opened[left[np.argsort(a.fill[left], kind="stable")[: int(EMPTIEST * len(a.fill)) + 1]]] = True
+    opened[left[rng.random(len(left)) < ANY]] = True
+    left = np.flatnonzero(~opened)
+    name_a, name_b = np.full(len(a.fill), -1), np.full(len(b.fill), -1)
+    name_b[chosen], name_a[left] = np.arange(count), np.arange(len(left)) + count
+    where = np.where(taken, name_b[b.where], name_a[a.where])
+    displaced = np.flatnonzero(where < 0)
+    noise = rng.choice([0.0, 0.02, 0.1]) * rng.random(len(displaced))
+    order = displaced[np.argsort(-sizes[displaced] * (1 - noise), kind="stable")]
+    room = (capacity - np.concatenate([b.fill[chosen], a.fill[left]])).tolist()
+    place = where.tolist()
+    best_fit(order.tolist(), sizes.tolist(), place, room, capacity)
+    return Packing(np.array(place, np.int64), capacity - np.array(room, np.int64))
+
+
+def evolve(sizes: np.ndarray, start: list[Packing], capacity: int, seed: int) -> tuple[Packing, list[int], int]:
+    """One round on one island: the best packing, its bins at the start and after each generation, and the crossovers made.
+
+    The population is the given packings and others of items in random orders.
+    A round ends where no packing can be better.
+    """
     rng = np.random.default_rng(seed)
-    least = -(-sum(sizes) // capacity)
-    falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    people = [(fitness(b, sizes, capacity), b) for b in start]
-    while len(people) < POPULATION and not (people and people[0][0][0] <= least):
-        bins: Bins = []
-        if not people:
-            order = falling
-        else:
-            noise = rng.uniform(0.85, 1.0, len(sizes))
-            order = sorted(falling, key=lambda i: -sizes[i] * noise[i])
-        best_fit(order, sizes, bins, [], capacity)
-        people.append((fitness(bins, sizes, capacity), bins))
-        people.sort(key=lambda x: x[0])
-    for _ in range(GENERATIONS):
-        if people[0][0][0] <= least:
-            break
-        for _ in range(POPULATION // 2):
-            i, j = rng.permutation(len(people))[:2]
-            child = crossover(people[i][1], people[j][1], sizes, capacity, rng)
-            people.append((fitness(child, sizes, capacity), child))
-        people.sort(key=lambda x: x[0])
-        del people[POPULATION:]
-    return people[0][1]
+    least = -(-int(sizes.sum()) // capacity)
+    people = [*start, *(packed(rng.permutation(len(sizes)), sizes, capacity) for _ in range(POPULATION - len(start)))]
+    people.sort(key=lambda p: p.cost(capacity))
+    bins, crossed = [len(people[0].fill)], 0
+    while bins[-1] > least and len(bins) <= GENERATIONS and not (len(bins) > PATIENCE and bins[-1] == bins[-1 - PATIENCE]):
+        for _ in range(CHILDREN):
+            i, j = rng.choice(len(people), 2, replace=False) if len(people) > 1 else (0, 0)
+            people.append(crossover(people[i], people[j], sizes, capacity, rng))
+            crossed += 1
+        unlike = {p.cost(capacity): p for p in people}  # packings of one cost are taken for the same
+        people = [unlike[c] for c in sorted(unlike)[:POPULATION]]
+        bins.append(len(people[0].fill))
+    return people[0], bins, crossed
 
 
 #: The alternative of the public pattern that looks ahead; it matters only where white space follows white space.
@@ -139,6 +158,7 @@ def encoder(path: str, pattern: str, added: bool = False) -> Callable[[str], np.
     return encode
 
 
+REPORT = ("first_bins", "group_bins", "crossovers")
 _PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 _ARROW = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 
@@ -169,41 +189,39 @@ def cut_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int,
     return cuts.select("id", F.inline("pieces")).withColumn("uid", F.monotonically_increasing_id())
 
 
-def _solve(pdf: pd.DataFrame, capacity: int, seed: int) -> pd.DataFrame:
-    """One island's round: rows of (uid, length, role, bin), role by which elite the bin is of (null bins: none yet)."""
-    uids = pdf.loc[pdf["role"] == pdf["role"].min(), ["uid", "length"]].sort_values("uid")
-    place = {u: k for k, u in enumerate(uids["uid"])}
-    sizes = uids["length"].tolist()
+def _solve(pdf: pd.DataFrame, capacity: int, seed: int, last: bool) -> pd.DataFrame:
+    """One island's round: rows of (uid, length, role, bin), role by which elite the bin is of (null bins: none yet).
+
+    In the last round, a packing of the items by falling size joins the population.
+    """
+    own = pdf[pdf["role"] == pdf["role"].min()].sort_values("uid")
+    sizes = own["length"].to_numpy(np.int64)
     start = []
     for _, rows in pdf[pdf["bin"] >= 0].groupby("role"):
-        bins: dict[int, list[int]] = {}
-        for u, b in zip(rows["uid"], rows["bin"], strict=True):
-            bins.setdefault(b, []).append(place[u])
-        start.append(list(bins.values()))
-    start.sort(key=lambda b: fitness(b, sizes, capacity))
-    best = evolve(sizes, start, capacity, seed)
-    bin_of = np.empty(len(sizes), np.int64)
+        _, where = np.unique(rows.sort_values("uid")["bin"].to_numpy(), return_inverse=True)
+        start.append(Packing(where, np.bincount(where, weights=sizes).astype(np.int64)))
+    if last:
+        start.append(packed(np.argsort(-sizes, kind="stable"), sizes, capacity))
+    best, bins, crossed = evolve(sizes, start, capacity, seed)
+    order = np.argsort(best.where, kind="stable")
+    upto = np.cumsum(sizes[order])
+    first = np.concatenate([[0], np.cumsum(best.fill)])[best.where[order]]
     offset = np.empty(len(sizes), np.int64)
-    fill = np.empty(len(sizes), np.int64)
-    for k, members in enumerate(best):
-        at = 0
-        for i in members:
-            bin_of[i], offset[i] = k, at
-            at += sizes[i]
-        fill[members] = at
-    cost = fitness(best, sizes, capacity)
+    offset[order] = upto - sizes[order] - first
+    cost = best.cost(capacity)
     return pd.DataFrame(
-        {"uid": uids["uid"].to_numpy(), "length": uids["length"].to_numpy(), "group": pdf["group"].iloc[0], "island": pdf["island"].iloc[0], "bin": bin_of, "offset": offset, "fill": fill, "n_bins": cost[0], "cost": cost[1]}
+        {"uid": own["uid"].to_numpy(), "length": sizes, "group": pdf["group"].iloc[0], "island": pdf["island"].iloc[0], "bin": best.where, "offset": offset, "fill": best.fill[best.where]}
+        | {"n_bins": cost[0], "cost": cost[1], "first_bins": own["first_bins"].to_numpy() if (own["bin"] >= 0).all() else bins[0], "crossovers": own["crossovers"].to_numpy() + crossed}
     )
 
 
-_SOLVED = "uid long, length long, group long, island int, bin long, offset long, fill long, n_bins long, cost double"
+_SOLVED = "uid long, length long, group long, island int, bin long, offset long, fill long, n_bins long, cost double, first_bins long, crossovers long"
 
 
 def island_round(capacity: int, level: int, epoch: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def island(pdf: pd.DataFrame) -> pd.DataFrame:
         seed = hash((int(pdf["group"].iloc[0]), int(pdf["island"].iloc[0]), level, epoch)) & 0x7FFFFFFF
-        return _solve(pdf, capacity, seed)
+        return _solve(pdf, capacity, seed, epoch == EPOCHS - 1)
 
     return island
 
@@ -219,14 +237,17 @@ def pack_level(items: DataFrame, n_items: int, level: int, capacity: int) -> Dat
         F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])).alias("island"),
         F.lit(0).alias("role"),
         F.lit(-1).cast("long").alias("bin"),
+        F.lit(0).cast("long").alias("first_bins"),
+        F.lit(0).cast("long").alias("crossovers"),
     )
     for epoch in range(EPOCHS):
         solved = rows.groupBy("group", "island").applyInPandas(island_round(capacity, level, epoch), _SOLVED)
         # Each island keeps its elite (role 0) and gets its neighbour's (role 1).
-        rows = solved.select("uid", "length", "group", "bin", F.inline(F.array(F.struct(F.col("island"), F.lit(0).alias("role")), F.struct(F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.lit(1).alias("role")))))
+        rows = solved.select("uid", "length", "group", "bin", "first_bins", "crossovers", F.inline(F.array(F.struct(F.col("island"), F.lit(0).alias("role")), F.struct(F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.lit(1).alias("role")))))
     solved = checkpointed(solved)
-    winner = solved.groupBy("group").agg(F.min(F.struct("n_bins", "cost", "island")).alias("best")).select("group", F.col("best.island").alias("island"))
-    return solved.join(winner, ["group", "island"]).select("uid", "length", "group", "bin", "offset", "fill")
+    best = solved.groupBy("group").agg(F.min(F.struct("n_bins", "cost", "island", "first_bins", "crossovers")).alias("best"))
+    winner = best.select("group", "best.island", "best.first_bins", F.col("best.n_bins").alias("group_bins"), "best.crossovers")
+    return solved.drop("first_bins", "crossovers").join(winner, ["group", "island"]).select("uid", "length", "group", "bin", "offset", "fill", *REPORT)
 
 
 def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,12 +261,17 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACIT
     between rounds.  Bins that stay badly filled are opened and packed again
     with those of other groups, as long as that at least halves what is left.
 
-    Returns (id, piece, start, length, ids_crc32, sequence_id, offset), a row
-    for each piece; repeated rows are packed each, and an empty table gives an
-    empty result.  Other columns are not looked at.
+    Returns (id, piece, start, length, ids_crc32, sequence_id, offset,
+    first_bins, group_bins, crossovers), a row for each piece.  The last three
+    tell of the island that placed the piece: the bins of its best packing in
+    random order, the bins after evolution, and the crossovers made; they are
+    null for full pieces.  Repeated rows are packed each,
+    and an empty table gives an empty result.  A very long text is one
+    document of many pieces; its ids are held by the task that cuts it.  Other
+    columns are not looked at.
     """
     cuts = checkpointed(cut_documents(docs, vocabulary, pattern, capacity, end_id, id_col, text_col))
-    full = cuts.where(F.col("length") == capacity).select("uid", (F.col("uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = cuts.where(F.col("length") == capacity).select("uid", (F.col("uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *[F.lit(None).cast("long").alias(c) for c in REPORT])
     left = cuts.where(F.col("length") < capacity).select("uid", "length")
     n = left.count()
     places, level, base = [full], 0, 0
@@ -257,7 +283,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACIT
         if n_left * 2 > n:
             loose, n_left = F.lit(False), 0
         number = F.lit(base) + F.col("group") * GROUP * 4 + F.col("bin")
-        places.append(solved.where(~loose).select("uid", (number * 2 + 1).alias("sequence_id"), "offset"))
+        places.append(solved.where(~loose).select("uid", (number * 2 + 1).alias("sequence_id"), "offset", *REPORT))
         left, base = solved.where(loose).select("uid", "length"), base + groups * GROUP * 4
         n, level = n_left, level + 1
-    return cuts.join(functools.reduce(DataFrame.unionByName, places), "uid").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return cuts.join(functools.reduce(DataFrame.unionByName, places), "uid").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *REPORT)

@@ -392,10 +392,12 @@ def test_ids_are_the_tokenizers_library_s():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    encode = packing.encoder(path, public_tokenizers.PATTERN)
-    for x in ["it's  two  spaces\n\n\nand <|endoftext|> é漢", " a\t b", "x ", "\n", *[r[1] for r in hostile() if r[1]]]:
-        assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    encode = packing.encoder(path, public_tokenizers.PATTERN, added=True)
+    rng = random.Random(21)
+    bits = [" ", "  ", "\n", "\t", "it's", "'ll", "é", "漢", "😀", "12", "#!", "the", "<|endoftext|>", "<|", "|>", "\x85", "\u2028", "\xa0", "\x1c"]
+    fuzz = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 20))) for _ in range(1500)]
+    for x in ["it's  two  spaces\n\n\nand <|endoftext|> é漢", " a\t b", "x ", "\n", *[r[1] for r in hostile() if r[1]], *fuzz]:
+        assert encode(x).tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 def test_added_tokens_get_the_library_s_ids(spark):
@@ -409,19 +411,40 @@ def test_added_tokens_get_the_library_s_ids(spark):
     assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == {k: (len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(want)}
 
 
-def test_crossover_keeps_every_item():
+def whole(p, sizes, capacity=2048):
+    assert len(p.where) == len(sizes) and sorted(set(p.where.tolist())) == list(range(len(p.fill)))
+    assert np.bincount(p.where, weights=sizes).tolist() == p.fill.tolist() and p.fill.max() <= capacity
+
+
+def test_crossover_keeps_every_item_and_injects_whole_bins():
     rng = np.random.default_rng(1)
-    sizes = rng.integers(1, 1500, 300).tolist()
-    start = []
-    for _ in range(2):
-        bins = []
-        packing.best_fit(rng.permutation(300).tolist(), sizes, bins, [], 2048)
-        start.append(bins)
-    child = packing.crossover(*start, sizes, 2048, rng)
-    assert sorted(i for b in child for i in b) == list(range(300))
-    assert max(sum(sizes[i] for i in b) for b in child) <= 2048
-    best = packing.evolve(sizes, start, 2048, 3)
-    assert len(best) <= min(map(len, start))
+    sizes = rng.integers(1, 1500, 300)
+    for _ in range(30):
+        a, b = (packing.packed(rng.permutation(300), sizes, 2048) for _ in range(2))
+        child = packing.crossover(a, b, sizes, 2048, rng)
+        whole(child, sizes)
+        bins = lambda p: {frozenset(np.flatnonzero(p.where == k).tolist()) for k in range(len(p.fill))}  # noqa: B023, E731
+        assert len(bins(child) & bins(b)) >= int(packing.INJECTED[0] * len(b.fill)) // 2
+    one = packing.packed(np.array([0]), np.array([5]), 2048)
+    whole(packing.crossover(one, one, np.array([5]), 2048, rng), np.array([5]))
+
+
+def test_evolution_gains_on_its_first_packings_and_on_falling_sizes():
+    rng = np.random.default_rng(2)
+    for low, high, n in ((500, 900, 1500), (300, 700, 1500)):
+        sizes = rng.integers(low, high, n)
+        best, bins, crossed = packing.evolve(sizes, [], 2048, 3)
+        whole(best, sizes)
+        assert bins == sorted(bins, reverse=True) and len(best.fill) == bins[-1] < bins[0] and crossed == packing.CHILDREN * (len(bins) - 1)
+        assert len(best.fill) < len(packing.packed(np.argsort(-sizes), sizes, 2048).fill)
+    start = [packing.packed(rng.permutation(n), sizes, 2048) for _ in range(2)]
+    assert len(packing.evolve(sizes, start, 2048, 3)[0].fill) <= min(len(p.fill) for p in start)
+
+
+def test_packings_of_the_tables_come_through_crossover(spark):
+    rows = queries.op8_packing(spark, "/root/testdata/sf0.01").where("first_bins is not null").groupBy("first_bins", "group_bins", "crossovers").agg(F.sum("length").alias("n")).collect()
+    assert all(r["crossovers"] > 0 and r["group_bins"] < r["first_bins"] for r in rows)
+    assert all(r["group_bins"] <= math.ceil(1.003 * r["n"] / packing.CAPACITY) for r in rows)
 
 
 # n-gram join
