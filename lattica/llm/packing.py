@@ -13,7 +13,6 @@ import functools
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -152,8 +151,7 @@ def encoder(path: str, pattern: str, added: bool = False) -> Callable[[str], np.
 
     def encode(text: str) -> np.ndarray:
         by_pattern = by(pattern if _RUN.search(text) else pattern.replace(LOOKAHEAD, ""))
-        ids = by_pattern.encode(text, allowed_special="all") if holds and holds.search(text) else by_pattern.encode_ordinary(text)
-        return np.frombuffer(array("I", ids), np.uint32)
+        return by_pattern.encode_to_numpy(text, allowed_special="all" if holds and holds.search(text) else set(), disallowed_special=())
 
     return encode
 
