@@ -3,13 +3,20 @@
 Exact patterns give the base spans.  The field's nodes are the words with a
 digit or an at sign; neighbouring nodes are joined in a chain, and repeated or
 similar words of a document share skip edges, so that loopy message passing
-spreads a label from where a pattern shows it to where the pattern fails.  Its
-weights are fitted to the base spans of the whole corpus.
+spreads a label from where a pattern shows it to where the pattern fails.  Node
+scores, chain scores and the strength of skip edges are fitted together, by
+pseudo-likelihood, to the base spans of the whole corpus.  Words of which the
+base spans tell nothing train nothing: those inside a match that was dropped
+for running on too long (it may hold a true one), and those that repeat a
+caught word without being caught.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +33,9 @@ LABELS = len(KINDS) + 1
 SURE = 0.9
 #: Messages pass until none changes by SETTLED; loops that never settle are left after MOST_ROUNDS.
 SETTLED, MOST_ROUNDS, DAMPING = 1e-4, 200, 0.3
-#: How strongly repeated or similar words of a document ask for one label: the score of equal labels, and minus that of different ones.
-TIE = 2.5
+#: Where the strength of skip edges is expected before the corpus is seen (the score of equal labels, and minus that of different ones), and how firmly.
+TIE, TIE_WEIGHT = 2.5, 0.02
+RIDGE, STEPS = 1e-4, 600
 SHORT_KEY = 6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,9 +45,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]++")
+# Words with a digit or an at sign; only places where a word begins are tried, so long words without either stay linear.
+_WORD = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
+_SOLID = re.compile(r"[^\x20\x09-\x0D]")
 _DIGITS = re.compile(r"[0-9]")
-_EDGES = ".,;:!?\"'<>[]{}()"
+_EDGES = ".,;:!?\"'<>[]{}()#$%&*|"
+#: What is cut off before an added span, by its label: a phone number may begin with a bracket.
+_OPENERS = {1: _EDGES, 2: _EDGES, 3: _EDGES, 4: _EDGES.replace("(", "")}
 
 Span = tuple[int, int, int]
 
@@ -70,33 +82,58 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1 if not m else m.end())
 
 
-def base_spans(text: str) -> list[Span]:
-    """(start, end, kind) of every base match, by start and then kind."""
+#: What is known of a dropped match: it cannot be one (other letters than a kind's), or it ran on too long and may hold one.
+TOO_LONG = "*"
+
+
+def base_spans(text: str, dropped: list[tuple[int, int, str]] | None = None) -> list[Span]:
+    """(start, end, kind) of every base match, by start and then kind; matches that fail go to ``dropped`` with the reason."""
     if not _SIGN.search(text):
         return []
+    drop = (lambda m, why: dropped.append((m.start(), m.end(), why))) if dropped is not None else (lambda m, why: None)
     out: list[Span] = [(a, b, 0) for a, b in emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append((m.start(), m.end(), 1))
+        else:
+            drop(m, "i")
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
             out.append((m.start(), m.end(), 2))
+        elif len(digits) >= 14:
+            drop(m, TOO_LONG if len(digits) > 19 else "c")
     if "+" in text:
         for m in _PHONE.finditer(text):
-            if 10 <= len(_DIGITS.findall(m[0])) <= 15:
+            n = len(_DIGITS.findall(m[0]))
+            if 10 <= n <= 15:
                 out.append((m.start(), m.end(), 3))
+            else:
+                drop(m, TOO_LONG if n > 15 else "p")
     out.sort(key=lambda s: (s[0], s[2]))
     return out
 
 
+class Covers:
+    """Which of many ranges, ordered by their starts, is the first to touch a given one."""
+
+    def __init__(self, ranges: list[tuple]):
+        self.ranges = ranges
+        self.upto = list(itertools.accumulate((r[1] for r in ranges), max))
+
+    def first(self, a: int, b: int) -> tuple | None:
+        k = bisect.bisect_right(self.upto, a)
+        return self.ranges[k] if k < len(self.ranges) and self.ranges[k][0] < b else None
+
+
 @dataclass
 class Graph:
-    """Nodes of one text: places, feature patterns and base labels; edges between nodes."""
+    """Nodes of one text: places, feature patterns, labels shown by base spans, and those of which nothing is known; edges between nodes."""
 
     places: list[tuple[int, int]]
     patterns: list[str]
     labels: list[int]
+    unknown: list[bool]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
 
@@ -107,31 +144,36 @@ def _bucket(n: int) -> str:
 
 def _shape(word: str) -> str:
     """A word's discrete features, one character each."""
-    n = len(_DIGITS.findall(word))
+    digits = "".join(_DIGITS.findall(word))
     mixed = any(c.isalpha() for c in word)
-    return _bucket(n) + "".join("01"[x] for x in ("@" in word, mixed, "+" in word, "(" in word, "-" in word)) + str(min(word.count("."), 4))
+    check = ("L" if luhn(digits) else "l") if 14 <= len(digits) <= 19 and not mixed else "-"
+    return _bucket(len(digits)) + "".join("01"[x] for x in ("@" in word, mixed, "+" in word, "(" in word, "-" in word)) + str(min(word.count("."), 4)) + check
+
+
+def hidden(text: str, span: Span, share: float) -> bool:
+    """Whether a base span is among the ``share`` that an experiment hides: by its own characters and place."""
+    return share > 0 and zlib.crc32(f"{span[0]}:{text[span[0] : span[1]]}".encode()) < share * 2**32
 
 
-def graph(text: str, spans: list[Span]) -> Graph:
-    words = list(_WORD.finditer(text))
-    nodes = [k for k, m in enumerate(words) if _SIGN.search(m[0])]
-    shapes = {k: _shape(words[k][0]) for k in nodes}
-    g = Graph([], [], [], [], [])
+def graph(text: str, spans: list[Span], dropped: list[tuple[int, int, str]], secret: list[Span] = ()) -> Graph:
+    """The field of one text; words of ``secret`` spans are shown no label."""
+    g = Graph([], [], [], [], [], [])
+    base, failed = Covers([s for s in spans if s not in set(secret)]), Covers(sorted(dropped))
+    hush = Covers(list(secret))
     keys: list[set[str]] = []
-    at = 0
-    reach = sorted(spans)
-    for i, k in enumerate(nodes):
-        a, b = words[k].span()
-        while at < len(reach) and reach[at][1] <= a:
-            at += 1
-        label = next((s[2] + 1 for s in reach[at:] if s[0] < b and s[1] > a), 0) if at < len(reach) and reach[at][0] < b else 0
+    words = [m.span() for m in _WORD.finditer(text)]
+    shapes = [_shape(text[a:b]) for a, b in words]
+    beside = [k > 0 and not _SOLID.search(text, words[k - 1][1], words[k][0]) for k in range(len(words))] + [False]
+    for k, (a, b) in enumerate(words):
+        found, why = base.first(a, b), failed.first(a, b)
         g.places.append((a, b))
-        g.labels.append(label)
-        g.patterns.append(f"{shapes[k]}|{shapes.get(k - 1, '-')[:5]}|{shapes.get(k + 1, '-')[:5]}")
-        chained = i > 0 and nodes[i - 1] == k - 1
-        if chained:
-            g.chain.append((i - 1, i))
-        word = words[k][0].strip(_EDGES).lower()
+        g.labels.append(found[2] + 1 if found else 0)
+        g.unknown.append(not found and (bool(why and why[2] == TOO_LONG) or bool(hush.first(a, b))))
+        mark = why[2] if why and why[2] != TOO_LONG and not found else "-"
+        g.patterns.append(f"{shapes[k]}{mark}|{shapes[k - 1][:5] if beside[k] else '-'}|{shapes[k + 1][:5] if beside[k + 1] else '-'}")
+        if beside[k]:
+            g.chain.append((k - 1, k))
+        word = text[a:b].strip(_EDGES).lower()
         digits = "".join(_DIGITS.findall(word))
         similar = {"w" + word} if len(word) >= SHORT_KEY else set()
         if len(digits) >= SHORT_KEY:
@@ -143,12 +185,30 @@ def graph(text: str, spans: list[Span]) -> Graph:
         for x in similar:
             hubs.setdefault(x, {}).setdefault(g.labels[i], i)
     for i, similar in enumerate(keys):
+        tied = {j for x in similar for label, j in hubs[x].items() if label or len(hubs[x]) == 1} - {i}
         if not g.labels[i]:
-            tied = {j for x in similar for label, j in hubs[x].items() if label or len(hubs[x]) == 1}
-            g.skip += [(j, i) for j in sorted(tied - {i})]
+            g.unknown[i] = g.unknown[i] or any(g.labels[j] for j in tied)
+        g.skip += [(j, i) for j in sorted(tied)]
     return g
 
 
+def examples(g: Graph) -> Iterator[tuple[str, str]]:
+    """(label, what its score depends on: pattern, labels of both chain neighbours, labels of the words it is tied to) of every node whose label is known.
+
+    A neighbour of unknown label counts as none, written ``-``.
+    """
+    shown = ["-" if u else str(x) for x, u in zip(g.labels, g.unknown, strict=True)]
+    before, after, ties = ["-"] * len(shown), ["-"] * len(shown), [""] * len(shown)
+    for a, b in g.chain:
+        before[b], after[a] = shown[a], shown[b]
+    for a, b in g.skip:
+        if not g.unknown[a]:
+            ties[b] += shown[a]
+    for k, label in enumerate(g.labels):
+        if not g.unknown[k]:
+            yield str(label), f"{g.patterns[k]}|{before[k]}|{after[k]}|{''.join(sorted(ties[k]))}"
+
+
 @dataclass
 class Weights:
     """Node scores by pattern (with a feature model for unseen ones), and edge scores."""
@@ -164,48 +224,49 @@ class Weights:
 
 
 def features_of(pattern: str) -> list[str]:
-    shape, before, after = pattern.split("|")
+    shape, before, after = pattern.split("|")[:3]
     return [f"{k}:{c}" for k, c in enumerate(shape)] + ["s:" + shape, "b:" + before, "a:" + after]
 
 
 def fit_weights(counts: dict[tuple[str, str], int]) -> Weights:
-    """Fits node weights by penalised maximum likelihood and chain edges by smoothed association; skip edges ask for equal labels.
+    """Fits node scores, chain scores and the strength of skip edges together, by penalised pseudo-likelihood.
 
-    counts: ("n" + label, pattern) or ("c", two labels) to a number.
+    counts: (label, example as in ``examples``) to a number.  Each example is a
+    softmax over labels of its node's score, its neighbours' chain scores and
+    its ties, so all three compete for what the labels show.
     """
-    chain = np.ones((LABELS, LABELS))
     seen: dict[str, np.ndarray] = {}
-    for (what, key), n in counts.items():
-        if what[0] == "n":
-            seen.setdefault(key, np.zeros(LABELS))[int(what[1:])] += n
-        else:
-            chain[int(key[0]), int(key[1])] += n
-
-    def association(t: np.ndarray) -> np.ndarray:
-        p = t / t.sum()
-        return np.clip(np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True))), -4, 4)
-
-    names = sorted({f for p in seen for f in features_of(p)})
+    for (label, key), n in counts.items():
+        seen.setdefault(key, np.zeros(LABELS))[int(label)] += n
+    keys = sorted(seen)
+    names = sorted({f for k in keys for f in features_of(k)})
     index = {f: k for k, f in enumerate(names)}
-    theta = np.zeros((len(names) + 1, LABELS))
-    if seen:
-        patterns = sorted(seen)
-        x = np.zeros((len(patterns), len(names) + 1))
+    theta, chain, tie = np.zeros((len(names) + 1, LABELS)), np.zeros((LABELS, LABELS)), TIE
+    if keys:
+        x = np.zeros((len(keys), len(names) + 1))
         x[:, -1] = 1
-        for i, p in enumerate(patterns):
-            x[i, [index[f] for f in features_of(p)]] = 1
-        y = np.array([seen[p] for p in patterns])
-        # Damped counts keep a pattern that fills the corpus from drowning the others.
-        weight = np.sqrt(y.sum(axis=1, keepdims=True)) / y.sum(axis=1, keepdims=True)
-        y = y * weight
-        total, step = y.sum(), np.zeros_like(theta)
-        for _ in range(400):
-            s = x @ theta
-            p = np.exp(s - np.logaddexp.reduce(s, axis=1, keepdims=True))
-            grad = x.T @ (y - p * y.sum(axis=1, keepdims=True)) / total - 1e-4 * theta
-            step = 0.9 * step + grad
-            theta += 0.5 * step
-    return Weights(index, theta, association(chain), TIE * (2 * np.eye(LABELS) - 1))
+        before, after, ties = np.zeros((len(keys), LABELS)), np.zeros((len(keys), LABELS)), np.zeros((len(keys), LABELS))
+        for i, k in enumerate(keys):
+            x[i, [index[f] for f in features_of(k)]] = 1
+            b, a, t = k.split("|")[3:]
+            for row, some in ((before, b), (after, a), (ties, t)):
+                for c in some:
+                    if c != "-":
+                        row[i, int(c)] += 1
+        tied = 2 * ties - ties.sum(axis=1, keepdims=True)
+        y = np.array([seen[k] for k in keys])
+        # Damped counts keep an example that fills the corpus from drowning the others.
+        y = y / np.sqrt(y.sum(axis=1, keepdims=True))
+        of = y.sum(axis=1, keepdims=True)
+        total = y.sum()
+        moved = [np.zeros_like(theta), np.zeros_like(chain), 0.0]
+        for _ in range(STEPS):
+            s = x @ theta + before @ chain + after @ chain.T + tie * tied
+            rest = (y - of * np.exp(s - np.logaddexp.reduce(s, axis=1, keepdims=True))) / total
+            grads = [x.T @ rest - RIDGE * theta, before.T @ rest + (after.T @ rest).T - RIDGE * chain, float((rest * tied).sum()) - TIE_WEIGHT * (tie - TIE)]
+            moved = [0.9 * m + g for m, g in zip(moved, grads, strict=True)]
+            theta, chain, tie = theta + 0.5 * moved[0], chain + 0.5 * moved[1], tie + 0.5 * moved[2]
+    return Weights(index, theta, chain, tie * (2 * np.eye(LABELS) - 1))
 
 
 def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray) -> np.ndarray:
@@ -231,26 +292,42 @@ def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray) -> np
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
-def added_spans(texts: list[str], graphs: list[Graph], w: Weights, known: dict[str, np.ndarray]) -> list[list[Span]]:
-    """Spans that the field adds to the base ones, for all texts at once."""
+def beliefs(graphs: list[Graph], w: Weights, known: dict[str, np.ndarray]) -> np.ndarray:
+    """Each node's label probabilities, a caught word's given: it speaks to its neighbours and hears none, so only the others pass messages."""
     first = np.cumsum([0] + [len(g.places) for g in graphs])
     unary = np.zeros((first[-1], LABELS))
-    edges, tables = [], []
+    labels = np.array([x for g in graphs for x in g.labels], np.int64)
     for at, g in zip(first, graphs, strict=False):
         for k, (p, label) in enumerate(zip(g.patterns, g.labels, strict=True)):
-            if label:
-                unary[at + k] = -np.inf  # however many repeats lean another way
-                unary[at + k, label] = 0
-            else:
+            if not label:
                 if p not in known:
                     known[p] = w.node(p)
                 unary[at + k] = known[p]
-        edges += [(at + a, at + b) for a, b in g.chain + g.skip]
-        tables += [w.chain] * len(g.chain) + [w.skip] * len(g.skip)
-    belief = marginals(unary, np.array(edges, np.int64).reshape(-1, 2), np.array(tables).reshape(-1, LABELS, LABELS))
+    edges, tables = [], []
+    for of, table in ((0, w.chain), (1, w.skip)):
+        pairs = np.array([(at + a, at + b) for at, g in zip(first, graphs, strict=False) for a, b in (g.skip if of else g.chain)], np.int64).reshape(-1, 2)
+        a, b = labels[pairs[:, 0]], labels[pairs[:, 1]]
+        np.add.at(unary, pairs[(a > 0) & (b == 0), 1], table[a[(a > 0) & (b == 0)]])
+        np.add.at(unary, pairs[(a == 0) & (b > 0), 0], table.T[b[(a == 0) & (b > 0)]])
+        free = pairs[(a == 0) & (b == 0)]
+        edges.append(free)
+        tables.append(np.broadcast_to(table, (len(free), LABELS, LABELS)))
+    free = np.flatnonzero(labels == 0)
+    place = np.zeros(len(labels), np.int64)
+    place[free] = np.arange(len(free))
+    out = np.zeros((len(labels), LABELS))
+    out[np.arange(len(labels)), labels] = 1
+    out[free] = marginals(unary[free], place[np.concatenate(edges)], np.concatenate(tables))
+    return out
+
+
+def added_spans(texts: list[str], graphs: list[Graph], w: Weights, known: dict[str, np.ndarray]) -> list[list[Span]]:
+    """Spans that the field adds to the base ones, for all texts at once."""
+    belief = beliefs(graphs, w, known)
     best, sure = belief.argmax(axis=1), belief.max(axis=1)
     out = []
-    for text, at, g in zip(texts, first, graphs, strict=False):
+    at = 0
+    for text, g in zip(texts, graphs, strict=True):
         linked = {b for _, b in g.chain}
         spans: list[Span] = []
         last = -2
@@ -259,23 +336,33 @@ def added_spans(texts: list[str], graphs: list[Graph], w: Weights, known: dict[s
             if g.labels[k] or not label or sure[at + k] < SURE:
                 continue
             word = text[a:b]
-            a, b = a + len(word) - len(word.lstrip(_EDGES)), b - (len(word) - len(word.rstrip(_EDGES)))
+            a, b = a + len(word) - len(word.lstrip(_OPENERS[label])), b - (len(word) - len(word.rstrip(_EDGES)))
             if a >= b:
                 continue
-            if last == k - 1 and k in linked and spans[-1][2] == label - 1:
+            if last == k - 1 and k in linked and spans[-1][2] == label - 1 and not (label == 3 and check_of(g.patterns[k]) != "-"):
                 spans[-1] = (spans[-1][0], b, label - 1)
             else:
                 spans.append((a, b, label - 1))
             last = k
         out.append(spans)
+        at += len(g.places)
     return out
 
 
-def learn(docs: DataFrame, text_col: str = "text") -> Weights:
-    """Weights from the base spans of all rows; what reaches the driver is one count for each distinct pattern of features.
+def check_of(pattern: str) -> str:
+    """The letter of a pattern that tells of a whole card number in one word."""
+    return pattern.split("|")[0][-2]
+
 
-    There are at most 8 * 32 * 5 shapes of a word and as many neighbours as
-    the first five features of a shape allow, whatever the input's size.
+def learn(docs: DataFrame, text_col: str = "text", hide: float = 0.0) -> Weights:
+    """Weights from the base spans of all rows; what reaches the driver is one count for each distinct example.
+
+    An example's parts are few: at most 8 * 32 * 5 * 3 * 4 shapes of a word, as
+    many neighbours as the first five features of a shape allow, five labels
+    of each neighbour, and three ties.  Their number does not follow the input.
+    Null and empty texts teach nothing; with no example at all every label is
+    as likely and no span is added.  ``hide`` leaves a share of the base spans
+    out, as if no pattern had caught them.
     """
     ship(docs.sparkSession)
 
@@ -283,13 +370,10 @@ def learn(docs: DataFrame, text_col: str = "text") -> Weights:
         found: Counter = Counter()
         for batch in batches:
             for text in (t for _, some in slices(batch.column(0)) for t in some.to_pylist()):
-                if not text or not _SIGN.search(text):
-                    continue
-                g = graph(text, base_spans(text))
-                # A word that no pattern caught, but that repeats one that was, is no example of a clean word.
-                doubtful = {x for a, b in g.skip if bool(g.labels[a]) != bool(g.labels[b]) for x in (a, b) if not g.labels[x]}
-                found.update((f"n{x}", p) for k, (x, p) in enumerate(zip(g.labels, g.patterns, strict=True)) if k not in doubtful)
-                found.update(("c", f"{g.labels[a]}{g.labels[b]}") for a, b in g.chain if a not in doubtful and b not in doubtful)
+                if text and _SIGN.search(text):
+                    dropped: list = []
+                    spans = base_spans(text, dropped)
+                    found.update(examples(graph(text, spans, dropped, [s for s in spans if hidden(text, s, hide)])))
         release()
         keys = list(found)
         yield pa.RecordBatch.from_arrays(
@@ -300,21 +384,48 @@ def learn(docs: DataFrame, text_col: str = "text") -> Weights:
     return fit_weights({(r["what"], r["key"]): r["n"] for r in total.collect()})
 
 
-def find(texts: list[str], w: Weights, known: dict[str, np.ndarray]) -> list[list[tuple[int, int, int, bool]]]:
-    """All spans of each text as (start, end, kind, base), by start and then kind."""
+def find(texts: list[str], w: Weights, known: dict[str, np.ndarray], hide: float = 0.0) -> list[list[tuple[int, int, int, bool]]]:
+    """All spans of each text as (start, end, kind, base), by start and then kind; a hidden base span is there only if the field finds it."""
     out: list[list[tuple[int, int, int, bool]]] = [[] for _ in texts]
     some = [k for k, t in enumerate(texts) if _SIGN.search(t)]
-    base = [base_spans(texts[k]) for k in some]
-    graphs = [graph(texts[k], s) for k, s in zip(some, base, strict=True)]
+    base, graphs = [], []
+    for k in some:
+        dropped: list = []
+        spans = base_spans(texts[k], dropped)
+        secret = [s for s in spans if hidden(texts[k], s, hide)]
+        graphs.append(graph(texts[k], spans, dropped, secret))
+        base.append([s for s in spans if s not in set(secret)])
+    if not some:
+        return out
     for k, s, more in zip(some, base, added_spans([texts[k] for k in some], graphs, w, known), strict=True):
-        spans = [(*x, True) for x in s]
-        for x in more:
-            if not any(x[0] < y[1] and y[0] < x[1] for y in s):
-                spans.append((*x, False))
+        taken = Covers(s)
+        spans = [(*x, True) for x in s] + [(*x, False) for x in more if not taken.first(x[0], x[1])]
         out[k] = sorted(spans, key=lambda x: (x[0], x[2], x[1]))
     return out
 
 
+def recovery(docs: DataFrame, hide: float, text_col: str = "text") -> DataFrame:
+    """(kind, hidden, found, added): the base spans hidden from learning and finding alike, those the field finds exactly, and all spans it adds."""
+    weights = learn(docs, text_col, hide)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.zeros((len(KINDS), 3), np.int64)
+        known: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for _, some in slices(batch.column(0)):
+                texts = [t or "" for t in some.to_pylist()]
+                for text, spans in zip(texts, find(texts, weights, known, hide), strict=True):
+                    more = {x[:3] for x in spans if not x[3]}
+                    for s in base_spans(text):
+                        tally[s[2]] += (hidden(text, s, hide), hidden(text, s, hide) and s in more, 0)
+                    for x in more:
+                        tally[x[2], 2] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(KINDS), *[pa.array(tally[:, k]) for k in range(3)]], ["kind", "hidden", "found", "added"])
+
+    parts = docs.select(F.col(text_col)).mapInArrow(compare, "kind string, hidden bigint, found bigint, added bigint")
+    return parts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("hidden", "found", "added")])
+
+
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
@@ -323,8 +434,10 @@ def with_spans(docs: DataFrame, weights: Weights, into: str, text_col: str = "te
     """Adds ``into``: every span of the text (kind, start, end in code points, whether a base one), by start and then kind.
 
     Null and empty texts have none.  Repeated rows get equal spans, an empty
-    table stays empty, other columns are passed on.  A word that a base span
-    touches is never given a further span.
+    table stays empty, other columns are passed on (one named like ``into`` is
+    replaced).  A word that a base span touches is never given a further span.
+    A very long text is one field, of which only words with a digit or an at
+    sign are held; ties between labels go to the first as listed.
     """
     ship(docs.sparkSession)
 
@@ -351,7 +464,10 @@ def cover(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | No
 
 
 def masked(text: Column, weights: Weights) -> Column:
-    """The text with each span replaced by its kind in square brackets; overlapping spans become one, named by the first."""
+    """The text with each span replaced by its kind in square brackets; overlapping spans become one, named by the first.
+
+    A null text stays null and an empty one empty; equal texts give equal ones.
+    """
 
     @F.arrow_udf("string")
     def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -50,6 +50,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[of(k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(spans_text("found", True), 256).alias("base_sha256"),
         spans_text("found", False).alias("spans"),
+        F.size("found").cast("long").alias("n_spans"),
+        F.size(F.filter("found", lambda s: ~s["base"])).cast("long").alias("n_added"),
     )
 
 

@@ -1,9 +1,11 @@
 """The text operators against plain versions of themselves, on small hostile tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,7 +150,73 @@ def test_repeats_hear_the_caught_word_however_many_there_are():
         for text in ("+15555550100 x" + " 15555550100 x" * n, "15555550100 x " * n + "+15555550100"):
             found = pii.find([text], lean, {})[0]
             assert [text[a:b] for a, b, kind, base in found if kind == 3 and not base] == ["15555550100"] * n
-            assert len(pii.graph(text, pii.base_spans(text)).skip) <= 3 * (n + 1)
+            dropped = []
+            assert len(pii.graph(text, pii.base_spans(text, dropped), dropped).skip) <= 3 * (n + 1)
+
+
+def enumerated(unary, edges, potential):
+    n = len(unary)
+    out = np.zeros_like(unary)
+    for y in itertools.product(range(pii.LABELS), repeat=n):
+        p = math.exp(sum(unary[k, y[k]] for k in range(n)) + sum(t[y[a], y[b]] for (a, b), t in zip(edges, potential)))
+        out[np.arange(n), y] += p
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_beliefs_against_enumeration():
+    rng = np.random.default_rng(6)
+    tie = 1.5 * (2 * np.eye(pii.LABELS) - 1)
+    for edges in ([(0, 1), (1, 2), (2, 3), (1, 4)], [(0, 1), (0, 2), (0, 3), (0, 4), (0, 5)]):  # trees: exact
+        unary, potential = rng.normal(size=(6, pii.LABELS)), rng.normal(size=(len(edges), pii.LABELS, pii.LABELS))
+        got = pii.marginals(unary[: max(max(e) for e in edges) + 1], np.array(edges), potential)
+        assert np.allclose(got, enumerated(unary[: len(got)], edges, potential), atol=2e-3)
+    for edges in ([(0, 1), (1, 2), (2, 3), (0, 2)], [(0, 1), (1, 2), (2, 3), (0, 3), (0, 2)]):  # loops: near, and the same best label
+        unary = rng.normal(size=(4, pii.LABELS)) * 2
+        potential = np.array([tie if k >= 3 else rng.normal(size=(pii.LABELS, pii.LABELS)) for k in range(len(edges))])
+        got, want = pii.marginals(unary, np.array(edges), potential), enumerated(unary, edges, potential)
+        assert np.abs(got - want).max() < 0.1 and (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_beliefs_of_a_text_are_those_of_its_whole_field():
+    """Caught words are folded into their neighbours; the whole field with them clamped says the same."""
+    rng = np.random.default_rng(3)
+    text = "x +1 (555) 555-0100 12 a 15555550100 b 77.1 +1 x 15555550100"
+    dropped = []
+    g = pii.graph(text, pii.base_spans(text, dropped), dropped)
+    w = pii.Weights({}, rng.normal(size=(1, pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)), 1.2 * (2 * np.eye(pii.LABELS) - 1))
+    unary = np.array([np.where(np.arange(pii.LABELS) == x, 0, -1e9) if x else w.node(p) for x, p in zip(g.labels, g.patterns)])
+    want = pii.marginals(unary, np.array(g.chain + g.skip), np.array([w.chain] * len(g.chain) + [w.skip] * len(g.skip)))
+    assert 0 in g.labels and 4 in g.labels and g.skip
+    assert np.allclose(pii.beliefs([g], w, {}), want, atol=2e-3)
+
+
+def test_weights_are_fitted_together():
+    """Of two examples that differ in neighbour or tie alone, the chain and the skip edges take the weight."""
+    node = "a0000-0--|-|-"
+    chain = pii.fit_weights({("4", f"{node}|4|-|"): 50, ("0", f"{node}|0|-|"): 50})
+    assert chain.chain[4, 4] > chain.chain[0, 4] + 1 and chain.chain[0, 0] > chain.chain[4, 0] + 1
+    with_ties = pii.fit_weights({("4", f"{node}|-|-|4"): 500, ("0", f"{node}|-|-|0"): 500})
+    against = pii.fit_weights({("4", f"{node}|-|-|0"): 500, ("0", f"{node}|-|-|4"): 500})
+    assert against.skip[0, 0] < pii.TIE < with_ties.skip[0, 0] + 1e-9
+
+
+def test_field_finds_hidden_and_swallowed_spans(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    for r in pii.recovery(d, 0.2).collect():
+        assert r["hidden"] >= 20 and r["found"] >= 0.95 * r["hidden"], r
+        assert r["added"] <= 1.15 * r["hidden"], r
+    found = pii.with_spans(d, pii.learn(d), "f").select("text", F.explode("f").alias("s")).where("not s.base").collect()
+    added = [(r["s"]["kind"], r["text"][r["s"]["start"] : r["s"]["end"]]) for r in found]
+    assert len(added) >= 5
+    assert all(luhn(x) and 14 <= len(x) <= 19 if kind == "card" else re.fullmatch(r"\+1 \(\d{3}\) 555-\d{4}", x) for kind, x in added), added
+
+
+def test_many_spans_in_one_text_take_seconds():
+    w = pii.fit_weights({("1", "a1000-0--|-|-|-|-|"): 10, ("0", "a0000-0--|-|-|-|-|"): 10})
+    began = time.time()
+    assert len(pii.find([" ".join(f"user{i}@mail.example.com" for i in range(100_000))], w, {})[0]) == 100_000
+    assert len(pii.find(["x" * 2_000_000 + " a@b.co " + "9" * 300_000], w, {})[0]) == 1
+    assert time.time() - began < 20
 
 
 def test_pii_edges(docs, empty, spark):
