@@ -22,8 +22,11 @@ from .common import pieces, release, ship, slices
 from .words import mix
 
 DIMENSIONS = 1024
-BATCH_CHARS = 400_000
+#: Characters and texts taken at a time, and cells of a table of texts by trigrams.
+BATCH_CHARS, TEXT_COST, CELLS = 400_000, 400, 1 << 22
 GRAM_ROWS = 2048
+#: Languages whose profiles may be held and sent to every task.
+MOST_LANGUAGES = 8192
 UNKNOWN = "und"
 RESULT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -57,9 +60,13 @@ class Grams:
     which: np.ndarray
 
 
-def trigrams(texts: list[str]) -> Grams:
-    """Letter trigrams inside words, with a gap before and after each word."""
-    lowered = [t.lower() for t in texts]
+def trigrams(texts: list[str], cut: tuple[bool, bool] = (False, False)) -> Grams:
+    """Letter trigrams inside words, with a gap before and after each word.
+
+    Where a longer text was ``cut`` before or after, the first or last letter
+    is there for its neighbour alone and is no trigram's middle.
+    """
+    lowered = [t.lower() for t in texts] if not any(cut) else texts
     joined = "\n" + "\n".join(lowered) + "\n"
     codes = letter_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     seen = np.zeros(0x110000, bool)
@@ -69,6 +76,10 @@ def trigrams(texts: list[str]) -> Grams:
     place = np.zeros(0x110000, np.int32)
     place[letters] = np.arange(len(letters))
     owner = np.repeat(np.arange(len(texts) + 1), [1] + [len(t) + 1 for t in lowered])
+    if cut[0]:
+        owner[1] = 0
+    if cut[1]:
+        owner[-2] = 0
     gap = codes == 0
     keep = ~gap
     keep[1:] |= ~gap[:-1]
@@ -77,7 +88,7 @@ def trigrams(texts: list[str]) -> Grams:
     if len(line) < 3:
         empty = np.empty(0, np.int64)
         return Grams(letters, (empty, empty, empty), empty, empty)
-    middle = np.flatnonzero(line[1:-1] != 0) + 1
+    middle = np.flatnonzero((line[1:-1] != 0) & (owner[1:-1] >= 0)) + 1
     k = len(letters)
     code = (line[middle - 1].astype(np.int64) * k + line[middle]) * k + line[middle + 1]
     if k**3 <= 1 << 22:
@@ -98,20 +109,46 @@ def bundles(g: Grams, group: np.ndarray, groups: int) -> np.ndarray:
     if not len(g.which):
         return out
     distinct = len(g.parts[0])
-    counts = np.bincount(group[g.text].astype(np.int64) * distinct + g.which, minlength=groups * distinct).reshape(groups, distinct).astype(np.float32)
+    rows = min(GRAM_ROWS, max(1, CELLS // groups))
+    of, which = group[g.text].astype(np.int64), g.which
+    whole = groups * distinct <= CELLS
+    if whole:
+        counts = np.bincount(of * distinct + which, minlength=groups * distinct).reshape(groups, distinct).astype(np.float32)
+    else:
+        order = np.argsort(which, kind="stable")
+        of, which = of[order], which[order]
     third = letter_vectors(g.letters)
     first, second = np.roll(third, 2, axis=1), np.roll(third, 1, axis=1)
-    for a in range(0, distinct, GRAM_ROWS):
-        x, y, z = (p[a : a + GRAM_ROWS] for p in g.parts)
+    for a in range(0, distinct, rows):
+        x, y, z = (p[a : a + rows] for p in g.parts)
         bound = first[x]
         bound *= second[y]
         bound *= third[z]
-        out += counts[:, a : a + GRAM_ROWS] @ bound.astype(np.float32)
+        if whole:
+            some = counts[:, a : a + rows]
+        else:
+            lo, hi = np.searchsorted(which, [a, a + len(x)])
+            some = np.bincount(of[lo:hi] * len(x) + (which[lo:hi] - a), minlength=groups * len(x)).reshape(groups, len(x)).astype(np.float32)
+        out += some @ bound.astype(np.float32)
     return out
 
 
-def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
-    return pieces([len(t) for t in texts], BATCH_CHARS)
+def text_bundles(texts: list[str], group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the trigram vectors of all texts by group, and how many trigrams each group has, in bounded memory for many short texts and for very long ones."""
+    out, many = np.zeros((groups, DIMENSIONS)), np.zeros(groups, np.int64)
+    for a, b in pieces([len(t) + TEXT_COST for t in texts], BATCH_CHARS):
+        if b - a == 1 and len(texts[a]) > BATCH_CHARS:
+            lowered = texts[a].lower()
+            for k in range(0, len(lowered), BATCH_CHARS):
+                g = trigrams([lowered[max(0, k - 1) : k + BATCH_CHARS + 1]], (k > 0, k + BATCH_CHARS < len(lowered)))
+                out[group[a]] += bundles(g, np.zeros(1, np.int64), 1)[0]
+                many[group[a]] += len(g.which)
+        else:
+            g = trigrams(texts[a:b])
+            ids, local = np.unique(group[a:b], return_inverse=True)
+            out[ids] += bundles(g, local, len(ids))
+            many += np.bincount(group[a:b][g.text], minlength=groups)
+    return out, many
 
 
 @dataclass
@@ -127,6 +164,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
 
     Each partition bundles its own texts; only one vector for each language
     and partition is shuffled, and one for each language reaches the driver.
+    More than MOST_LANGUAGES different values are an error, since profiles of
+    so many are not held in one place.  Rows of a null text or language teach
+    nothing, repeated rows teach each, an empty table gives no language, and a
+    very long text is bundled in pieces to the same sum.
     """
     ship(docs.sparkSession)
 
@@ -136,20 +177,23 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
             for at, some in slices(batch.column(0)):
                 texts, langs = some.to_pylist(), batch.column(1).slice(at, len(some)).to_pylist()
                 names = sorted(set(langs))
-                group = np.array([names.index(x) for x in langs])
-                for name, row in zip(names, bundles(trigrams(texts), group, len(names)), strict=True):
-                    sums[name] = sums.get(name, 0) + row.astype(np.float64)
+                number = {x: k for k, x in enumerate(names)}
+                for name, row in zip(names, text_bundles(texts, np.array([number[x] for x in langs], np.int64), len(names))[0], strict=True):
+                    sums[name] = sums.get(name, 0) + row
+                if len(sums) > MOST_LANGUAGES:
+                    raise ValueError(f"more than {MOST_LANGUAGES} languages")
         release()
         for name, row in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(row)], ["lang", "place", "value"])
 
     known = docs.select(F.col(text_col), F.col(lang_col)).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     total = known.mapInArrow(bundle, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    table = total.toPandas()
-    langs = sorted(table["lang"].unique())
-    rows = np.zeros((len(langs), DIMENSIONS))
-    rows[[langs.index(x) for x in table["lang"]], table["place"].to_numpy(int)] = table["value"]
-    return Profiles(langs, centred(rows))
+    vectors = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value")))["value"].alias("row"))  # DIMENSIONS values each
+    found = vectors.limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found.sort(key=lambda r: r["lang"])
+    return Profiles([r["lang"] for r in found], centred(np.array([r["row"] for r in found]).reshape(-1, DIMENSIONS)))
 
 
 def centred(rows: np.ndarray) -> np.ndarray:
@@ -163,15 +207,14 @@ def centred(rows: np.ndarray) -> np.ndarray:
 
 def predict(texts: list[str], profiles: Profiles) -> tuple[list[str], list[float]]:
     names, scores = [], []
-    for a, b in batches_of(texts):
-        g = trigrams(texts[a:b])
-        vectors = bundles(g, np.arange(b - a), b - a)
-        lettered = np.bincount(g.text, minlength=b - a) > 0 if len(g.text) else np.zeros(b - a, bool)
+    table = profiles.rows.T.astype(np.float32)
+    for a, b in pieces([len(t) + TEXT_COST for t in texts], BATCH_CHARS):
+        vectors, many = text_bundles(texts[a:b], np.arange(b - a), b - a)
         norm = np.linalg.norm(vectors, axis=1)
-        near = vectors @ profiles.rows.T.astype(np.float32)
+        near = vectors.astype(np.float32) @ table
         near = np.divide(near, norm[:, None], out=np.zeros_like(near), where=norm[:, None] > 0)
         for k in range(b - a):
-            if lettered[k] and len(profiles.langs):
+            if many[k] and len(profiles.langs):
                 best = int(near[k].argmax())
                 names.append(profiles.langs[best])
                 scores.append(float(min(1.0, max(0.0, near[k, best]))))
@@ -186,7 +229,9 @@ def with_language(docs: DataFrame, profiles: Profiles, into: str, text_col: str
 
     Null texts and texts without a letter get ``und`` and 0; of equally near
     languages the first by name wins.  Other columns are passed on and are no
-    input.  Repeated rows get equal results; an empty table stays empty.
+    input (one named like ``into`` is replaced).  Repeated rows get equal
+    results; an empty table stays empty.  A very long text is bundled in
+    pieces, to the same sum.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x DIMENSIONS numbers, whatever the input's size

@@ -5,9 +5,12 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -328,6 +331,89 @@ def test_bundles_are_the_plain_sums():
         assert np.allclose(got[k], want)
 
 
+def test_pieces_of_a_long_text_bundle_to_the_same_sum(monkeypatch):
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abcé İß漢 .-") for _ in range(n)) for n in (0, 1, 50, 3000, 7001)] + ["x" * 5000]
+    want, n = language.text_bundles(texts, np.arange(6), 6)
+    for chars, cells in ((64, 1 << 22), (1000, 512), (1, 1)):
+        monkeypatch.setattr(language, "BATCH_CHARS", chars)
+        monkeypatch.setattr(language, "CELLS", cells)
+        monkeypatch.setattr(language, "TEXT_COST", 1)
+        got, m = language.text_bundles(texts, np.arange(6), 6)
+        assert (got == want).all() and (m == n).all()
+
+
+def test_prediction_against_plain_cosines():
+    rng = random.Random(32)
+    texts = [prose(rng, 30, w) for w in (["the", "and", "this"], ["der", "und", "das"], ["le", "et", "ça"]) for _ in range(6)]
+    plain = np.zeros((18, language.DIMENSIONS))
+    for k, t in enumerate(texts):
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            padded = [0, *map(ord, w), 0]
+            for x in zip(padded, padded[1:], padded[2:]):
+                v = language.letter_vectors(np.array(x)).astype(float)
+                plain[k] += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+    rows = np.array([plain[:6].sum(axis=0), plain[6:12].sum(axis=0), plain[12:].sum(axis=0)])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows -= rows.mean(axis=0)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    near = plain @ rows.T / np.linalg.norm(plain, axis=1, keepdims=True)
+    sums, _ = language.text_bundles(texts, np.repeat(np.arange(3), 6), 3)
+    names, scores = language.predict(texts, language.Profiles(["a", "b", "c"], language.centred(sums)))
+    assert names == ["abc"[k] for k in near.argmax(axis=1)] and np.allclose(scores, near.max(axis=1), atol=1e-5)
+    tied = language.Profiles(["a", "b"], np.array([rows[0], rows[0]]))
+    assert language.predict(texts[:1], tied)[0] == ["a"]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([("abc", str(k)) for k in range(5)], "text string, lang string")
+    with pytest.raises(Exception, match="more than 3 languages"):
+        language.learn(df.repartition(5))
+    assert len(language.learn(df.where("lang < '3'")).langs) == 3
+
+
+def peak_mb(code):
+    """Greatest memory of a fresh process that runs ``code``, less what it has after its imports."""
+    said = subprocess.run(
+        [sys.executable, "-c", "import resource, random\nfrom lattica.llm import language, quality, minhash, pii, suffix_tree, words\nimport zstandard\nrandom.seed(1)\n" + code + "\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"],
+        capture_output=True, text=True, timeout=600, cwd=str(Path(__file__).resolve().parents[2]),
+    )
+    return int(said.stdout.split()[-1])
+
+
+LONG = "t = ' '.join(''.join(random.choices('abcdefgh', k=random.randrange(2, 9))) for _ in range(1 << 16)) + ' '\nt = (t * (64 * 2**20 // len(t) + 1))[: 64 * 2**20]\n"
+
+
+@pytest.mark.parametrize("code", ["quality.measure([t], zstandard.ZstdCompressor(level=3))", "language.text_bundles([t], __import__('numpy').zeros(1, int), 1)", "words.hashed([t.encode()])", "pii.find([t + ' a@b.co'], pii.fit_weights({}), {})"])
+def test_a_text_of_64_mb_is_held_in_bounded_memory(code):
+    assert peak_mb(LONG + code) < 1600
+
+
+def test_many_short_texts_are_held_in_bounded_memory():
+    assert peak_mb("x = [''.join(chr(random.randrange(0x4E00, 0x9FFF)) for _ in range(40)) for _ in range(10_000)]\nlanguage.predict(x, language.Profiles(['a'], __import__('numpy').ones((1, 1024))))") < 700
+
+
+def test_words_in_pieces_are_words(monkeypatch):
+    from lattica.llm import words
+
+    rng = random.Random(33)
+    texts = ["".join(rng.choice("ab  \n\t") for _ in range(rng.randrange(0, 40))).encode() for _ in range(300)] + [b"x" * 500, b"", b" "]
+    whole_words, grams = words.hashed(texts), words.windows(words.hashed(texts), 3)
+    plain_words = [w for t in texts for w in t.split()]
+    assert [whole_words.data[a:b] for a, b in zip(whole_words.start, whole_words.end)] == plain_words
+    assert len(set(whole_words.hashes.tolist())) == len(set(plain_words)) and len({(w, h) for w, h in zip(plain_words, whole_words.hashes.tolist())}) == len(set(plain_words))
+    counts = [max(0, len(t.split()) - 2) for t in texts]
+    assert np.diff(grams[1]).tolist() == counts and len(grams[0]) == sum(counts)
+    triples = [tuple(t.split()[k : k + 3]) for t in texts for k in range(max(0, len(t.split()) - 2))]
+    assert len({(x, h) for x, h in zip(triples, grams[0].tolist())}) == len(set(triples)) == len(set(grams[0].tolist()))
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(words, "PIECE", piece)
+        again = words.hashed(texts)
+        assert (again.hashes == whole_words.hashes).all() and (again.start == whole_words.start).all() and (again.first == whole_words.first).all()
+        assert (words.windows(again, 3)[0] == grams[0]).all()
+
+
 # neighbours
 
 
