@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,66 @@ def id_bucket(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of a key filter at most; its size follows the keys up to there.
+FILTER_BITS = 1 << 26
+
+
+class KeyFilter:
+    """Fixed-size bits of 64-bit keys: a key that was put in is always found, another seldom while there are few.
+
+    It only spares rows a shuffle; what it lets through is joined exactly.
+    """
+
+    def __init__(self, keys: DataFrame, most_bits: int | None = None):
+        """``keys``: one bigint column.  What reaches the driver is at most one row for each 64 bits."""
+        (key,) = keys.columns
+        most, self.bits = most_bits or FILTER_BITS, 1 << 10
+        n = keys.count()
+        while self.bits < min(16 * n, most):
+            self.bits *= 2
+        place = F.col(key).bitwiseAND(F.lit(self.bits - 1))
+        words = keys.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        table = np.zeros(self.bits // 64, np.int64)
+        table[words["word"].to_numpy()] = words["bits"].to_numpy()
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "table": self.table}
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        place = keys & np.int64(self.bits - 1)
+        return (self.table.value[place >> 6] >> (place & 63)) & 1 > 0
+
+    def may_hold(self, key: Column) -> Column:
+        @F.arrow_udf("boolean")
+        def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for keys in batches:
+                yield pa.array(self.holds(keys.to_numpy(zero_copy_only=False)))
+
+        return test(key)
+
+    def only_held(self, keys: Column) -> Column:
+        """The keys of an array that may be held."""
+
+        @F.arrow_udf("array<bigint>")
+        def some(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for lists in batches:
+                values, edges = lists.flatten(), lists.offsets.to_numpy()
+                held = self.holds(values.to_numpy(zero_copy_only=False))
+                upto = np.concatenate([[0], np.cumsum(held)])
+                yield pa.ListArray.from_arrays(pa.array(upto[edges - edges[0]].astype(np.int32)), values.filter(pa.array(held)))
+
+        return some(keys)
+
+
 def release() -> None:
     """Gives freed memory back to the system: a worker lives on between tasks, and its allocators keep what one batch needed."""
     pa.default_memory_pool().release_unused()

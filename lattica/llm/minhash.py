@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, checkpointed, pieces, release, ship, slices
+from .common import SLICE_BYTES, KeyFilter, checkpointed, pieces, release, ship, slices
 from .words import hashed, mix, windows
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9995, 6
-BLOCK = 256
+#: Texts and bytes of a block: what a task holds of a family is two of them.
+BLOCK, BLOCK_BYTES = 128, 1 << 20
 COLUMNS = 2048
+#: Parts into which the rows of one key are dealt in joins, so that a crowded key meets in no single task.
+SALTS = 8
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -72,15 +75,29 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> list[list[int]
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def salt_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """Joins ``few`` (one row for each key) to ``rows``, of which one key may hold a great share: they are dealt by ``spread`` as well."""
+    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))  # a fixed number
+    return rows.withColumn("salt", salt_of(spread)).join(few.withColumn("salt", salts), [key, "salt"], how).drop("salt")
+
+
+def components(edges: DataFrame, shared_only: bool = False) -> DataFrame:
     """(node, hub) edges to (node, root): nodes that share a hub, directly or through others, get one root, a node of theirs.
 
     Hubs take the least node seen near them and are merged as they meet, with
-    every step a pre-aggregated minimum, until each node has one hub only.
+    every step a pre-aggregated minimum, until each node has one hub only.  The
+    nodes of one hub are dealt over SALTS parts.  With ``shared_only`` hubs of
+    one node are left out, and so are nodes that have no other.
     """
-    edges = edges.distinct()
-    least = edges.groupBy("hub").agg(F.min("node").alias("to"))
-    now = checkpointed(edges.join(least, "hub").select("node", F.col("to").alias("hub")).distinct())
+    edges = edges.distinct().withColumn("salt", salt_of("node"))
+    parts = edges.groupBy("hub", "salt").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("c"))
+    least = parts.groupBy("hub").agg(F.min("m").alias("to"), F.sum("c").alias("c")).where(F.col("c") > (1 if shared_only else 0))
+    each = parts.select("hub", "salt").join(least.select("hub", "to"), "hub")  # at most SALTS rows of a hub
+    now = checkpointed(edges.join(each, ["hub", "salt"]).select("node", F.col("to").alias("hub")).distinct())
     while True:
         by_node = now.groupBy("node").agg(F.min("hub").alias("m"), F.count(F.lit(1)).alias("c"))
         if not by_node.where(F.col("c") > 1).limit(1).count():
@@ -88,8 +105,8 @@ def components(edges: DataFrame) -> DataFrame:
         hubs = checkpointed(now.join(by_node, "node").groupBy("hub").agg(F.min("m").alias("to")))
         for _ in range(2):  # pointer jumps shorten chains of hubs
             far = hubs.select(F.col("hub").alias("to"), F.col("to").alias("far"))
-            hubs = hubs.join(far, "to", "left").select("hub", F.coalesce("far", "to").alias("to"))
-        now = checkpointed(now.join(hubs, "hub").select("node", F.col("to").alias("hub")).distinct())
+            hubs = salted_join(hubs, far, "to", "hub", "left").select("hub", F.coalesce("far", "to").alias("to"))
+        now = checkpointed(salted_join(now, hubs, "hub", "node").select("node", F.col("to").alias("hub")).distinct())
 
 
 def link_matrix(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -137,24 +154,31 @@ def as_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def digest_of(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links of each distinct text: (digest, class_id, n_links, first_id, root).
 
     Texts are one class of copies by digest.  MinHash bands (their number
-    follows from ``recall`` at ``similarity``) are shuffled; texts that share a
-    band, directly or through others, form a family, and only families see
-    their texts again: every pair inside one is decided on the full n-gram
-    sets.  Families of more than BLOCK texts are cut into blocks and every
-    pair of blocks is a task of its own, so no family is ever held in one task
-    and what leaves a task is a count and a root for each text, never the
-    pairs.
+    follows from ``recall`` at ``similarity``) are shuffled as counts of each
+    band's texts; texts that share a band, directly or through others, form a
+    family, and only families see their texts again (a filter of fixed size
+    keeps the others from the shuffle): every pair inside one is decided on
+    the full n-gram sets.  Families of more than a block are cut into blocks,
+    every pair of blocks is decided by itself, and the pairs are dealt to tasks
+    in turn, so no family is ever held in one task and what leaves a task is a
+    count and a root for each text, never the pairs.
 
     ``class_id`` is the least id of all texts linked directly or through
     others, ``root`` the digest that stands for that class (ids may be null or
-    repeated, so class_id does not); ``n_links`` is the number of other documents at ``similarity`` or
-    more, copies included; ``first_id`` is the least id of the text's own
-    copies.  Texts without a word link to their copies only.  Null texts count
-    as empty, null ids are passed over unless a class has no other.
+    repeated, so class_id does not); ``n_links`` is the number of other
+    documents at ``similarity`` or more, copies included; ``first_id`` is the
+    least id of the text's own copies.  Texts without a word link to their
+    copies only.  Null texts count as empty, null ids are passed over unless a
+    class has no other.  Repeated rows are copies; an empty table has no
+    links; a very long text is a block of its own.
     """
     ship(docs.sparkSession)
     bands = bands_for(similarity, recall, rows)
@@ -169,31 +193,32 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
 
     # Equal texts have equal bands, so copies collapse before the shuffle.
     texts = checkpointed(
-        plain.select("id", "digest", signature.asNondeterministic()(F.col("text")).alias("bands"))
-        .groupBy("digest", "bands")
+        plain.select("id", "digest", F.octet_length("text").cast("long").alias("bytes"), signature.asNondeterministic()(F.col("text")).alias("bands"))
+        .groupBy("digest", "bands", "bytes")
         .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     )
-    shared = texts.select(F.col("digest").alias("node"), F.explode("bands").alias("hub"))
-    crowded = shared.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hub")
-    families = components(shared.join(crowded, "hub"))
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    family = (
-        families.join(sizes, "root")
-        .join(texts.select(F.col("digest").alias("node"), "first_id", "copies"), "node")
-        .withColumn("blocks", F.expr(f"cast((members + {BLOCK - 1}) div {BLOCK} as int)"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    )
+    crowded = checkpointed(texts.select(F.explode("bands").alias("hub")).groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hub"))
+    edges = checkpointed(texts.select(F.col("digest").alias("node"), F.explode(KeyFilter(crowded).only_held(F.col("bands"))).alias("hub")))
+    families = checkpointed(components(edges, shared_only=True).join(texts.select(F.col("digest").alias("node"), "first_id", "copies", "bytes"), "node"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    family = salted_join(families, families.groupBy("root").agg(blocks.alias("blocks")), "root", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # One row for each text of a family: repeated rows collapse on the way to the join, by the key of the join.
-    wanted = plain.withColumn("key", as_key("id")).groupBy("key", "digest").agg(F.first("text").alias("text"))
+    inside = KeyFilter(families.select(F.xxhash64("node").alias("key")))
+    wanted = plain.where(inside.may_hold(F.xxhash64("digest"))).withColumn("key", as_key("id")).groupBy("key", "digest").agg(F.first("text").alias("text"))
     members = wanted.join(family.select(as_key("first_id").alias("key"), F.col("node").alias("digest"), "root", "copies", "blocks", "block"), ["key", "digest"])
+    low, high, n = F.col("low"), F.col("high"), F.col("blocks")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_turn = F.pmod(F.xxhash64("root") + low * n - (low * (low - 1) / 2).cast("long") + high - low, F.lit(tasks)).cast("int")
     pairs = members.select(
         "root",
         "digest",
         "copies",
+        "blocks",
         "block",
         "text",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("low"), F.greatest(k, F.col("block")).alias("high")))).alias("pair"),
-    ).select("root", "pair.low", "pair.high", "digest", "copies", "block", "text")
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).cast("long").alias("low"), F.greatest(k, F.col("block")).cast("long").alias("high")))).alias("pair"),
+    ).select("root", "pair.low", "pair.high", "digest", "copies", "blocks", "block", "text")
+    pairs = pairs.select("root", "low", "high", "digest", "copies", "block", "text", in_turn.alias("task"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -224,32 +249,37 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
                 ["digest", "hub", "links"],
             )
 
-    key = ["root", "low", "high"]
-    found = checkpointed(pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "digest binary, hub binary, links bigint"))
+    dealt = pairs.repartitionById(tasks, F.col("task")).sortWithinPartitions("root", "low", "high")
+    found = checkpointed(dealt.mapInArrow(verify, "digest binary, hub binary, links bigint"))
     linked = components(found.select(F.col("digest").alias("node"), "hub"))
     counts = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    table = (
-        texts.select("digest", "first_id", "copies")
-        .join(counts, "digest", "left")
-        .join(linked.select(F.col("node").alias("digest"), "root"), "digest", "left")
-        .withColumn("root", F.coalesce("root", "digest"))
-    )
+    near = linked.select(F.col("node").alias("digest"), "root").join(counts, "digest")
+    table = texts.select("digest", "first_id", "copies").join(near, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = table.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    return table.join(least, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first_id", "root")
+    return salted_join(table, least, "root", "digest").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first_id", "root")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One row for each row of ``docs``: id, ``class_id``, ``n_links`` and ``copy_of`` (least id of the equal texts)."""
+    """One row for each row of ``docs``: id, ``class_id``, ``n_links`` and ``copy_of`` (least id of the equal texts); cases as in ``jaccard_links``."""
     links = jaccard_links(docs, id_col=id_col, text_col=text_col, **settings)
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("digest"))
-    return rows.join(links, "digest").select(F.col("id").alias(id_col), "class_id", "n_links", F.col("first_id").alias("copy_of"))
+    rows = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"))
+    return salted_join(rows, links, "digest", "id").select(F.col("id").alias(id_col), "class_id", "n_links", F.col("first_id").alias("copy_of"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One row of each class, that of the least id, with all its columns."""
-    links = jaccard_links(docs, id_col=id_col, text_col=text_col, **settings)
+    """One row of each class, that of the least id, with all its columns, whatever they are called.
+
+    Only rows of texts that have a link take part in a shuffle; all others are
+    kept where they are.  Null texts are copies of the empty text.  Of rows
+    with equal id and text the one whose other columns come first as JSON
+    stays.  A null id comes after all others.  An empty table stays empty.
+    """
+    links = checkpointed(jaccard_links(docs, id_col=id_col, text_col=text_col, **settings))
+    linked = KeyFilter(links.where(F.col("n_links") > 0).select(F.xxhash64("digest").alias("key")))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest_of(text_col).alias("digest"))
+    rows = rows.withColumn("may", linked.may_hold(F.xxhash64("digest")))
     first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest"))
-    keep = links.groupBy("root").agg(first.alias("__first")).select(F.col("__first.first_id").alias("__id"), F.col("__first.digest").alias("__digest"))
-    rows = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))).dropDuplicates([id_col, "__digest"])
-    same = rows[id_col].eqNullSafe(keep["__id"]) & (rows["__digest"] == keep["__digest"])
-    return rows.join(keep, same, "left_semi").drop("__digest")
+    keep = links.where(linked.may_hold(F.xxhash64("digest"))).groupBy("root").agg(first.alias("first")).select(F.col("first.first_id").alias("keep_id"), F.col("first.digest").alias("keep_digest"))
+    some = rows.where("may").join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest")), "left_semi")
+    one = some.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.where(~F.col("may")).select("row").unionByName(one.select("row")).select("row.*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lattica.llm import ann, bpe, language, licenses, minhash, packing, pii, quality, queries, sharding, suffix_tree
-from lattica.llm.common import id_bucket, pieces
+from lattica.llm.common import KeyFilter, id_bucket, pieces
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard int, score double, digest string, id long, row int, kept int, uid int, bands int, bin int"
@@ -650,8 +650,9 @@ def test_join_against_brute_force(docs, empty, spark, monkeypatch):
     rows = list(enumerate([*near_family(rng, 120), *near_family(rng, 5), *[prose(rng, 60) for _ in range(40)], *["one two three"] * 3, "one two three", "one two"]))
     want = plain_classes(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1024, 32):  # one block, then pairs of blocks
+    for block, size in ((1024, 1 << 30), (32, 1 << 30), (1024, 1 << 15)):  # one block, then pairs of blocks by texts and by bytes
         monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
         got = minhash.jaccard_join(df).collect()
         assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
     kept = minhash.without_near_copies(df.unionByName(df)).collect()
@@ -680,6 +681,35 @@ def test_unlike_texts_with_null_or_repeated_ids_are_all_kept(spark):
     assert got == Counter([(3, texts[1]), (None, None), *[(None, t) for t in texts[2:6]], *[(5, t) for t in texts[6:]], *[x for x in got if x in {(None, texts[0]), (None, near)}][:1]])
 
 
+def test_filters_let_all_their_keys_through(spark):
+    keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
+    for bits in (1 << 10, 1 << 20):  # a filter that is too small lets more through, never less
+        f = KeyFilter(keys, bits)
+        both = spark.range(4000).select("id", F.xxhash64("id").alias("key"), F.array(F.xxhash64("id"), F.xxhash64(F.col("id") + 1000)).alias("list"))
+        got = {r["id"]: (r["may"], len(r["some"])) for r in both.select("id", f.may_hold(F.col("key")).alias("may"), f.only_held(F.col("list")).alias("some")).collect()}
+        assert all(got[k][0] and got[k][1] >= 1 for k in range(1000))
+        if bits == 1 << 20:
+            assert sum(may for may, _ in got.values()) < 1200 and sum(n for _, n in got.values()) < 1500
+    assert not any(r[0] for r in spark.range(50).select(KeyFilter(keys.limit(0)).may_hold(F.col("id"))).collect())
+
+
+def test_survivors_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "y", 1), (1, "a b c d e f", "x", 2), (2, "a b c d e f", "w", 3), (None, "q w e r t y", None, 4), (4, None, "v", 5), (5, "", "u", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __digest string, may int").withColumnsRenamed({"may": "row"})
+    kept = minhash.without_near_copies(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, "a b c d e f", "x", 2), (None, "q w e r t y", None, 4), (4, None, "v", 5)])
+    assert minhash.without_near_copies(df.limit(0)).collect() == []
+
+
+def test_a_family_of_long_texts_is_cut_by_bytes(spark):
+    rng = random.Random(41)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    texts = [" ".join([*base, f"end{k}"]) for k in range(24)]  # 0.2 MB each
+    got = minhash.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 23)}
+
+
 def test_bands_reach_the_recall():
     b = minhash.bands_for(0.8, 0.9995, 6)
     assert 1 - (1 - 0.8**6) ** b >= 0.9995 > 1 - (1 - 0.8**6) ** (b - 1)
