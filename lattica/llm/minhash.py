@@ -17,8 +17,8 @@ WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9995, 6
 #: Texts and bytes of a block: what a task holds of a family is two of them.
 BLOCK, BLOCK_BYTES = 128, 1 << 20
 COLUMNS = 2048
-#: Parts into which the rows of one key are dealt in joins, so that a crowded key meets in no single task.
-SALTS = 8
+#: Parts into which the rows of one key are dealt in joins, so that a crowded key meets in no single task; rows that make a key crowded.
+SALTS, CROWD = 8, 10_000
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -79,10 +79,19 @@ def salt_of(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
 
-def salted_join(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """Joins ``few`` (one row for each key) to ``rows``, of which one key may hold a great share: they are dealt by ``spread`` as well."""
-    salts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))  # a fixed number
-    return rows.withColumn("salt", salt_of(spread)).join(few.withColumn("salt", salts), [key, "salt"], how).drop("salt")
+def salted_join(rows: DataFrame, few: DataFrame, key: str, spread: str, how: str = "inner", many: Column | None = None) -> DataFrame:
+    """Joins ``few`` (one row for each key) to ``rows``, of which one key may hold a great share: they are dealt by ``spread`` as well.
+
+    Where ``few`` tells how ``many`` rows a key has, crowded keys alone are
+    dealt; a filter of fixed size, asked on both sides, names them.
+    """
+    salt, salts = salt_of(spread), F.array(*[F.lit(k) for k in range(SALTS)])  # a fixed number
+    if many is not None:
+        crowd = KeyFilter(few.where(many >= CROWD).select(F.xxhash64(key).alias("key")))
+        rows, few = (df.withColumn("crowd", crowd.may_hold(F.xxhash64(key))) for df in (rows, few))
+        salt, salts = F.when(F.col("crowd"), salt).otherwise(0), F.when(F.col("crowd"), salts).otherwise(F.array(F.lit(0)))
+    rows, few = rows.withColumn("salt", salt).drop("crowd"), few.withColumn("salt", F.explode(salts)).drop("crowd")
+    return rows.join(few, [key, "salt"], how).drop("salt")
 
 
 def components(edges: DataFrame, shared_only: bool = False) -> DataFrame:
@@ -254,16 +263,16 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
     linked = components(found.select(F.col("digest").alias("node"), "hub"))
     counts = found.groupBy("digest").agg(F.sum("links").alias("links"))
     near = linked.select(F.col("node").alias("digest"), "root").join(counts, "digest")
-    table = texts.select("digest", "first_id", "copies").join(near, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = table.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    return salted_join(table, least, "root", "digest").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first_id", "root")
+    table = checkpointed(texts.select("digest", "first_id", "copies").join(near, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    least = table.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("texts"))
+    return salted_join(table, least, "root", "digest", many=F.col("texts")).select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first_id", "root")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row for each row of ``docs``: id, ``class_id``, ``n_links`` and ``copy_of`` (least id of the equal texts); cases as in ``jaccard_links``."""
-    links = jaccard_links(docs, id_col=id_col, text_col=text_col, **settings)
+    links = checkpointed(jaccard_links(docs, id_col=id_col, text_col=text_col, **settings))
     rows = docs.select(F.col(id_col).alias("id"), digest_of(text_col).alias("digest"))
-    return salted_join(rows, links, "digest", "id").select(F.col("id").alias(id_col), "class_id", "n_links", F.col("first_id").alias("copy_of"))
+    return salted_join(rows, links, "digest", "id", many=F.col("n_links")).select(F.col("id").alias(id_col), "class_id", "n_links", F.col("first_id").alias("copy_of"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -653,6 +653,7 @@ def test_join_against_brute_force(docs, empty, spark, monkeypatch):
     for block, size in ((1024, 1 << 30), (32, 1 << 30), (1024, 1 << 15)):  # one block, then pairs of blocks by texts and by bytes
         monkeypatch.setattr(minhash, "BLOCK", block)
         monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+        monkeypatch.setattr(minhash, "CROWD", 1 if block == 32 else 10_000)
         got = minhash.jaccard_join(df).collect()
         assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
     kept = minhash.without_near_copies(df.unionByName(df)).collect()
