@@ -8,23 +8,29 @@ all rows are reranked by the exact measure.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ship
+from .common import checkpointed, release, ship
 
-#: Rows the index is fitted on at most, and the parts it is cut into.
-SAMPLE, PARTS, NEIGHBOURS = 4096, 16, 12
+#: Rows the index is fitted on at most; rows of it for each part at least; neighbours of a row in its graph.
+SAMPLE, PART_SAMPLE, NEIGHBOURS = 16_384, 32, 12
 #: Recall to reach on the sample when choosing how many parts a query visits.
-RECALL = 0.97
-HIDDEN, EPOCHS = 96, 120
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 1024
+RECALL = 0.93
+HIDDEN, EPOCHS = 128, 40
+#: Candidates a task holds at a time, queries that one copy of them serves, cells of a table of scores, and results held before they leave.
+CANDIDATE_BLOCK, QUERY_BLOCK, CELLS, HELD = 4096, 1 << 16, 1 << 20, 1 << 20
+
+
+def parts_for(rows: int, sample: int = SAMPLE) -> int:
+    """Parts for so many rows: the power of two next to their square root, as far as the sample can fit them."""
+    return max(1, min(1 << round(math.log2(max(1, rows)) / 2), min(rows, sample) // PART_SAMPLE))
 
 
 @dataclass
@@ -96,11 +102,11 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rng: np.random.G
     return part
 
 
-def fit_router(x: np.ndarray, parts: int = PARTS, top: int = 20, recall: float = RECALL, seed: int = 7) -> Router:
+def fit_router(x: np.ndarray, parts: int, top: int = 20, recall: float = RECALL, seed: int = 7) -> Router:
     """Fits partition and classifier on sample rows ``x``, then finds the fewest visits that reach ``recall`` among them."""
     rng = np.random.default_rng(seed)
     n, d = x.shape
-    parts = max(1, min(parts, n // 32))
+    parts = max(1, min(parts, n // PART_SAMPLE))
     if parts == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     scale = 1 / max(np.sqrt((x**2).sum(axis=1)).mean(), 1e-300)
@@ -153,49 +159,70 @@ def usable(column: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def top_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's ``top`` rows by inner product in double precision, ties to the smaller id, its own id left out.
+def best_of(query: np.ndarray, near: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` rows of each query by score, ties to the smaller id."""
+    order = np.lexsort((near, -score, query))
+    query, near, score = query[order], near[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.empty(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[place < top], near[place < top], score[place < top]
+
+
+def top_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's ``top`` rows by inner product in double precision, ties to the smaller id, its own id left out.
 
     Rows near the cut are scored again one by one, since a matrix product may
     round equal vectors differently.
     """
-    s = queries @ vectors.T
-    s[query_ids[:, None] == ids[None, :]] = -np.inf
-    for k in range(len(query_ids)):
-        row = s[k]
-        least = np.partition(row, -top)[-top] if len(row) > top else -np.inf
-        slack = 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else 0
-        at = np.flatnonzero((row >= least - slack) & (row > -np.inf))
-        exact = (vectors[at] * queries[k]).sum(axis=1)
-        best = at[order := np.lexsort((ids[at], -exact))][:top]
-        yield k, ids[best], exact[order][:top]
-
-
-def search(rows: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int = PARTS) -> DataFrame:
+    parts = []
+    step = max(1, CELLS // len(ids))
+    for a in range(0, len(query_ids), step):
+        own, q = query_ids[a : a + step], queries[a : a + step]
+        s = q @ vectors.T
+        s[own[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(s, len(ids) - top, axis=1)[:, len(ids) - top] if len(ids) > top else np.full(len(q), -np.inf)
+        slack = 1e-9 * np.maximum(1.0, np.abs(least, where=np.isfinite(least), out=np.ones(len(least))))
+        i, j = np.nonzero((s >= (least - slack)[:, None]) & (s > -np.inf))
+        exact = np.empty(len(i))
+        for k in range(0, len(i), 1 << 14):
+            exact[k : k + (1 << 14)] = (vectors[j[k : k + (1 << 14)]] * q[i[k : k + (1 << 14)]]).sum(axis=1)
+        parts.append(best_of(own[i], ids[j], exact, top))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def search(rows: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL, with_visits: bool = False) -> DataFrame:
     """The ``top`` nearest rows found for each row of ``rows`` that ``queries`` holds for.
 
     The index is fitted on at most ``sample`` rows (those of least id hash);
-    every row is indexed.  A part's rows and queries are dealt in blocks of
-    bounded size, so that neither a crowded part nor equal vectors meet in one
-    task.  Vectors that are null, empty, zero, or hold null or non-finite
-    components take no part, nor do those whose length is not the most common
-    one (the greater of equally common).  Null ids take no part; repeated ids
-    are rows of their own as candidates, count once as a query (the first
-    vector by value), and are never their own neighbour.
-
-    Returns (query_id, rank from 1, the neighbour's id, score).
+    every row is indexed.  ``parts`` grow with the square root of the rows up
+    to ``sample / PART_SAMPLE``; a query visits the fewest that gave ``recall``
+    on the sample.  A part's rows are dealt in blocks of bounded size, each
+    sent once for QUERY_BLOCK queries, so that neither a crowded part nor equal
+    vectors meet in one task; queries stream past them.
+
+    Vectors that are null, empty, zero, or hold null or non-finite components
+    take no part, nor do those whose length is not the most common one (the
+    greater of equally common), since they have no inner product with the
+    others.  Null ids take no part; repeated ids are rows of their own as
+    candidates, count once as a query (the first vector by value), and are
+    never their own neighbour.  An empty table gives an empty result; other
+    columns are not looked at.
+
+    Returns (query_id, rank from 1, the neighbour's id, score), and with
+    ``with_visits`` also ``parts``, ``visits`` (parts a query saw) and ``seen``
+    (rows it was compared with).
     """
     spark = rows.sparkSession
     ship(spark)
     clean = rows.select(F.col(id_col).cast("long").alias("id"), vector_of(vector_col).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where(usable("v") & F.col("id").isNotNull())
     lengths = clean.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
-    schema = f"query_id long, rank int, {id_col} long, score double"
+    schema = f"query_id long, rank int, {id_col} long, score double" + (", parts int, visits int, seen long" if with_visits else "")
     if not lengths:
         return spark.createDataFrame([], schema)
     d = lengths[0]["n"]
     clean = clean.where(F.size("v") == d)
-    chosen = clean.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(sample).select("v").toPandas()
-    router = fit_router(np.stack([np.asarray(v, np.float64) for v in chosen["v"]]), parts, top)
+    chosen = clean.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    router = fit_router(chosen.flatten().to_numpy().reshape(-1, d), parts or parts_for(lengths[0]["c"], sample), top, recall)
     visits = router.visits
 
     @F.arrow_udf("array<int>")
@@ -208,23 +235,51 @@ def search(rows: DataFrame, queries: Column, top: int = 20, id_col: str = "vec_i
 
     indexed = checkpointed(clean.withColumn("parts", route.asNondeterministic()(F.col("v"))))
     placed = indexed.select("id", "v", F.col("parts")[0].alias("part"))
-    asking = indexed.where("asks").groupBy("id").agg(F.min(F.struct("v", "parts")).alias("x")).select(F.col("id").alias("query_id"), "x.v", F.explode("x.parts").alias("part"))
-    # At most one row for each part, on both sides.
-    blocks = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.ceil(F.col("n") / CANDIDATE_BLOCK).cast("int").alias("cb"))
-    asked = asking.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("qb"))
-    plan = F.broadcast(blocks.join(asked, "part"))
+    asked = indexed.where("asks").groupBy("id").agg(F.min(F.struct("v", "parts")).alias("x")).select(F.col("id").alias("query_id"), "x.v", F.explode("x.parts").alias("part"))
+    # One row for each part, numbered by the blocks of candidates and queries that come before.
+    blocks = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part")
+    blocks = blocks.select("part", "n", F.ceil(F.col("n") / CANDIDATE_BLOCK).cast("int").alias("cb"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("qb"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    plan = F.broadcast(checkpointed(blocks.withColumn("before", F.coalesce(F.sum(F.col("cb") * F.col("qb")).over(before), F.lit(0)))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asking.join(plan, "part").select("part", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("q"), every("cb").alias("c"), "query_id", "v")
-    right = placed.join(plan, "part").select("part", every("qb").alias("q"), F.pmod(F.xxhash64("id", "v"), F.col("cb")).cast("int").alias("c"), "id", "v")
-
-    def rerank(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        q, v = np.stack(mine["v"].to_numpy()), np.stack(theirs["v"].to_numpy())
-        ids, own = theirs["id"].to_numpy(), mine["query_id"].to_numpy()
-        found = list(top_of(own, q, ids, v, top))
-        return pd.DataFrame({"query_id": np.repeat(own, [len(f[1]) for f in found]), "id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    near = left.groupBy("part", "q", "c").cogroup(right.groupBy("part", "q", "c")).applyInPandas(rerank, "query_id long, id long, score double")
+    turn = (F.col("before") + F.col("c") * F.col("qb") + F.col("q")).alias("turn")
+    theirs = placed.join(plan, "part").select("*", F.pmod(F.xxhash64("id", "v"), F.col("cb")).cast("int").alias("c")).select("*", every("qb").alias("q")).select(turn, F.lit(0).alias("kind"), "id", "v")
+    mine = asked.join(plan, "part").select("*", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int").alias("q")).select("*", every("cb").alias("c")).select(turn, F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = theirs.unionByName(mine).withColumn("task", F.pmod("turn", F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task")).sortWithinPartitions("turn", "kind").drop("task")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now, ids, vectors = None, [], []
+
+        def leave(found: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "id", "score"])
+
+        for batch in batches:
+            turns, kinds, own = (batch.column(k).to_numpy() for k in range(3))
+            x = batch.column(3).flatten().to_numpy().reshape(-1, d)
+            edges = np.flatnonzero(np.concatenate([[True], (turns[1:] != turns[:-1]) | (kinds[1:] != kinds[:-1]), [True]])) if len(turns) else []
+            for a, b in zip(edges, edges[1:], strict=False):
+                if turns[a] != now:
+                    now, ids, vectors = turns[a], [], []
+                if kinds[a] == 0:
+                    ids.append(own[a:b])
+                    vectors.append(x[a:b])
+                elif ids:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    held.append(top_of(own[a:b], x[a:b], ids[0], vectors[0], top))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [best_of(*(np.concatenate(h) for h in zip(*held, strict=True)), top)]
+                if len(held[0][0]) > HELD // 2:
+                    yield leave(held.pop())
+        if held:
+            yield leave(best_of(*(np.concatenate(h) for h in zip(*held, strict=True)), top))
+        release()
+
+    near = dealt.mapInArrow(rerank, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    out = near.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    if not with_visits:
+        return out
+    seen = asked.join(plan, "part").groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("visits"), F.sum("n").alias("seen"))
+    return out.join(seen, "query_id").select("query_id", "rank", id_col, "score", F.lit(router.w2.shape[1]).alias("parts"), "visits", "seen")

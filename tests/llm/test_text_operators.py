@@ -457,6 +457,43 @@ def test_neighbour_recall(spark):
     assert np.mean(hits) / 20 >= 0.9
 
 
+def recall_and_seen(df, x, ids):
+    found, seen = defaultdict(set), {}
+    for r in df.collect():
+        found[r["query_id"]].add(r["vec_id"])
+        seen[r["query_id"]] = r["seen"] / len(ids)
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -1e9
+        hits.append(len(found[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]])))
+    return np.mean(hits) / 20, np.mean(list(seen.values()))
+
+
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16))
+    x = centres[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    recall, seen = recall_and_seen(ann.search(df, F.col("vec_id") % 20 == 0, with_visits=True), x, np.arange(6000))
+    assert recall >= 0.9 and seen <= 0.15, (recall, seen)
+
+
+def test_parts_grow_with_the_rows():
+    assert [ann.parts_for(n) for n in (0, 1, 40, 2000, 51_282, 300_000, 10**9)] == [1, 1, 1, 32, 256, 512, 512]
+
+
+def test_blocks_and_early_leaving_change_nothing(spark, monkeypatch):
+    rng = random.Random(51)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ann.search(df, F.col("vec_id") % 5 == 0, parts=1).collect()))
+    for name, value in (("CANDIDATE_BLOCK", 16), ("QUERY_BLOCK", 7), ("CELLS", 50), ("HELD", 40)):
+        monkeypatch.setattr(ann, name, value)
+    assert sorted(map(tuple, ann.search(df, F.col("vec_id") % 5 == 0, parts=1).collect())) == want and len(want) > 1400
+
+
 # quality
 
 
