@@ -11,6 +11,7 @@ from ..errors import RequestError
 from ..functions.predicates import HAVING_OPERATORS, where
 from .rows import resolve
 
+#: Groups of one page at most.
 MOST_GROUPS = 1000
 SAMPLE_ROWS = 50_000
 
@@ -52,12 +53,19 @@ def groups_of(df: DataFrame, aggregations: list[dict], group_by: list[str] | Non
 def aggregate(
     df: DataFrame, aggregations: list[dict], group_by: list[str] | None = None, filters: list[dict] | None = None, having: list[dict] | None = None, order_by: str | None = None, order_dir: str = "desc", limit: int = 50, approximate: bool = False
 ) -> DataFrame:
-    """A page of groups, ordered by a group column or an alias; ties by the group columns."""
+    """A page of groups, ordered by a group column or an alias; ties by the group columns.  More than MOST_GROUPS at once are refused."""
+    if not 1 <= limit <= MOST_GROUPS:
+        raise RequestError("INVALID_LIMIT", f"1 to {MOST_GROUPS} groups")
     out = groups_of(df, aggregations, group_by, filters, having, approximate)
     if order_by is not None and order_by not in out.columns:
         raise RequestError("INVALID_COLUMN", f"cannot order by {order_by!r}")
     keys = ([F.desc(order_by) if order_dir == "desc" else F.asc(order_by)] if order_by else []) + [F.asc(g) for g in group_by or []]
-    return (out.orderBy(*keys) if keys else out).limit(max(1, min(limit, MOST_GROUPS)))
+    return (out.orderBy(*keys) if keys else out).limit(limit)
+
+
+def total_groups(df: DataFrame, aggregations: list[dict], group_by: list[str] | None = None, filters: list[dict] | None = None, having: list[dict] | None = None) -> DataFrame:
+    """One row: how many groups there are, whatever the page holds."""
+    return groups_of(df, aggregations, group_by, filters, having).agg(F.count(F.lit(1)).alias("total_groups"))
 
 
 def cube(df: DataFrame, keys: list[str], aggregations: list[dict], rollup: bool = False) -> DataFrame:

@@ -51,6 +51,12 @@ def join_page(a: DataFrame, b: DataFrame, on_a: str, on_b: str, kind: str = "inn
     return out.offset(offset).limit(limit) if offset else out.limit(limit)
 
 
+def join_total(a: DataFrame, b: DataFrame, on_a: str, on_b: str, kind: str = "inner", **more) -> DataFrame:
+    """One row: how many rows the join has, whatever the page holds; the sides keep their keys and filtered columns alone."""
+    more = more | {"columns_a": [on_a], "columns_b": [on_b]}
+    return join(a, b, on_a, on_b, kind, **more).agg(F.count(F.lit(1)).alias("total"))
+
+
 def containment(a: DataFrame, column: str, b: DataFrame, key: str) -> DataFrame:
     """Share of the distinct values of ``a`` that are found in ``b``."""
     values = a.select(F.col(column).cast("string").alias("v")).where("v is not null").distinct()

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import LATITUDE, LONGITUDE, SEMANTIC
+from ..functions.text import clean, rank_of
 from .distribution import numeric_columns
 
 QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.95, 0.99)
 MOST_INDEXED, TOP, SAMPLES = 1000, 50, 10
+VIOLATIONS = 5
 FIRES, LEAST_SAMPLES = 0.85, 3
 
 
@@ -140,6 +142,34 @@ def kind_parts(df: DataFrame) -> tuple[list[Column], list[list[Column]]]:
     return parts, rows
 
 
+def fit_parts(df: DataFrame) -> tuple[list[Column], list[list[Column]]]:
+    """Aggregates, and for each column the fields they give: the share of values that read as the column's type, how many do not, and up to VIOLATIONS of them.
+
+    Typed columns hold their type alone.  In a text column what reads as a
+    number or a date does not fit: it is there because some other value forced
+    the column to be text.
+    """
+    parts, rows = [], []
+    for i, f in enumerate(df.schema):
+        if not isinstance(f.dataType, T.StringType):
+            rows.append([F.lit(1.0).alias("type_confidence"), F.lit(0).cast("long").alias("violations"), F.array().cast("array<string>").alias("violation_samples")])
+            continue
+        c = clean(F.col(f"`{f.name}`"))
+        odd = rank_of(c) < 3
+        parts += [F.count(c).alias(f"f{i}"), F.count_if(odd).alias(f"w{i}")]
+        # The least odd value of each of a few hash classes: distinct samples from buffers of fixed size.
+        parts += [F.min(F.when(odd & (F.pmod(F.hash(c), F.lit(VIOLATIONS)) == k), c)).alias(f"w{i}_{k}") for k in range(VIOLATIONS)]
+        share = F.when(F.col(f"f{i}") > 0, F.round(1 - F.col(f"w{i}") / F.col(f"f{i}"), 3)).otherwise(1.0)
+        rows.append([share.alias("type_confidence"), F.col(f"w{i}").alias("violations"), F.sort_array(F.array_compact(F.array(*[F.col(f"w{i}_{k}") for k in range(VIOLATIONS)]))).alias("violation_samples")])
+    return parts, rows
+
+
+def type_fit(df: DataFrame) -> DataFrame:
+    """(name, type_confidence, violations, violation_samples) of each column, from one aggregation."""
+    parts, rows = fit_parts(df)
+    return df.agg(F.count(F.lit(1)).alias("n"), *parts).select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("name"), *r) for f, r in zip(df.schema, rows, strict=True)])))
+
+
 def semantic_types(df: DataFrame) -> DataFrame:
     """(name, semantic_type, semantic_confidence) of each column, from one aggregation."""
     parts, rows = kind_parts(df)
@@ -153,8 +183,8 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     counts distinct values by a shuffle of value counts; else sketches in that
     same aggregation do.
     """
-    (stats, stat_rows), (kinds, kind_rows) = stat_parts(df), kind_parts(df)
-    parts, rows = stats + kinds, [a + b for a, b in zip(stat_rows, kind_rows, strict=True)]
+    (stats, stat_rows), (kinds, kind_rows), (fits, fit_rows) = stat_parts(df), kind_parts(df), fit_parts(df)
+    parts, rows = stats + kinds + fits, [a + b + c for a, b, c in zip(stat_rows, kind_rows, fit_rows, strict=True)]
     if not exact:
         parts += [sketched(f).alias(f"d{i}") for i, f in enumerate(df.schema)]
         rows = [r + [F.col(f"d{i}").alias("cardinality"), F.lit(None).cast("long").alias("most")] for i, r in enumerate(rows)]
@@ -168,16 +198,30 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         .withColumn("cardinality_is_exact", F.lit(exact))
         .withColumn("is_unique", unique)
         .withColumn("is_primary_key_candidate", unique & F.col("type").isin("integer", "string"))
-        .withColumn("type_confidence", F.lit(1.0))
     )
 
 
+#: What stands for a missing value in tables of all kinds: words, and runs of one character.
+MISSING_WORDS = ["anonymous", "blank", "empty", "missing", "no_info", "noinfo", "none", "not available", "pending", "redacted", "tbd", "undefined", "unknown", "void", "-1"]
+MISSING_RUNS = r"^(9{2,}|-9+|0{2,}|-{2,}|\.{2,}|\?+|\*+|[xX]+|_+|#+)$"
+
+
 def learned_null_tokens(df: DataFrame, least_share: float = 0.005, top: int = 10) -> DataFrame:
-    """Short values that look like a missing value, frequent in two or more columns."""
-    looks = F.lower("value").isin("tbd", "unknown", "missing", "not available", "none", "undefined", "pending", "?", "-1") | F.col("value").rlike(r"^(9{2,}|-9+|-+|\?+|\*+|x{2,}|#+)$")
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    hits = value_counts(df).where((F.length("value") <= 12) & looks).crossJoin(F.broadcast(rows)).where(F.col("n") >= least_share * F.col("rows"))
-    return hits.groupBy("value").agg(F.count(F.lit(1)).alias("columns"), F.sum("n").alias("count")).where("columns >= 2").orderBy(F.desc("count"), "value").limit(top)
+    """(value, columns, count) of short values that look like a missing value, each in ``least_share`` of the present values of two or more columns."""
+    looks = F.lower(F.trim("value")).isin(*MISSING_WORDS) | F.trim("value").rlike(MISSING_RUNS)
+    counts = value_counts(df)
+    present = counts.groupBy("name").agg(F.sum("n").alias("present"))  # one row a column
+    hits = counts.where((F.length(F.trim("value")) <= 12) & looks).join(F.broadcast(present), "name").where(F.col("n") >= least_share * F.col("present"))
+    return hits.groupBy(F.trim("value").alias("value")).agg(F.count_distinct("name").alias("columns"), F.sum("n").alias("count")).where("columns >= 2").orderBy(F.desc("count"), "value").limit(top)
+
+
+def without_tokens(df: DataFrame, tokens: list[str]) -> DataFrame:
+    """Text columns with learned tokens taken for missing, typed anew."""
+    from ..sources.files import infer
+
+    strings = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    cleaned = df.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*tokens), F.col(f"`{c}`")).alias(c) if c in strings and tokens else F.col(f"`{c}`") for c in df.columns])
+    return infer(cleaned) if tokens else df
 
 
 def first_samples(df: DataFrame, column: str, key: str, n: int = SAMPLES) -> DataFrame:

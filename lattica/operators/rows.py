@@ -27,6 +27,11 @@ def project(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in names])
 
 
+def left_out(df: DataFrame, columns: list[str] | None = None) -> list[str]:
+    """Columns that a page without chosen ones does not show."""
+    return [] if columns else df.columns[DEFAULT_COLUMNS:]
+
+
 def ordered(df: DataFrame, order_by: str | None, order_dir: str, ties: list[str]) -> DataFrame:
     """Sorted by one column, nulls smallest; ``ties`` make the order total."""
     if order_by is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +24,8 @@ def containing(part: str) -> Callable[[Column], Column]:
     return lambda x: x.contains(part)
 
 
-def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, top: int = 10) -> DataFrame:
-    """(id, score) of the best documents.
+def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, top: int | None = 10) -> DataFrame:
+    """(id, score) of the best documents, or of all that have a word of the query.
 
     Only the query's words leave a document's task; lengths and document
     frequencies are one aggregation, and the query is a literal, so no index
@@ -32,20 +34,20 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, top: int = 10)
     terms = sorted(set(words_of(query)))
     if not terms:
         return docs.select(F.col(id_col), F.lit(0.0).alias("score")).limit(0)
-    tokens = words(F.coalesce(F.col(text_col), F.lit("")))
-    counts = docs.select(F.col(id_col).alias("id"), tokens.alias("t")).select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", equal_to(w))).alias(f"tf{i}") for i, w in enumerate(terms)])
+    # Words are counted where they stand in the text, never laid out as arrays.
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    counts = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit("[a-z0-9]+")).alias("dl"), *[F.when(text.contains(w), F.regexp_count(text, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))).otherwise(0).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         score = score + F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hit = sum((F.col(f"tf{i}") for i in range(1, len(terms))), F.col("tf0")) > 0
-    return counts.where(hit).crossJoin(F.broadcast(stats)).select(F.col("id").alias(id_col), F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(top)
+    scored = counts.where(hit).crossJoin(F.broadcast(stats)).select(F.col("id").alias(id_col), F.round(score, 6).alias("score"))
+    return scored if top is None else scored.orderBy(F.desc("score"), id_col).limit(top)
 
 
 def words_of(text: str) -> list[str]:
-    import re
-
     return re.findall("[a-z0-9]+", text.lower())
 
 
@@ -68,12 +70,12 @@ def search_columns(columns: DataFrame, query: str, top: int = 10, weights: dict[
     """(name, score from 0 to 1) of the best columns; with vectors (name, vector) keyword and cosine scores are blended."""
     w = WEIGHTS | (weights or {})
     text = F.concat_ws(" ", "name", "summary", F.array_join(F.coalesce("values", F.array().cast("array<string>")), " "))
-    ranked = bm25(columns.select("name", text.alias("text")), query, "name", "text", 10_000).withColumnRenamed("score", "bm25")
-    rows = columns.select("name", keyword_score(query, weights).alias("kw")).join(F.broadcast(ranked), "name", "left").select("name", (F.col("kw") + w["bm25"] * F.coalesce("bm25", F.lit(0.0))).alias("score"))
+    ranked = bm25(columns.select("name", text.alias("text")), query, "name", "text", None).withColumnRenamed("score", "bm25")
+    rows = columns.select("name", keyword_score(query, weights).alias("kw")).join(ranked, "name", "left").select("name", (F.col("kw") + w["bm25"] * F.coalesce("bm25", F.lit(0.0))).alias("score"))
     if vectors is not None and query_vector is not None:
         q = F.array(*[F.lit(float(x)) for x in query_vector])
         near = vectors.select("name", cosine(F.col("vector"), q).alias("cos"))
-        rows = rows.join(F.broadcast(near), "name", "left").select("name", ((1 - semantic_weight) * F.col("score") + semantic_weight * w["semantic"] * F.coalesce("cos", F.lit(0.0))).alias("score"))
+        rows = rows.join(near, "name", "left").select("name", ((1 - semantic_weight) * F.col("score") + semantic_weight * w["semantic"] * F.coalesce("cos", F.lit(0.0))).alias("score"))
     best = rows.agg(F.max("score").alias("best"))
     return rows.where("score > 0").crossJoin(F.broadcast(best)).select("name", F.round(F.col("score") / F.col("best"), 4).alias("score")).orderBy(F.desc("score"), "name").limit(top)
 
@@ -89,14 +91,15 @@ def tuned(changes: dict[str, float], *layers: dict[str, float]) -> dict[str, flo
     return out
 
 
-def search_verdict(hits: int, best: float, names: list[str], query: str) -> dict:
-    """ok, degraded or absent, with the nearest name where nothing was found."""
-    import difflib
-
-    if hits and best > 0:
-        return {"verdict": "ok"}
-    near = difflib.get_close_matches(query, names, 1, 0.6)
-    return {"verdict": "degraded" if near else "absent"} | ({"did_you_mean": near[0]} if near else {})
+def search_verdict(hits: int, names: list[str], query: str, semantic: bool = False, vectors: bool = True) -> dict:
+    """ok, absent, or degraded where vectors were asked for and are not there (so nothing found proves nothing); names near the query where nothing was found."""
+    state = "degraded" if semantic and not vectors else "ok" if hits else "absent"
+    out = {"state": state, "channels": {"keywords": "ok", "vectors": ("ok" if vectors else "unavailable") if semantic else "off"}}
+    if hits:
+        return out
+    terms = [t for t in words_of(query) if len(t) >= 3]
+    near = [n for n in names if any(t in n.lower() for t in terms)] or difflib.get_close_matches(query, names, 5, 0.6)
+    return out | ({"did_you_mean": near[:5]} if near else {})
 
 
 def cosine_top(vectors: DataFrame, query: list[float], id_col: str, vector_col: str, top: int = 10) -> DataFrame:
@@ -112,7 +115,7 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(grams, lambda g: g == k)).cast("double"))
 
 
-# Texts whose vectors are kept to notice a changed embedder.
+# Texts of our own whose vectors are kept, to notice a changed embedder; any texts would do, as long as they stay.
 CANARIES = ["customer name", "email address", "order date", "total price", "postal code", "country", "phone number", "quantity", "status", "latitude", "longitude", "description", "category", "user id", "created at", "currency"]
 
 

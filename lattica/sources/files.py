@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import csv
+import importlib
+import io
+import zlib
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
@@ -11,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import RequestError
-from ..functions.text import DATETIMES, as_datetime, as_float, as_integer, clean, rank_of
+from ..functions.text import as_datetime, as_float, as_integer, clean, rank_of
 
 TYPES = ("integer", "float", "datetime", "string")
 SNIFFED = 64 * 1024
+#: Workbooks are read in one piece; their own formats end at 2^20 rows a sheet.
+MOST_WORKBOOK = 512 * 1024 * 1024
 
 
 def head(spark: SparkSession, path: str, size: int = SNIFFED) -> bytes:
@@ -33,6 +38,14 @@ def head(spark: SparkSession, path: str, size: int = SNIFFED) -> bytes:
     raise RequestError("FILE_NOT_FOUND", path)
 
 
+def whole(spark: SparkSession, path: str, most: int) -> bytes:
+    """All bytes of a file that must be read in one piece, through Spark's own file systems; more than ``most`` is an error."""
+    raw = head(spark, path, most + 1)
+    if len(raw) > most:
+        raise RequestError("FILE_TOO_LARGE", f"more than {most} bytes")
+    return raw
+
+
 def sniff_encoding(raw: bytes) -> str:
     if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "UTF-16"
@@ -53,15 +66,25 @@ def sniff_delimiter(raw: bytes, encoding: str) -> str:
         return ","
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, header_row: int = 0, typed: bool = True, quoted_breaks: bool = True) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether a line of the file has an odd number of quotes, as one in the middle of a quoted cell has; every line is looked at until one is found."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, header_row: int = 0, typed: bool = True, quoted_breaks: bool | None = None) -> DataFrame:
     """A delimited file; quoted line breaks are kept, missing cells are null, rows before the header row are dropped.
 
-    A file whose quoted cells may hold line breaks cannot be split, so one task
-    reads it; without ``quoted_breaks`` large files are dealt over many tasks.
+    A file whose quoted cells hold line breaks cannot be split, so one task
+    reads it; others are dealt over many tasks.  Unless ``quoted_breaks`` says
+    which, a pass over all lines looks for one with an odd number of quotes.
     """
     raw = head(spark, path) if encoding is None or (delimiter is None and not path.endswith(".tsv")) else b""
     encoding = encoding or sniff_encoding(raw)
     delimiter = delimiter or ("\t" if path.endswith(".tsv") else sniff_delimiter(raw, encoding))
+    if quoted_breaks is None:
+        quoted_breaks = encoding.upper().startswith("UTF-16") or has_quoted_breaks(spark, path)
     reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("multiLine", quoted_breaks).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
     if not header_row:
         return infer(reader.option("header", True).csv(path)) if typed else reader.option("header", True).csv(path)
@@ -84,14 +107,15 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A workbook's sheet, where a reader for it is installed."""
+    """A workbook's sheet, where a reader for its format is installed; the file may lie wherever Spark reads."""
+    engine = "xlrd" if path.lower().endswith(".xls") else "openpyxl"
     try:
-        import openpyxl  # noqa: F401
+        importlib.import_module(engine)
     except ImportError:
-        raise RequestError("MISSING_READER", "openpyxl is needed for Excel files") from None
+        raise RequestError("MISSING_READER", f"{engine} is needed for {path.rsplit('.', 1)[-1]} files") from None
     import pandas as pd
 
-    table = pd.read_excel(path, sheet_name=sheet or 0, dtype=str)
+    table = pd.read_excel(io.BytesIO(whole(spark, path, MOST_WORKBOOK)), sheet_name=sheet or 0, dtype=str, engine=engine)
     return infer(spark.createDataFrame(table.astype(object).where(table.notna(), None), ", ".join(f"`{c}` string" for c in table.columns)))
 
 
@@ -110,10 +134,15 @@ def read_file(spark: SparkSession, path: str, row_cap: int | None = None, **opti
 
 
 def infer_types(df: DataFrame, nulls: bool = True) -> dict[str, str]:
-    """Each column's type: the least specific that any value needs, from one aggregation over all rows."""
+    """Each column's type: the least specific that any value needs, from one aggregation over all rows.
+
+    Numbers and dates have no common type but text, so a column of both is text.
+    """
     value = (lambda c: clean(c)) if nulls else (lambda c: c)
-    one = df.agg(*[F.max(rank_of(value(F.col(f"`{c}`")))).alias(f"t{i}") for i, c in enumerate(df.columns)]).first()
-    return {c: TYPES[3 if one[i] is None else one[i]] for i, c in enumerate(df.columns)}
+    ranks = [rank_of(value(F.col(f"`{c}`"))) for c in df.columns]
+    one = df.agg(*[x for i, r in enumerate(ranks) for x in (F.max(r).alias(f"t{i}"), F.min(r).alias(f"l{i}"))]).first()
+    of = lambda low, high: 3 if high is None or (high == 2 and low < 2) else high
+    return {c: TYPES[of(one[f"l{i}"], one[f"t{i}"])] for i, c in enumerate(df.columns)}
 
 
 def typed_column(c: Column, kind: str) -> Column:
@@ -121,35 +150,23 @@ def typed_column(c: Column, kind: str) -> Column:
 
 
 def infer(df: DataFrame, nulls: bool = True) -> DataFrame:
-    """String columns cast to the types that infer_types finds; a value that does not fit is null."""
+    """String columns cast to the types that infer_types finds, which every value of a column has; missing-value tokens become null."""
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     kinds = infer_types(df.select(*[F.col(f"`{c}`") for c in strings]), nulls) if strings else {}
     return df.select(*[typed_column(clean(F.col(f"`{c}`")) if nulls else F.col(f"`{c}`"), kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns])
 
 
-def type_violations(df: DataFrame, kinds: dict[str, str], samples: int = 5) -> DataFrame:
-    """(name, confidence, violations, samples): values that do not fit a column's type, counted over all rows."""
-    parts, rows = [], []
-    for i, (c, kind) in enumerate(kinds.items()):
-        v = clean(F.col(f"`{c}`"))
-        bad = v.isNotNull() & typed_column(v, kind).isNull()
-        parts += [F.count(v).alias(f"k{i}"), F.count_if(bad).alias(f"b{i}"), F.slice(F.sort_array(F.collect_set(F.when(bad, F.substring(v, 1, 80)))), 1, samples).alias(f"s{i}")]
-        share = F.when(F.col(f"k{i}") > 0, F.round(1 - F.col(f"b{i}") / F.col(f"k{i}"), 3)).otherwise(1.0)
-        rows.append(F.struct(F.lit(c).alias("name"), share.alias("confidence"), F.col(f"b{i}").alias("violations"), F.col(f"s{i}").alias("samples")))
-    return df.agg(*parts).select(F.inline(F.array(*rows)))
-
-
-def datetime_format(df: DataFrame, column: str) -> str | None:
-    """Name of the first form that a datetime column's values have."""
-    c = clean(F.col(column))
-    one = df.agg(*[F.count_if(c.rlike(p)).alias(f"n{i}") for i, (_, _, p) in enumerate(DATETIMES)]).first()
-    return next((DATETIMES[i][0] for i in range(len(DATETIMES)) if one[i]), None)
+def read_sql_log(spark: SparkSession, path: str, row_cap: int | None = None) -> DataFrame:
+    """(query, calls, total_time, seen) from statement statistics as CSV, JSON lines or one JSON array, also gzipped, whatever the columns are called.
 
-
-def read_sql_log(spark: SparkSession, path: str, row_cap: int = 100_000) -> DataFrame:
-    """(query, calls, total_time, seen) from statement statistics as CSV or JSON lines, also gzipped, whatever the columns are called."""
+    ``row_cap`` is an opt-in limit.
+    """
     plain = path.removesuffix(".gz")
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path) if plain.endswith(".csv") else spark.read.json(path)
+    start = head(spark, path, 4096)
+    if path.endswith(".gz"):
+        start = zlib.decompressobj(31).decompress(start)
+    array = start.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"[")
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path) if plain.endswith(".csv") else spark.read.option("multiLine", array).json(path)
     names = {c.lower(): c for c in raw.columns}
 
     def first(options: list[str], kind: str, default: object) -> Column:
@@ -160,4 +177,5 @@ def read_sql_log(spark: SparkSession, path: str, row_cap: int = 100_000) -> Data
         first(["query", "sql", "statement", "text"], "string", None).alias("query"), first(["calls", "count", "executions"], "bigint", 1).alias("calls"),
         first(["total_time", "total_exec_time", "duration", "time"], "double", 0.0).alias("total_time"), first(["last_seen", "seen", "timestamp", "ts"], "timestamp", None).alias("seen"),
     )
-    return out.where("query is not null").limit(row_cap)
+    found = out.where("query is not null")
+    return found.limit(row_cap) if row_cap else found

@@ -24,5 +24,18 @@ def discover(tree: list[tuple[str, int]]) -> tuple[list[str], list[tuple[str, st
     return taken, left
 
 
+def listed(datasets: list[tuple[str, int, float, dict]]) -> list[dict]:
+    """Repositories by what was indexed from them: (dataset, rows, indexed_at, options) to one entry for each, the latest first."""
+    out: dict[str, dict] = {}
+    for name, rows, at, options in datasets:
+        if repo := options.get("repo"):
+            entry = out.setdefault(repo, {"repo": repo, "head": None, "datasets": [], "rows": 0, "indexed_at": 0.0})
+            entry["datasets"].append(name)
+            entry["rows"] += rows
+            if at >= entry["indexed_at"]:
+                entry |= {"indexed_at": at, "head": options.get("head")}
+    return sorted(out.values(), key=lambda e: (-e["indexed_at"], e["repo"]))
+
+
 def needs_fetch(kept_head: str | None, head: str) -> bool:
     return kept_head != head

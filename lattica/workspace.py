@@ -21,6 +21,7 @@ from .operators import describe, distribution, guide, health, redaction, relatio
 from .operators import join as joins
 from .operators import profile as prof
 from .operators import sql as gate
+from .sources import repositories
 from .sources.files import read_file, read_sql_log
 from .sources.store import ResultCache, Store
 
@@ -51,16 +52,22 @@ class Workspace:
         return json.loads(self.store._text(f"{self.own}/state.json") or "{}")
 
     def _keep(self, key: str, value: Any) -> None:
-        self.store._put(f"{self.own}/state.json", json.dumps(self._state() | {key: value}))
+        self.store.change(f"{self.own}/state.json", lambda old: json.dumps(json.loads(old or "{}") | {key: value}))
 
     def _kept_table(self, key: str, schema: str) -> DataFrame:
         path = self._state().get(key)
         return self.spark.read.parquet(path) if path else self.spark.createDataFrame([], schema)
 
     def _keep_table(self, key: str, df: DataFrame) -> None:
-        path = f"{self.own}/{key}-{uuid.uuid4().hex}"
+        path, before = f"{self.own}/{key}-{uuid.uuid4().hex}", self._state().get(key)
         df.write.parquet(path)
         self._keep(key, path)
+        # The version before stays for those who read it; those before that go.
+        fs, at = self.store._fs, self.store._path
+        for s in fs.listStatus(at(self.own)):
+            name = s.getPath().getName()
+            if name.startswith(f"{key}-") and name not in (path.rsplit("/", 1)[-1], (before or "").rsplit("/", 1)[-1]):
+                fs.delete(s.getPath(), True)
 
     def _timed(self, operator: str, make: Callable[[], Any]) -> Any:
         began = time.time()
@@ -70,12 +77,14 @@ class Workspace:
             self.times[operator].append(1000 * (time.time() - began))
 
     def _cached(self, operator: str, dataset: str, arguments: dict, make: Callable[[], DataFrame]) -> DataFrame:
-        """The same question to the same version of a dataset is answered once; the answers are pages of at most MOST_KEPT rows."""
+        """The same question to the same version of a dataset is answered once; answers of more than MOST_KEPT rows are not kept."""
         key = ResultCache.key(operator, self.store.manifest(dataset)["base"], arguments)
         kept = self.cache.get(key)
         if kept is None:
             df = make()
-            kept = (df.schema, self._timed(operator, df.limit(MOST_KEPT).collect))
+            kept = (df.schema, self._timed(operator, df.limit(MOST_KEPT + 1).collect))
+            if len(kept[1]) > MOST_KEPT:
+                return df
             self.cache.put(key, kept)
         return self.spark.createDataFrame(kept[1], kept[0])
 
@@ -107,11 +116,12 @@ class Workspace:
             out.append([s.getPath().toString(), s.getLen(), s.getModificationTime()])
         return sorted(out)
 
-    def index_local(self, path: str, name: str | None = None, incremental: bool = True, encoding: str | None = None, delimiter: str | None = None, header_row: int = 0, sheet: str | None = None, depth: str = "standard", quoted_breaks: bool = True) -> dict:
+    def index_local(self, path: str, name: str | None = None, incremental: bool = True, encoding: str | None = None, delimiter: str | None = None, header_row: int = 0, sheet: str | None = None, depth: str = "standard", quoted_breaks: bool | None = None, repo: str | None = None, head: str | None = None) -> dict:
         """Reads a file and keeps it as a dataset; the same file with the same options again changes nothing.
 
         "shallow" keeps the first 100,000 rows; "deep" answers the question for
-        correlations beforehand.
+        correlations beforehand.  ``repo`` and ``head`` say which repository,
+        and which state of it, the file was fetched from.
         """
         if depth not in DEPTHS:
             raise RequestError("INVALID_DEPTH", depth)
@@ -124,7 +134,8 @@ class Workspace:
         name = name or "".join(c if c.isalnum() or c in "_.-" else "_" for c in PurePosixPath(path.rstrip("/")).stem.lower())
         source = hashlib.sha256(json.dumps(self._digest(path)).encode()).hexdigest()
         df = read_file(self.spark, path, row_cap=DEPTHS[depth], **options)
-        m = self.store.index(name, df, source, options | {"depth": depth}, incremental)
+        options |= {"depth": depth} | ({"repo": repo, "head": head} if repo else {})
+        m = self.store.index(name, df, source, options, incremental)
         if depth == "deep" and not m.get("skipped") and len(distribution.numeric_columns(self._columns(name))) > 1:
             self.get_correlations(name)
         return m
@@ -132,6 +143,26 @@ class Workspace:
     def list_datasets(self) -> DataFrame:
         return self.store.list_datasets()
 
+    def index_repo(self, repo: str, head: str, tree: list[tuple[str, int]], fetch: Callable[[str], str], incremental: bool = True) -> dict:
+        """Indexes the data files of a repository's ``tree`` (path, bytes); ``fetch`` brings a path to where Spark reads it and returns that place.
+
+        Nothing is fetched where this ``head`` is indexed already.
+        """
+        kept = next((r for r in self.list_repos() if r["repo"] == repo), None)
+        if incremental and kept and not repositories.needs_fetch(kept["head"], head):
+            return {"repo": repo, "skipped": True, "datasets": kept["datasets"]}
+        taken, left = repositories.discover(tree)
+        stem = "".join(c if c.isalnum() else "_" for c in repo.lower())
+        names = [f"{stem}.{''.join(c if c.isalnum() or c in '_.-' else '_' for c in path.rsplit('.', 1)[0].lower())}" for path in taken]
+        for path, name in zip(taken, names, strict=True):
+            self.index_local(fetch(path), name, incremental, repo=repo, head=head)
+        return {"repo": repo, "head": head, "datasets": names, "left": left}
+
+    def list_repos(self) -> list[dict]:
+        """Repositories that datasets were indexed from, with the head last indexed, the datasets and their rows."""
+        found = [(n, self.store.manifest(n)) for n in self.store.names()]
+        return repositories.listed([(n, m["rows"], m["indexed_at"], m.get("options") or {}) for n, m in found])
+
     def describe_dataset(self, dataset: str, columns: list[str] | None = None, columns_offset: int = 0) -> DataFrame:
         return describe.describe_dataset(self.store.profiles(dataset), self.store.values(dataset), columns, columns_offset)
 
@@ -181,10 +212,25 @@ class Workspace:
         page = joins.join_page(self._columns(dataset_a), self._columns(dataset_b), join_column_a, join_column_b, join_type, order_by, order_dir, limit, offset, columns_a=columns_a, columns_b=columns_b, filters_a=filters_a, filters_b=filters_b, filter_stage=filter_stage)
         return self._masked(page, redact, None)
 
-    def run_sql(self, sql: str, datasets: list[str], limit: int = gate.MOST_ROWS, redact: bool = True, redact_patterns: list[str] | None = None, redact_skip_columns: list[str] | None = None) -> DataFrame:
-        """Dots and dashes in a dataset's name are underscores in SQL."""
+    def run_sql(self, sql: str, datasets: list[str], limit: int = gate.MOST_ROWS, redact: bool = True, redact_patterns: list[str] | None = None, redact_skip_columns: list[str] | None = None, seconds: float = gate.SECONDS) -> dict:
+        """``rows`` of a query, ``returned``, ``row_cap`` and whether it was ``truncated``; an error after ``seconds``.  Dots and dashes in a dataset's name are underscores in SQL."""
         tables = {"".join(c if c.isalnum() else "_" for c in d): self._columns(d) for d in datasets}
-        return self._masked(gate.run_sql(self.spark, sql, tables, limit), redact, redact_patterns, redact_skip_columns)
+        got = self._timed("run_sql", lambda: gate.answer(self.spark, sql, tables, limit, seconds))
+        return {"rows": self._masked(got.table, redact, redact_patterns, redact_skip_columns), "returned": len(got.rows), "row_cap": max(1, min(limit, gate.MOST_ROWS)), "truncated": got.truncated}
+
+    def total_groups(self, dataset: str, aggregations: list[dict], group_by: list[str] | None = None, filters: list[dict] | None = None, having: list[dict] | None = None) -> int:
+        return agg.total_groups(self._columns(dataset), aggregations, group_by, filters, having).first()[0]
+
+    def total_joined(self, dataset_a: str, dataset_b: str, join_column_a: str, join_column_b: str, join_type: str = "inner", filters_a: list[dict] | None = None, filters_b: list[dict] | None = None, filter_stage: str = "post") -> int:
+        return joins.join_total(self._columns(dataset_a), self._columns(dataset_b), join_column_a, join_column_b, join_type, filters_a=filters_a, filters_b=filters_b, filter_stage=filter_stage).first()[0]
+
+    def columns_left_out(self, dataset: str, columns: list[str] | None = None) -> list[str]:
+        """Columns that ``get_rows`` does not show unless they are named."""
+        return rows.left_out(self._columns(dataset), columns)
+
+    def within_budget(self, table: DataFrame, budget: int) -> dict:
+        """Rows of an answer as far as they fit a budget of tokens, and whether some are left out."""
+        return guide.within_budget({"rows": [r.asDict(recursive=True) for r in table.limit(MOST_KEPT).collect()]}, budget)
 
     def get_distribution(self, dataset: str, column: str, bins: int = 20, unit: str = "month") -> DataFrame:
         """By the column's type: equal widths, time buckets, or the most frequent values."""
@@ -205,7 +251,7 @@ class Workspace:
         return self.store.profiles(dataset).join(F.broadcast(values), "name", "left").select("name", "type", describe.column_summary().alias("summary"), "values")
 
     def search_data(self, dataset: str, query: str, search_scope: str = "all", max_results: int = 10, semantic: bool = False, semantic_weight: float = 0.5, semantic_only: bool = False) -> DataFrame:
-        """(name, score) of the best columns by names and summaries ("schema"), by values ("values"), or by all."""
+        """(name, score) of the best columns by names and summaries ("schema"), by values ("values"), or by all; ``search_verdict`` tells what no hit means."""
         if search_scope not in ("all", "schema", "values"):
             raise RequestError("INVALID_SCOPE", search_scope)
         columns = self._searched(dataset)
@@ -221,6 +267,11 @@ class Workspace:
         vector = self.spark.createDataFrame([(query,)], "q string").select(search.hashed_vector(F.col("q"))).first()[0]
         return search.search_columns(columns, query, min(max_results, 50), weights, self.embed_dataset(dataset), list(vector), 1.0 if semantic_only else semantic_weight)
 
+    def search_verdict(self, dataset: str, query: str, semantic: bool = False, **options) -> dict:
+        """Whether the search found something, or proved that nothing is there, and names near the query if not."""
+        hits = self.search_data(dataset, query, semantic=semantic, **options).count()
+        return search.search_verdict(hits, [r["name"] for r in self.store.profiles(dataset).select("name").collect()], query, semantic)
+
     def embed_dataset(self, dataset: str, force: bool = False) -> DataFrame:
         """(name, vector) of every column, kept with the version of the dataset that they describe."""
         path = f"{self.store.manifest(dataset)['base']}/vectors"
@@ -342,7 +393,7 @@ class Workspace:
     def _calls(self, dataset: str, column: str, days: int) -> int:
         return self._traffic(dataset, days).where(F.col("name") == column).agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]
 
-    def ingest_sql_log(self, file_path: str, source: str = "sql_log", redact: bool = True, max_rows: int = 100_000) -> DataFrame:
+    def ingest_sql_log(self, file_path: str, source: str = "sql_log", redact: bool = True, max_rows: int | None = None) -> DataFrame:
         """Adds a log's queries to the rollup; returns (dataset, columns, calls) of what it named.  A query without a time counts as seen now."""
         log = read_sql_log(self.spark, file_path, max_rows).withColumn("seen", F.coalesce("seen", F.current_timestamp()))
         catalogue = self._catalogue().select("dataset", "name")

@@ -134,6 +134,29 @@ def test_gate_refuses(spark, sql):
         gate.run_sql(spark, sql, {"t": spark.range(3)})
 
 
+REFUSED = [
+    "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM text.`/etc/hosts`", "SELECT 1 FROM t WHERE id IN (SELECT 1 FROM parquet.`/x`)", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT reflect('java.lang.System', 'currentTimeMillis') FROM t", "SELECT * FROM other", "WITH u AS (SELECT * FROM hidden) SELECT * FROM u", "SELECT (SELECT max(id) FROM hidden) FROM t", "SELECT * FROM IDENTIFIER('hidden')",
+    "SELECT TRANSFORM(id) USING 'cat' FROM t", "SELECT input_file_name() FROM t", "SELECT * FROM t, LATERAL (SELECT * FROM hidden)", "SELECT * FROM default.t", "FROM t |> UNION ALL TABLE hidden", "SELECT try_reflect('a', 'b')",
+]
+
+
+@pytest.mark.parametrize("sql", REFUSED)
+def test_gate_reads_its_tables_alone(spark, sql):
+    spark.range(1).createOrReplaceTempView("hidden")
+    with pytest.raises(RequestError, match="FORBIDDEN_SQL|INVALID_SQL"):
+        gate.run_sql(spark, sql, {"t": spark.range(3)}).collect()
+
+
+def test_gate_keeps_names_apart(spark):
+    spark.range(7).createOrReplaceTempView("t")
+    out = gate.run_sql(spark, "SELECT 't.rows' AS a, \"x t.rows\" AS b, count(*) AS n, (SELECT count(*) FROM `t`.rows) AS m /* t.rows */ FROM t.rows", {"t": spark.range(3)})
+    again = gate.run_sql(spark, "WITH t2 AS (SELECT * FROM rows) SELECT count(*) AS n FROM t2 JOIN T USING (id)", {"t": spark.range(2)})
+    assert tuple(out.first()) == ("t.rows", "x t.rows", 3, 3) and again.first()["n"] == 2
+    assert spark.table("t").count() == 7
+    assert [r["id"] for r in gate.run_sql(spark, "SELECT * FROM range(2) ORDER BY id", {"t": spark.range(3)}).collect()] == [0, 1]
+
+
 def test_gate_lets_words_in_literals_pass(spark):
     out = gate.run_sql(spark, "SELECT 'DELETE; DROP' AS a, replace('x', 'x', 'y') AS b, count(*) AS n FROM t.rows", {"t": spark.range(3)})
     assert [tuple(r) for r in gate.collect_within(out, 60)] == [("DELETE; DROP", "y", 3)]

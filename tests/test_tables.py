@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.errors import RequestError
+from lattica.operators import aggregate as agg
 from lattica.operators import guide, health, redaction, relations, search, workload
 from lattica.operators import profile as prof
 from lattica.sources import files, repositories
@@ -38,11 +39,75 @@ def test_jsonl_and_formats(spark, tmp_path):
         files.read_file(spark, "a.doc")
 
 
-def test_violations(spark):
-    df = spark.createDataFrame([(str(i),) for i in range(9)] + [("oops",)], "v string")
-    r = files.type_violations(df, {"v": "integer"}).first()
-    assert (r["confidence"], r["violations"], r["samples"]) == (0.9, 1, ["oops"])
-    assert files.datetime_format(spark.createDataFrame([("2024-01-02",)], "d string"), "d") == "%Y-%m-%d"
+def test_types_lose_nothing(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("day,mixed,code,short,when,nosuch\n1/5/2020,5,12d,7f,1/5/2020 9:05:00,13/40/2020\n12/31/2021,2020-01-01,7,3,12/1/2020 10:00:00,2020-02-31\n")
+    df = files.read_file(spark, str(p))
+    assert dict(df.dtypes) == {"day": "timestamp_ntz", "mixed": "string", "code": "string", "short": "string", "when": "timestamp_ntz", "nosuch": "string"}
+    rows = df.collect()
+    assert [str(r["day"])[:10] for r in rows] == ["2020-01-05", "2021-12-31"] and [r["mixed"] for r in rows] == ["5", "2020-01-01"]
+    assert [r["code"] for r in rows] == ["12d", "7"] and str(rows[0]["when"]) == "2020-01-05 09:05:00" and rows[0]["nosuch"] == "13/40/2020"
+    assert sum(v is None for r in rows for v in r) == 0
+
+
+def test_quoted_breaks_are_noticed_wherever_they_are(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("id,note\n" + "".join(f'{i},"plain ""quoted"" text"\n' for i in range(20_000)) + '20000,"two\nlines"\n')
+    assert files.has_quoted_breaks(spark, str(p))
+    df = files.read_file(spark, str(p))
+    assert df.count() == 20_001 and df.where("id = 20000").first()["note"] == "two\nlines"
+    q = tmp_path / "b.csv"
+    q.write_text("id,note\n" + "".join(f'{i},"plain ""quoted"" text"\n' for i in range(2000)))
+    assert not files.has_quoted_breaks(spark, str(q)) and files.read_file(spark, str(q)).where("note = 'plain \"quoted\" text'").count() == 2000
+
+
+def test_ragged_rows_are_filled_or_cut(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("a,b,c\n1,2,3\n4,5\n6,7,8,9\n")
+    assert sorted(tuple(r) for r in files.read_file(spark, str(p)).collect()) == [(1, 2, 3), (4, 5, None), (6, 7, 8)]
+
+
+def test_type_confidence_counts_what_does_not_fit(spark):
+    df = spark.createDataFrame([(str(i), i, "text") for i in range(9)] + [("oops", 9, None)], "v string, n int, t string")
+    got = {r["name"]: r for r in prof.profile(df).collect()}
+    assert (got["v"]["type_confidence"], got["v"]["violations"]) == (0.1, 9) and 1 <= len(got["v"]["violation_samples"]) <= 5
+    assert got["n"]["type_confidence"] == got["t"]["type_confidence"] == 1.0
+    health_row = health.dataset_health(prof.profile(df)).first()
+    assert health_row["types"] == pytest.approx((0.1 + 1 + 1) / 3)
+    assert {r["axis"]: r["score"] for r in health.radar(prof.profile(df)).collect()}["type_confidence"] == 70.0
+
+
+def test_learned_tokens_become_null(spark):
+    df = spark.createDataFrame([("999", "1"), ("999", "__"), ("5", "__"), ("__", "999"), ("7", "8")] * 3, "a string, b string")
+    found = {r["value"]: r["columns"] for r in prof.learned_null_tokens(df).collect()}
+    assert found == {"999": 2, "__": 2}
+    typed = prof.without_tokens(df, list(found))
+    assert dict(typed.dtypes) == {"a": "bigint", "b": "bigint"} and typed.where("a is null").count() == 9
+
+
+def test_json_array_log_and_opt_in_cap(spark, tmp_path):
+    p = tmp_path / "log.json"
+    p.write_text(json.dumps([{"sql": f"SELECT {i}", "count": i} for i in range(5)], indent=1))
+    assert sorted(r["calls"] for r in files.read_sql_log(spark, str(p)).collect()) == [0, 1, 2, 3, 4]
+    assert files.read_sql_log(spark, str(p), 2).count() == 2
+
+
+def test_cards_are_masked_by_their_check_digit(spark):
+    df = spark.createDataFrame([("a 4111 1111 1111 1111, b 4111111111111112 c 5500-0000-0000-0004",), ("none",), (None,), ("4111111111111111",)], "t string")
+    got = [r[0] for r in redaction.redact_rows(df, kinds=["credit_card"]).collect()]
+    assert got == ["a [REDACTED:credit_card], b 4111111111111112 c [REDACTED:credit_card]", "none", None, "[REDACTED:credit_card]"]
+
+
+def test_sketches_stay_within_their_errors(spark):
+    df = spark.range(1_000_000).select(F.col("id").cast("string").alias("s"), (F.rand(5)).alias("u"), F.lit("k").alias("g"))
+    estimate = {r["name"]: r["cardinality"] for r in prof.profile(df.select("s"), exact=False).collect()}["s"]
+    assert abs(estimate / 1_000_000 - 1) < 0.05
+    one = agg.groups_of(df, [{"column": "s", "function": "count_distinct", "alias": "n"}, {"column": "u", "function": "median", "alias": "m"}], ["g"], approximate=True).first()
+    assert abs(one["n"] / 1_000_000 - 1) < 0.08 and abs(one["m"] - 0.5) <= 0.02
+    quantiles = {r["name"]: r["quantiles"] for r in prof.profile(df.select("u"), exact=False).collect()}["u"]
+    assert all(abs(a - b) <= 0.02 for a, b in zip(quantiles, prof.QUANTILES))
+    s = agg.sampled(df, "u", seed=1)
+    assert all(r["sum_low"] <= 500_000 * 1.003 and r["sum_high"] >= 500_000 * 0.997 for r in s.collect())
 
 
 def test_sql_log(spark, tmp_path):
@@ -158,7 +223,9 @@ def test_search(spark):
     assert search.search_columns(cols, "zzz", vectors=vec, query_vector=q, semantic_weight=1.0).first()["name"] == "customer_name"
     assert search.search_columns(cols, "zzz").collect() == []
     assert search.tuned({"bm25": 1e9})["bm25"] == 100.0
-    assert search.search_verdict(0, 0, ["customer"], "custmer")["did_you_mean"] == "customer"
+    assert search.search_verdict(0, ["customer"], "custmer") == {"state": "absent", "channels": {"keywords": "ok", "vectors": "off"}, "did_you_mean": ["customer"]}
+    assert search.search_verdict(2, ["customer"], "customer")["state"] == "ok" and search.search_verdict(0, [], "x", semantic=True, vectors=False)["state"] == "degraded"
+    assert search.search_verdict(0, ["order_date", "x"], "the date")["did_you_mean"] == ["order_date"]
     kept = spark.createDataFrame([(c,) for c in search.CANARIES], "text string").select("text", search.hashed_vector(F.col("text")).alias("vector"))
     assert search.embedding_drift(spark, kept).where("alarm").count() == 0
 
@@ -181,6 +248,48 @@ def test_store(spark, tmp_path):
     assert migrated({"format": 1})["format"] == 3
 
 
+def test_manifests_are_numbered_and_old_versions_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for k in range(5):
+        store.index("d", spark.range(k + 1), f"source {k}")
+        assert store.manifest("d")["rows"] == k + 1
+    assert [r["rows"] for r in store.history("d").collect()] == [5, 4, 3, 2, 1]
+    assert len(store._bases("d")) == 2 and len(store._versions(f"{store.root}/d/manifest.json")) == 2
+    assert store.validate("d") == {"status": "ok", "problems": [], "warnings": []}
+    with pytest.raises(RequestError, match="CONFLICT"):
+        store._put(f"{store.root}/d/manifest.json", "{}", after=1)
+    (tmp_path / "d" / "manifest.json.draft-x").write_text("half")
+    assert store.validate("d")["status"] == "warning" and store.manifest("d")["rows"] == 5
+    store.change(f"{store.root}/d/n.json", lambda old: str(int(old or 0) + 1))
+    store.change(f"{store.root}/d/n.json", lambda old: str(int(old or 0) + 1))
+    assert store._text(f"{store.root}/d/n.json") == "2"
+    base = store.manifest("d")["base"]
+    import shutil
+
+    shutil.rmtree(f"{base}/profiles")
+    assert store.validate("d")["problems"] == ["profiles", "profiles"] or store.validate("d")["problems"] == ["profiles"]
+
+
+def test_history_keeps_its_last_lines(spark, tmp_path, monkeypatch):
+    from lattica.sources import store as module
+
+    monkeypatch.setattr(module, "HISTORY", 3)
+    store = Store(spark, str(tmp_path))
+    for k in range(5):
+        store.index("d", spark.range(k + 1), f"source {k}")
+    assert len(json.loads(store._text(f"{store.root}/d/history.json"))) == 3
+
+
+def test_numbers_for_reading():
+    assert [guide.number(x) for x in (None, 5, 1234567, 2.0, 1234.5, 2_500_000.7, float("nan"))] == ["?", "5", "1,234,567", "2", "1,234.50", "2,500,001", "?"]
+    assert [guide.size(n) for n in (0, 1023, 1536, 5 * 2**30)] == ["0 B", "1023 B", "1.5 KB", "5.0 GB"]
+
+
+def test_intents():
+    for question, intent in (("Give me an overview of the table", "summarize"), ("which columns have outliers?", "anomalies"), ("what changed between both?", "compare"), ("how do I join these", "join"), ("find rows where x > 3", "filter"), ("sales over time", "trend"), ("is a correlated with b", "correlate")):
+        assert guide.plan_query(question)[0] == intent, question
+
+
 def test_helpers():
     assert guide.plan_query("join orders and link customers")[0] == "join" and guide.plan_query("hm")[0] == "summarize"
     small = guide.within_budget({"rows": list(range(1000))}, 100)

@@ -57,7 +57,15 @@ def test_rows_groups_and_joins(space):
     space.aggregate("customers", [{"column": "*", "function": "count", "alias": "n"}], ["city"], order_by="city", order_dir="asc")
     assert space.cache.hits == hits + 1
     assert space.join_datasets("orders", "customers", "customer_id", "customer_id", limit=500).where("email = '[REDACTED:email]'").count() == 30
-    assert space.run_sql("SELECT count(*) AS n FROM rows JOIN orders USING (customer_id)", ["customers", "orders"]).first()["n"] == 30
+    assert space.run_sql("SELECT count(*) AS n FROM rows JOIN orders USING (customer_id)", ["customers", "orders"])["rows"].first()["n"] == 30
+    few = space.run_sql("SELECT * FROM orders", ["orders"], limit=7)
+    assert (few["returned"], few["truncated"], few["rows"].count()) == (7, True, 7) and not space.run_sql("SELECT 1", ["orders"])["truncated"]
+    with pytest.raises(RequestError, match="TIMEOUT"):
+        space.run_sql("SELECT count(*) FROM range(100000000000) a WHERE sqrt(id) < 0", ["orders"], seconds=0.5)
+    assert space.total_groups("orders", [{"column": "*", "function": "count"}], ["customer_id"]) == space._columns("orders").select("customer_id").distinct().count()
+    assert space.total_joined("orders", "customers", "customer_id", "customer_id") == 30
+    assert space.within_budget(space._columns("orders"), 50)["truncated"]
+    assert space.search_verdict("customers", "zzz")["state"] == "absent"
     assert space.sample_rows("orders", 2, "tail", ["order_id"]).collect()[0][0] == 129
     assert space.get_distribution("orders", "placed").agg(F.sum("count")).first()[0] == 30
     assert "strength" in space.get_correlations("orders", 0.0).columns
@@ -124,3 +132,20 @@ def test_a_source_is_read_again_only_when_it_changed(space, files):
         space.describe_dataset("cities")
     with pytest.raises(RequestError):
         space.index_local(str(path.with_name("gone.csv")))
+
+
+def test_repositories_are_indexed_and_listed(space, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.jsonl").write_text('{"z": 1}\n{"z": 2}\n')
+    fetched = []
+
+    def fetch(path):
+        fetched.append(path)
+        return str(tmp_path / path.rsplit("/", 1)[-1])
+
+    tree = [("data/a.csv", 10), ("b.jsonl", 20), ("readme.md", 5), ("big.csv", 10**9)]
+    out = space.index_repo("Some/Repo", "abc", tree, fetch)
+    assert out["datasets"] == ["some_repo.data_a", "some_repo.b"] and sorted(out["left"]) == [("big.csv", "size"), ("readme.md", "suffix")]
+    assert [(r["repo"], r["head"], sorted(r["datasets"]), r["rows"]) for r in space.list_repos()] == [("Some/Repo", "abc", ["some_repo.b", "some_repo.data_a"], 3)]
+    assert space.index_repo("Some/Repo", "abc", tree, fetch)["skipped"] and len(fetched) == 2
+    assert "skipped" not in space.index_repo("Some/Repo", "def", tree, fetch)
