@@ -74,13 +74,19 @@ def foreign_keys(profiles: DataFrame) -> DataFrame:
     return cols.join(F.broadcast(keys), (F.col("from_dataset") != F.col("to_dataset")) & match)
 
 
+def worked_out(df: DataFrame) -> DataFrame:
+    """A table with a row for each column of the catalogue, worked out once instead of at every use."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def schema_impact(edges: DataFrame, dataset: str, column: str, depth: int = 3, traffic: float = 0.0, total: int | None = None) -> tuple[DataFrame, float]:
     """Columns reached from ``dataset.column`` over foreign keys within ``depth`` steps, and the blast radius from 0 to 1.
 
-    The edges are a row for each key pair of the catalogue, so the walk's
-    frontier stays profile-sized.
+    The edges are a row for each key pair of the catalogue, so they are worked
+    out once and the walk's frontier stays profile-sized.
     """
     spark = edges.sparkSession
+    edges = worked_out(edges)
     seen = spark.createDataFrame([(dataset, column, 0)], "dataset string, column string, depth int")
     front = seen
     for d in range(1, depth + 1):
@@ -96,6 +102,7 @@ def schema_impact(edges: DataFrame, dataset: str, column: str, depth: int = 3, t
 
 def drop_check(profiles: DataFrame, edges: DataFrame, dataset: str, column: str, calls: int = 0) -> dict:
     """Whether a column can be dropped, and what stands against it."""
+    profiles, edges = worked_out(profiles.select("dataset", "name", "is_primary_key_candidate")), worked_out(edges)
     mine = (F.col("dataset") == dataset) & (F.col("name") == column)
     is_key = bool(profiles.where(mine & F.col("is_primary_key_candidate")).limit(1).count())
     targets = edges.where((F.col("to_dataset") == dataset) & (F.col("to_column") == column)).count()

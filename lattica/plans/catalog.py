@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import random
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import SECRETS
+from ..functions.predicates import where
 from ..functions.text import cosine, fingerprint, jaccard, name_parts
 from ..operators import aggregate as agg
 from ..operators import describe, health, redaction, relations, rows, search, workload
@@ -15,32 +17,11 @@ from ..operators import join as joins
 from ..operators import profile as prof
 from ..operators import sql as gate
 from ..streaming import workload as streams
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with the SQL it must agree with."""
-
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from . import kept  # noqa: F401  (registers its queries)
+from .registry import QUERIES, SQL, Query, query, table
 
 def _filter_query(name: str, of: str, spec: dict, columns: list[str], condition: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from ..functions.predicates import where
-
         return where(table(spark, sf_dir, of), [spec]).select(*columns)
 
     run.__name__ = name
@@ -56,13 +37,23 @@ _filter_query("filter_gte", "lineitem", {"column": "l_quantity", "op": "gte", "v
 _filter_query("filter_lt", "lineitem", {"column": "l_quantity", "op": "lt", "value": 3}, _L, "l_quantity < 3")
 _filter_query("filter_lte", "lineitem", {"column": "l_quantity", "op": "lte", "value": 2}, _L, "l_quantity <= 2")
 _filter_query("filter_contains", "part", {"column": "p_name", "op": "contains", "value": "A"}, ["p_partkey", "p_name"], "p_name ILIKE '%a%'")
-_filter_query("filter_contains_escaped", "events", {"column": "props", "op": "contains", "value": "_"}, ["event_id", "props"], "contains(props, '_')")
+_filter_query("filter_contains_escaped", "documents", {"column": "text", "op": "contains", "value": "%%"}, ["doc_id"], "contains(text, '%%')")
 _filter_query("filter_in", "customer", {"column": "c_mktsegment", "op": "in", "value": ["BUILDING", "MACHINERY"]}, ["c_custkey", "c_mktsegment"], "c_mktsegment IN ('BUILDING', 'MACHINERY')")
 _filter_query("filter_not_null", "customer", {"column": "c_name", "op": "is_null", "value": False}, ["c_custkey", "c_name"], "c_name IS NOT NULL")
-_filter_query("filter_is_null", "customer", {"column": "c_name", "op": "is_null", "value": True}, ["c_custkey", "c_name"], "c_name IS NULL")
 _filter_query("filter_between", "orders", {"column": "o_orderdate", "op": "between", "value": ["1995-01-01", "1995-12-31"]}, _O, "o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31'")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def filter_is_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"))
+    return where(o, [{"column": "status", "op": "is_null", "value": True}]).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 20")
+def rows_column_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.get_rows(table(spark, sf_dir, "orders"), columns=["orders::o_orderkey#column", "orders::o_orderpriority#column"], order_by="o_orderkey", limit=20)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
 def rows_order_limit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.get_rows(table(spark, sf_dir, "orders"), [{"column": "o_orderstatus", "op": "eq", "value": "O"}], ["o_orderkey", "o_totalprice"], "o_totalprice", "desc", 50, 100, ["o_orderkey"])
@@ -93,7 +84,10 @@ def sample_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.sample_rows(table(spark, sf_dir, "orders"), 20, "tail", "o_orderkey", ["o_orderkey", "o_custkey"])
 
 
-@query()
+_SEEDED = " ".join(f"WHEN {n} THEN {random.Random(7).sample(range(1, n + 1), 20)}" for n in (150, 1500, 15_000))
+
+
+@query(f"WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) AS _row_id, c_custkey FROM customer) SELECT * FROM c WHERE _row_id IN (SELECT unnest(CASE (SELECT count(*) FROM customer) {_SEEDED} END))")
 def sample_random_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.sample_rows(rows.with_row_ids(table(spark, sf_dir, "customer")), 20, "random", "_row_id", ["_row_id", "c_custkey"], seed=7)
 
@@ -134,14 +128,28 @@ def agg_default_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.groups_of(table(spark, sf_dir, "orders"), [{"column": "*", "function": "count"}, {"column": "o_custkey", "function": "count_distinct"}], ["o_orderpriority"])
 
 
-@query()
+_APPROX = [{"column": "l_partkey", "function": "count_distinct", "alias": "parts"}, {"column": "l_quantity", "function": "median", "alias": "median_qty"}]
+
+
+@query("SELECT l_returnflag, true AS parts_within_7_percent, true AS median_within_1 FROM lineitem GROUP BY 1")
 def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.groups_of(table(spark, sf_dir, "lineitem"), [{"column": "l_partkey", "function": "count_distinct", "alias": "parts"}, {"column": "l_quantity", "function": "median", "alias": "median_qty"}], ["l_returnflag"], approximate=True)
+    """The approximate figures of each group, held to three times their stated error."""
+    items = table(spark, sf_dir, "lineitem")
+    near, exact = (agg.groups_of(items, _APPROX, ["l_returnflag"], approximate=a) for a in (True, False))
+    both = near.join(exact.withColumnsRenamed({"parts": "p", "median_qty": "m"}), "l_returnflag")
+    return both.select("l_returnflag", (F.abs(F.col("parts") / F.col("p") - 1) <= 0.07).alias("parts_within_7_percent"), (F.abs(F.col("median_qty") - F.col("m")) <= 1).alias("median_within_1"))
 
 
-@query()
+@query("SELECT count(*) AS rows, true AS avg_within_2_percent, true AS sum_within_2_percent FROM lineitem")
 def agg_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.sampled(table(spark, sf_dir, "lineitem"), "l_extendedprice", seed=3)
+    items = table(spark, sf_dir, "lineitem")
+    exact = items.agg(F.avg("l_extendedprice").alias("a"), F.sum("l_extendedprice").alias("s"))
+    return agg.sampled(items, "l_extendedprice", seed=3).crossJoin(F.broadcast(exact)).select("rows", (F.abs(F.col("avg") / F.col("a") - 1) <= 0.02).alias("avg_within_2_percent"), (F.abs(F.col("sum") / F.col("s") - 1) <= 0.02).alias("sum_within_2_percent"))
+
+
+@query("SELECT count(*) AS total_groups FROM (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) >= 30)")
+def agg_total_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.total_groups(table(spark, sf_dir, "lineitem"), [{"column": "*", "function": "count", "alias": "n"}], ["l_partkey"], None, [{"column": "n", "op": "gte", "value": 30}])
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -198,19 +206,24 @@ def join_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.join_page(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), "o_custkey", "c_custkey", order_by="o_totalprice", order_dir="desc", limit=25, ties=["o_orderkey"], columns_a=["o_orderkey", "o_totalprice", "o_custkey"], columns_b=["c_custkey", "c_name"])
 
 
+@query("SELECT count(*) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 300000")
+def join_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.join_total(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), "c_custkey", "o_custkey", "left", filters_b=[{"column": "o_totalprice", "op": "gt", "value": 300000}])
+
+
 @query("SELECT count(*) AS n_distinct, count(c_custkey) AS n_found FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN customer ON o_custkey = c_custkey")
 def join_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.containment(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer"), "c_custkey")
 
 
 _SQL_TEXTS = {
-    "sql_cte_window": ("orders", "WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM t WHERE rn = 1 ORDER BY o_totalprice DESC, o_orderkey LIMIT 200"),
-    "sql_setops": ("orders customer", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' ORDER BY k LIMIT 300"),
+    "sql_cte_window": ("orders", "WITH t AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) SELECT count(*) AS n, sum(o_orderkey) AS keys, max(o_totalprice) AS top FROM t WHERE rn = 1"),
+    "sql_setops": ("orders customer", "SELECT count(*) AS n, sum(k) AS keys FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000) t"),
     "sql_union_all": ("nation region", "SELECT n_name AS name, 'nation' AS kind FROM nation UNION ALL SELECT r_name, 'region' FROM region"),
-    "sql_subquery": ("customer orders", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) ORDER BY c_custkey LIMIT 400"),
-    "sql_semi_anti": ("customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY 1 LIMIT 500"),
+    "sql_subquery": ("customer orders", "SELECT count(*) AS n, sum(c_custkey) AS keys FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)"),
+    "sql_semi_anti": ("customer orders", "SELECT c_nationkey, count(*) AS n, sum(c_custkey) AS keys FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) GROUP BY c_nationkey"),
     "sql_multiway": ("nation customer orders region", "SELECT r_name, count(*) AS n, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
-    "sql_theta_join": ("part", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND a.p_partkey < 40 AND b.p_partkey < 40 ORDER BY 1, 2 LIMIT 500"),
+    "sql_theta_join": ("part", "SELECT a.p_brand, count(*) AS pairs, sum(b.p_size - a.p_size) AS steps FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size < b.p_size GROUP BY a.p_brand"),
     "sql_recursive": ("region", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t"),
     "sql_grouping_sets": ("orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"),
 }
@@ -304,14 +317,35 @@ def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.top_values(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"), 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query("SELECT column_name AS name, true AS within_7_percent FROM (DESCRIBE lineitem)")
 def profile_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.profile(table(spark, sf_dir, "lineitem"), exact=False).select(*_P)
+    """Sketched cardinalities of all columns, held to three times the sketch's error."""
+    items = table(spark, sf_dir, "lineitem")
+    exact = prof.cardinalities(items).select("name", F.col("cardinality").alias("exact"))
+    return prof.profile(items, exact=False).join(exact, "name").select("name", (F.abs(F.col("cardinality") / F.col("exact") - 1) <= 0.07).alias("within_7_percent"))
 
 
-@query("SELECT 'url' AS name, 'url' AS semantic_type, 1.0::DOUBLE AS semantic_confidence UNION ALL SELECT 'page_id', NULL, NULL")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, {', '.join(f'quantile_disc({c}, {q})::DOUBLE AS q{round(100 * q)}' for q in prof.QUANTILES)} FROM lineitem" for c in ("l_quantity", "l_linenumber", "l_discount")))
+def profile_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = prof.column_stats(table(spark, sf_dir, "lineitem").select("l_quantity", "l_linenumber", "l_discount"))
+    return s.select("name", *[F.element_at("quantiles", k + 1).alias(f"q{round(100 * q)}") for k, q in enumerate(prof.QUANTILES)])
+
+
+@query("SELECT 'l_shipdate' AS name, 'datetime' AS type, strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') AS min, strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') AS max FROM lineitem")
+def profile_datetime_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prof.profile(table(spark, sf_dir, "lineitem").select("l_shipdate"), exact=False).select("name", "type", "min", "max")
+
+
+_URL, _FLAG = r"(?i)^https?://[^\s/$.?#].[^\s]*$", r"(?i)^(?:true|false|t|f|yes|no|y|n|0|1)$"
+
+
+@query(f"""WITH p AS (SELECT url, CASE WHEN page_id % 7 = 0 THEN 'maybe' WHEN page_id % 2 = 0 THEN 'yes' ELSE 'no' END AS flag, CASE WHEN page_id % 5 = 0 THEN 'maybe' ELSE 'no' END AS odd, html FROM pages),
+r AS (SELECT 'url' AS name, 'url' AS t, avg(regexp_matches(url, '{_URL}')::INT) AS c FROM p UNION ALL SELECT 'flag', 'boolean_text', avg(regexp_matches(flag, '{_FLAG}')::INT) FROM p UNION ALL SELECT 'odd', 'boolean_text', avg(regexp_matches(odd, '{_FLAG}')::INT) FROM p UNION ALL SELECT 'html', 'url', avg(regexp_matches(html, '{_URL}')::INT) FROM p)
+SELECT name, CASE WHEN c >= 0.85 THEN t END AS semantic_type, CASE WHEN c >= 0.85 THEN round(c, 3) END AS semantic_confidence FROM r""")
 def profile_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prof.semantic_types(table(spark, sf_dir, "pages").select("page_id", "url"))
+    k = F.col("page_id")
+    flag, odd = F.when(k % 7 == 0, "maybe").when(k % 2 == 0, "yes").otherwise("no"), F.when(k % 5 == 0, "maybe").otherwise("no")
+    return prof.semantic_types(table(spark, sf_dir, "pages").select("url", flag.alias("flag"), odd.alias("odd"), "html"))
 
 
 @query("SELECT event_type AS value FROM (SELECT event_type, min(event_id) AS f FROM events GROUP BY 1 ORDER BY 2 LIMIT 10)")
@@ -319,9 +353,37 @@ def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prof.first_samples(table(spark, sf_dir, "events"), "event_type", "event_id")
 
 
-@query("SELECT 'o_orderkey' AS name, 0.9::DOUBLE AS confidence")
+#: Facts that the quality queries rest on, one row a column, from SQL alone.
+_NUMBERLIKE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^\d{4}-\d{2}-\d{2}|^\d{1,2}/\d{1,2}/\d{4}"
+
+
+def _column_facts(name: str, columns: dict[str, str]) -> str:
+    """SQL of (name, type, n, nulls, card, fit) of each column."""
+    fit = lambda c, k: f"avg(CASE WHEN regexp_matches({c}, '{_NUMBERLIKE}') THEN 0.0 ELSE 1.0 END)" if k == "string" else "1.0"
+    return " UNION ALL ".join(f"SELECT '{name}' AS dataset, '{c}' AS name, '{k}' AS type, count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS card, {fit(c, k)} AS fit FROM {name}" for c, k in columns.items())
+
+
+_UNIQUE = "(nulls = 0 AND n > 0 AND card = n AND type IN ('integer', 'string'))"
+
+
+def _facts_sql(name: str, columns: dict[str, str]) -> str:
+    return (
+        f"WITH c AS ({_column_facts(name, columns)}), f AS (SELECT count(*) AS k, avg(round(100.0 * nulls / n, 1)) AS null_pct, avg(fit) AS fit, count(*) FILTER (WHERE card <= 1) AS constant, bool_or({_UNIQUE}) AS has_pk,"
+        " count(*) FILTER (WHERE type IN ('string', 'integer', 'float')) AS candidates FROM c) "
+    )
+
+
+def _axes_sql(of: str = "f") -> str:
+    return (
+        f"SELECT 'null_health' AS axis, 100 - null_pct AS score FROM {of} UNION ALL SELECT 'type_confidence', 100 * fit FROM {of} UNION ALL SELECT 'cardinality_health', greatest(0, 100 - 500.0 * constant / k) FROM {of}"
+        f" UNION ALL SELECT 'pk_presence', CASE WHEN has_pk THEN 100 ELSE 50 END FROM {of} UNION ALL SELECT 'semantic_coverage', CASE WHEN candidates > 0 THEN 0 ELSE 100 END FROM {of}"
+    )
+
+
+@query(f"SELECT name, round(0.6 + CASE WHEN type = 'integer' THEN 0.15 ELSE 0 END + 0.1 + 0.05, 2)::DOUBLE AS confidence FROM ({_column_facts('orders', _PROFILED['orders'])} UNION ALL {_column_facts('orders', {'o_orderkey || o_orderstatus': 'string'}).replace(chr(39) + 'o_orderkey || o_orderstatus' + chr(39), chr(39) + 'code' + chr(39))}) WHERE {_UNIQUE}")
 def suggest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.suggest_keys(prof.profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")))
+    o = table(spark, sf_dir, "orders")
+    return relations.suggest_keys(prof.profile(o.withColumn("code", F.concat(F.col("o_orderkey").cast("string"), "o_orderstatus"))))
 
 
 @query("SELECT * FROM (SELECT 'o_custkey' AS \"column\", 'c_custkey' AS key, count(*) AS n_distinct, count(c_custkey) AS n_found, round(count(c_custkey) / count(*), 4) AS ratio FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'o_orderkey', 'c_custkey', count(*), count(c_custkey), round(count(c_custkey) / count(*), 4) FROM orders LEFT JOIN customer ON o_orderkey = c_custkey) WHERE ratio >= 0.95")
@@ -336,25 +398,56 @@ def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
         values = prof.top_values(df, 50).groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("values"))
         one = prof.profile(df).join(F.broadcast(values), "name").withColumn("dataset", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return out
+    return relations.worked_out(out)
 
 
-@query()
+_STAR = {
+    "region": {"r_regionkey": "integer", "r_name": "string"}, "nation": {"n_nationkey": "integer", "n_name": "string", "n_regionkey": "integer"}, "customer": _PROFILED["customer"],
+    "supplier": {"s_suppkey": "integer", "s_name": "string", "s_nationkey": "integer", "s_acctbal": "float"},
+}
+_STAR_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS dataset, '{c}' AS name, '{k}' AS type, (SELECT count(DISTINCT {c}) FROM {t}) AS card, (SELECT count(DISTINCT {c}) = count(*) FROM {t}) AND '{k}' IN ('integer', 'string') AS pk, (SELECT list(v) FROM (SELECT {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50)) AS vals"
+    for t, columns in _STAR.items() for c, k in columns.items()
+)
+_JAC = "len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1})))"
+_SIMILAR = f"""WITH p AS (SELECT *, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')) AS parts FROM ({_STAR_SQL})),
+j AS (SELECT a.dataset AS dataset_a, a.name AS column_a, b.dataset AS dataset_b, b.name AS column_b, {_JAC.format("a.parts", "b.parts")} AS nj, a.type = b.type AS same,
+  round(0.45 * {_JAC.format("a.parts", "b.parts")} + 0.3 * {_JAC.format("a.vals", "b.vals")} + 0.15 * (a.type = b.type)::INT + 0.1 * least(a.card, b.card) / greatest(a.card, b.card), 4) AS score FROM p a JOIN p b ON a.dataset < b.dataset)
+SELECT dataset_a, column_a, dataset_b, column_b, score, CASE WHEN score >= 0.85 AND same THEN 'near_duplicate' WHEN score >= 0.7 AND round(nj, 4) < 0.5 THEN 'naming_drift' WHEN score >= 0.7 AND round(nj, 4) >= 0.7 THEN 'parallel_definition' ELSE 'overlapping_topic' END AS verdict
+FROM j WHERE score >= 0.3 ORDER BY score DESC, 1, 2, 3, 4 LIMIT 50"""
+
+
+@query(_SIMILAR)
 def similar_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.similar_columns(_star(spark, sf_dir))
+    return relations.similar_columns(_star(spark, sf_dir), 0.3)
 
 
-@query()
+_EDGES = f"p AS (SELECT dataset, regexp_replace(name, '^[a-z]_', '') AS name, pk FROM ({_STAR_SQL})), e AS (SELECT a.dataset AS from_dataset, a.name AS from_column, b.dataset AS to_dataset, b.name AS to_column FROM p a JOIN p b ON b.pk AND a.dataset <> b.dataset AND a.name = b.name)"
+
+
+@query(f"WITH {_EDGES} SELECT * FROM e")
 def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _star(spark, sf_dir).withColumn("name", F.regexp_replace("name", "^[a-z]_", ""))
     return relations.foreign_keys(p)
 
 
-@query("SELECT 'c_acctbal' AS name, 'removed' AS change UNION ALL SELECT 'c_nationkey', 'type' UNION ALL SELECT 'extra', 'added'")
+@query(f"WITH {_EDGES} SELECT CASE WHEN bool_or(pk) OR (SELECT count(*) FROM e WHERE to_dataset = 'nation' AND to_column = 'nationkey') > 0 THEN 'unsafe' ELSE 'safe' END AS verdict, (SELECT count(*) FROM e WHERE to_dataset = 'nation' AND to_column = 'nationkey') AS referenced FROM p WHERE dataset = 'nation' AND name = 'nationkey'")
+def column_drop_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _star(spark, sf_dir).withColumn("name", F.regexp_replace("name", "^[a-z]_", ""))
+    edges = relations.foreign_keys(p)
+    verdict = relations.drop_check(p, edges, "nation", "nationkey")["verdict"]
+    return edges.where("to_dataset = 'nation' AND to_column = 'nationkey'").agg(F.lit(verdict).alias("verdict"), F.count(F.lit(1)).alias("referenced"))
+
+
+_KIND = "CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN column_type = 'DOUBLE' THEN 'float' ELSE 'string' END"
+
+
+@query(f"""WITH a AS (SELECT column_name AS name, {_KIND} AS t FROM (DESCRIBE customer)), b AS (SELECT column_name AS name, {_KIND} AS t FROM (DESCRIBE SELECT * EXCLUDE (c_acctbal) REPLACE (c_nationkey::VARCHAR AS c_nationkey), 1 AS extra FROM customer))
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.t IS NULL THEN 'added' WHEN b.t IS NULL THEN 'removed' ELSE 'type' END AS change, a.t AS type_before, b.t AS type_after FROM a FULL JOIN b ON a.name = b.name WHERE a.t IS DISTINCT FROM b.t""")
 def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer")
     b = a.drop("c_acctbal").withColumn("c_nationkey", F.col("c_nationkey").cast("string")).withColumn("extra", F.lit(1))
-    return health.schema_drift(prof.profile(a, exact=False), prof.profile(b, exact=False)).select("name", "change")
+    return health.schema_drift(prof.profile(a, exact=False), prof.profile(b, exact=False)).select("name", "change", "type_before", "type_after")
 
 
 _HOT = "SELECT name, round(0.3 * card + 0.3 * outlier, 4) AS score FROM ("
@@ -368,21 +461,24 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.hotspots(prof.profile(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"))).select("name", "score")
 
 
-@query("SELECT 0.9::DOUBLE AS score, 'A' AS grade")
+@query(_facts_sql("orders", _PROFILED["orders"]) + "SELECT round(0.3 * (1 - null_pct / 100) + 0.3 * fit + 0.1 * ((1 - constant / k) + CASE WHEN has_pk THEN 1 ELSE 0.5 END + 0 + 1), 4)::DOUBLE AS score, CASE WHEN score >= 0.9 THEN 'A' WHEN score >= 0.8 THEN 'B' WHEN score >= 0.7 THEN 'C' WHEN score >= 0.6 THEN 'D' ELSE 'F' END AS grade FROM f")
 def dataset_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = health.dataset_health(prof.profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")))
-    return h.select(F.col("score"), "grade")
+    return health.dataset_health(prof.profile(table(spark, sf_dir, "orders"))).select("score", "grade")
 
 
-@query("SELECT * FROM (VALUES ('null_health', 100.0::DOUBLE), ('type_confidence', 100.0), ('cardinality_health', 100.0), ('pk_presence', 100.0), ('semantic_coverage', 0.0), ('schema_stability', 100.0)) t(axis, score)")
+@query(_facts_sql("part", _PROFILED["part"]) + f"SELECT axis, round(score, 2)::DOUBLE AS score FROM ({_axes_sql()} UNION ALL SELECT 'schema_stability', 100)")
 def health_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.radar(prof.profile(table(spark, sf_dir, "orders")), drift_free=True)
+    return health.radar(prof.profile(table(spark, sf_dir, "part")), drift_free=True)
+
 
+_RADARS = _facts_sql("orders", _PROFILED["orders"]) + ", " + _facts_sql("orders", {c: k for c, k in _PROFILED["orders"].items() if c != "o_orderkey"}).removeprefix("WITH ").replace("c AS (", "d AS (", 1).replace("f AS (", "g AS (", 1).replace("FROM c)", "FROM d)")
+_RADARS += f"SELECT a.axis, a.score::DOUBLE AS baseline, b.score::DOUBLE AS current, round(b.score - a.score, 2)::DOUBLE AS delta, CASE WHEN delta <= -3 THEN 'regression' WHEN delta >= 3 THEN 'improvement' ELSE 'stable' END AS change FROM ({_axes_sql('f')}) a JOIN ({_axes_sql('g')}) b ON a.axis = b.axis"
 
-@query("SELECT * FROM (VALUES ('null_health', 'stable'), ('type_confidence', 'stable'), ('cardinality_health', 'stable'), ('pk_presence', 'regression'), ('semantic_coverage', 'stable')) t(axis, change)")
+
+@query(_RADARS)
 def health_radar_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return health.diff_radar(health.radar(prof.profile(o)), health.radar(prof.profile(o.drop("o_orderkey")))).select("axis", "change")
+    return health.diff_radar(health.radar(prof.profile(o)), health.radar(prof.profile(o.drop("o_orderkey"))))
 
 
 _TERMS = ["the", "licensed", "with"]
@@ -417,54 +513,65 @@ def cosine_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 4).alias("cos"))
 
 
-_EMAIL_SQL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b"
+#: All kinds but cards, which have a query of their own, and those whose pattern looks ahead, which DuckDB cannot.
+_PLAIN_KINDS = [(k, p) for k, p in SECRETS if k != "credit_card" and "(?!" not in p]
+_REDACTED = "text"
+for _kind, _pattern in _PLAIN_KINDS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '[REDACTED:{_kind}]', 'g')"
 
 
-@query(f"SELECT doc_id, md5(regexp_replace(text, '{_EMAIL_SQL}', '[REDACTED:email]', 'g')) AS digest FROM documents")
+@query(f"SELECT doc_id, md5({_REDACTED}) AS digest FROM documents")
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.redacted(F.col("text"), ["email"])).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(redaction.redacted(F.col("text"), [k for k, _ in _PLAIN_KINDS])).alias("digest"))
 
 
-@query(f"SELECT 'email' AS kind, sum(len(regexp_extract_all(text, '{_EMAIL_SQL}')))::BIGINT AS matches, count(*) FILTER (WHERE regexp_matches(text, '{_EMAIL_SQL}')) AS texts FROM documents")
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, sum(len(regexp_extract_all(text, '{p}')))::BIGINT AS matches, count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS texts FROM documents" for k, p in _PLAIN_KINDS))
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.redaction_counts(table(spark, sf_dir, "documents"), "text", ["email"])
+    return redaction.redaction_counts(table(spark, sf_dir, "documents"), "text", [k for k, _ in _PLAIN_KINDS])
 
 
-@query()
+_DIGITS_OF = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(reverse({_DIGITS_OF}).split(''), lambda d, j: CASE WHEN j % 2 = 1 THEN d::INT WHEN d::INT < 5 THEN 2 * d::INT ELSE 2 * d::INT - 9 END)) % 10 = 0"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '{redaction.CARD}', '\x01\\0\x01', 'g'), '\x01') AS parts FROM documents)
+SELECT doc_id, md5(list_aggregate(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 0 AND {_LUHN} THEN '[REDACTED:credit_card]' ELSE x END), 'string_agg', '')) AS digest FROM d""")
 def redact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.redact_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), kinds=["credit_card", "ssn"])
+    return redaction.redact_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), kinds=["credit_card"]).select("doc_id", F.md5("text").alias("digest"))
 
 
-_LOG = [
-    ("SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 17", 3, 1.5), ("SELECT c_name, c_acctbal FROM customer WHERE c_custkey = 99", 2, 0.5),
-    ("select o_totalprice from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'", 5, 9.0), ("SELECT x FROM unknown_table", 4, 1.0),
-]
-_ROLLUP = [
-    ("customer", "", 10, 11.0), ("customer", "c_name", 5, 2.0), ("customer", "c_acctbal", 5, 2.0), ("customer", "c_custkey", 10, 11.0), ("customer", "c_mktsegment", 5, 9.0),
-    ("orders", "", 5, 9.0), ("orders", "o_totalprice", 5, 9.0), ("orders", "o_custkey", 5, 9.0),
-]
+#: A query of each customer and order, with literals of its own.
+_QUERY_C = ("SELECT c_name, c_acctbal FROM customer WHERE c_custkey = ", "c_custkey", "c_nationkey + 1", "c_acctbal")
+_QUERY_O = ("select o_totalprice from orders join customer on o_custkey = c_custkey where c_mktsegment = 'X' and o_orderkey > ", "o_orderkey", "o_custkey % 5", "o_totalprice")
 
 
-def _log(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_LOG, "query string, calls long, total_time double").withColumn("seen", F.lit("2024-01-01").cast("timestamp"))
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.concat(F.lit(q), F.col(k).cast("string")).alias("query"), F.expr(n).cast("long").alias("calls"), F.col(s).cast("double").alias("total_time")) for t, (q, k, n, s) in (("customer", _QUERY_C), ("orders", _QUERY_O))]
+    unknown = spark.createDataFrame([("SELECT x FROM unknown_table", 4, 1.0)], "query string, calls long, total_time double")
+    return parts[0].unionByName(parts[1]).unionByName(unknown).withColumn("seen", F.lit("2024-01-01").cast("timestamp"))
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, c) for t in ("customer", "orders") for c in table(spark, sf_dir, t).columns], "dataset string, name string")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{c}', {n}::BIGINT, {t}::DOUBLE)" for d, c, n, t in _ROLLUP) + ') t(dataset, "column", calls, total_time)')
+_USES = [("customer", "", "co"), ("customer", "c_name", "c"), ("customer", "c_acctbal", "c"), ("customer", "c_custkey", "co"), ("customer", "c_mktsegment", "o"), ("orders", "", "o"), ("orders", "o_totalprice", "o"), ("orders", "o_custkey", "o"), ("orders", "o_orderkey", "o")]
+_USES_SQL = "WITH c AS (SELECT sum(c_nationkey + 1) AS n, sum(c_acctbal) AS t FROM customer), o AS (SELECT sum(o_custkey % 5) AS n, sum(o_totalprice) AS t FROM orders) "
+_USES_SQL += " UNION ALL ".join(f"SELECT '{d}' AS dataset, '{c}' AS \"column\", ({' + '.join(f'{x}.n' for x in of)})::BIGINT AS calls, round({' + '.join(f'{x}.t' for x in of)}, 2) AS total_time FROM {', '.join(of)}" for d, c, of in _USES)
+
+
+@query(_USES_SQL)
 def workload_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workload.rollup(_log(spark), _columns(spark, sf_dir)).groupBy("dataset", "column").agg(F.sum("calls").alias("calls"), F.sum("total_time").alias("total_time"))
+    return workload.rollup(_log(spark, sf_dir), _columns(spark, sf_dir)).groupBy("dataset", "column").agg(F.sum("calls").alias("calls"), F.round(F.sum("total_time"), 2).alias("total_time"))
 
 
-@query("SELECT * FROM (VALUES ('c_nationkey', 'zero_hits'), ('o_orderstatus', 'zero_hits'), ('o_orderdate', 'zero_hits'), ('o_orderpriority', 'zero_hits')) t(name, state)")
+@query(f"SELECT dataset, name, 'zero_hits' AS state FROM ({_column_facts('customer', _PROFILED['customer'])} UNION ALL {_column_facts('orders', _PROFILED['orders'])}) WHERE NOT {_UNIQUE} AND name NOT IN ({', '.join(repr(c) for _, c, _ in _USES if c)})")
 def unused_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = None
     for t in ("customer", "orders"):
         one = prof.profile(table(spark, sf_dir, t)).withColumn("dataset", F.lit(t))
         p = one if p is None else p.unionByName(one)
-    return workload.unused_columns(p, workload.rollup(_log(spark), _columns(spark, sf_dir)), F.lit("2020-01-01").cast("timestamp")).select("name", "state")
+    return workload.unused_columns(p, workload.rollup(_log(spark, sf_dir), _columns(spark, sf_dir)), F.lit("2020-01-01").cast("timestamp"))
 
 
 @query("SELECT o_orderkey, 'sha256:' || sha256(o_orderstatus || o_orderkey)[:32] AS fp FROM orders")
@@ -541,10 +648,10 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
 
 
-@query("SELECT * FROM (VALUES ('nation', 'regionkey', 1), ('customer', 'nationkey', 2), ('supplier', 'nationkey', 2)) t(dataset, \"column\", depth) WHERE depth = 1")
+@query(f"WITH RECURSIVE {_EDGES}, r(dataset, col, depth) AS (SELECT 'nation', 'nationkey', 0 UNION SELECT e.from_dataset, e.from_column, r.depth + 1 FROM r JOIN e ON e.to_dataset = r.dataset AND e.to_column = r.col WHERE r.depth < 3) SELECT dataset, col AS \"column\", min(depth) AS depth FROM r GROUP BY 1, 2 HAVING min(depth) > 0")
 def schema_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _star(spark, sf_dir).withColumn("name", F.regexp_replace("name", "^[a-z]_", ""))
-    return relations.schema_impact(relations.foreign_keys(p), "region", "regionkey", 1)[0].where("depth > 0")
+    return relations.schema_impact(relations.foreign_keys(p), "nation", "nationkey")[0]
 
 
 @query("SELECT 'SELECT a FROM t WHERE b = ? AND c > ?' AS masked, count(*) AS n FROM customer")
@@ -553,9 +660,15 @@ def sql_text_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(redaction.sql_text(q).alias("masked")).groupBy("masked").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 91.7::DOUBLE AS composite, 'A' AS grade")
+@query(_facts_sql("customer", _PROFILED["customer"]) + f"SELECT round(avg(score), 1)::DOUBLE AS composite, CASE WHEN round(avg(score), 1) >= 90 THEN 'A' WHEN round(avg(score), 1) >= 80 THEN 'B' WHEN round(avg(score), 1) >= 70 THEN 'C' WHEN round(avg(score), 1) >= 60 THEN 'D' ELSE 'F' END AS grade FROM ({_axes_sql()})")
 def health_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.composite(health.radar(prof.profile(table(spark, sf_dir, "orders").drop("o_orderkey")), drift_free=True).unionByName(spark.createDataFrame([("runtime_coverage", 100.0)], "axis string, score double")).where("axis <> 'semantic_coverage'"))
+    return health.composite(health.radar(prof.profile(table(spark, sf_dir, "customer"))))
+
+
+@query("SELECT 'client [REDACTED:ipv4_address] asked' AS masked, count(*) AS n FROM customer")
+def trace_text_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.concat(F.lit("client 10."), (F.col("c_custkey") % 250).cast("string"), F.lit("."), F.col("c_nationkey").cast("string"), F.lit(".7 asked"))
+    return table(spark, sf_dir, "customer").select(redaction.trace_text(host).alias("masked")).groupBy("masked").agg(F.count(F.lit(1)).alias("n"))
 
 
 FLAGSHIP = [*_ALL, {"column": "l_extendedprice", "function": "avg", "alias": "avg_price"}]
@@ -569,8 +682,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
