@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh
+
 _C = ctypes.CDLL(None)
 
 
@@ -42,25 +44,36 @@ def ship(spark: SparkSession) -> None:
     sc._lattica_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the setting is absent (tests on one machine) is a folder of our
-    own used.  The folder carries the application's id and may be removed when
-    the application has ended.
-    """
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "lattica-shared")
-    return f"{top.rstrip('/')}/lattica-{sc.applicationId}"
+#: Tables written by ``checkpointed`` inside the innermost ``short_lived`` block.
+_short_lived: list[list[str]] = []
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: its lineage is cut and lost executors cost nothing that was written."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession)
+    if _short_lived:
+        _short_lived[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def short_lived(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``checkpointed`` wrote inside the block when it ends: what was made of them must have been written by then."""
+    _short_lived.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_short_lived.pop())
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders on any file system that Spark reaches."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def id_bucket(column: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets

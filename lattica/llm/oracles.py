@@ -63,5 +63,22 @@ FROM documents d JOIN texts t ON coalesce(d.text, '') = t.text JOIN classes c ON
 """
 
 
+def op1_sharding() -> str:
+    """Prefix sums by a window over the whole table, and the checksum byte by byte from its polynomial."""
+    return """
+WITH steps AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+sums AS (
+  SELECT text, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents), steps),
+sized AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS whole FROM sized),
+sharded AS (SELECT *, least(7, ((2 * upto - size) * 8) // (2 * whole))::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM sharded JOIN sums USING (text)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": op4_licenses(), "op9_ngram_join": op9_ngram_join()}
+    return {"op1_sharding": op1_sharding(), "op4_licenses": op4_licenses(), "op9_ngram_join": op9_ngram_join()}

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import ann, bpe, language, licenses, minhash, packing, pii, quality, queries, sharding, suffix_tree
+from lattica.llm import ann, bpe, common, language, licenses, minhash, packing, pii, quality, queries, sharding, suffix_tree
 from lattica.llm.common import KeyFilter, id_bucket, pieces
 
 SF = "/root/testdata/sf0.001"
@@ -860,6 +860,73 @@ def test_unknown_languages_are_rejected(spark):
     assert {r["doc_id"] for r in d.where("n_chars > 300").collect()} <= kept
 
 
+def plain_pipeline(rows, spark):
+    """The pipeline on (doc_id, text, lang), each text by itself: (doc_id, text) of what is packed."""
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string, lang string")
+    profiles = language.learn(frame([r for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 4 != 2]))
+    squeeze = zstandard.ZstdCompressor(level=3)
+    kept = []
+    for r in rows:
+        (lang,), (score,) = language.predict([r[1] or ""], profiles)
+        if lang != "und" and score >= corpus_pipeline.LEAST_NEAR and quality.measure([r[1]], squeeze)[0]["kept"]:
+            kept.append(r)
+    least = {t: min((i is None, i) for i, u, _ in kept if u == t) for t in {r[1] for r in kept}}
+    grams = {t: {tuple(w[k : k + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", t)] for k in range(len(w) - 4)} for t in least}
+    todo, first = set(least), []
+    while todo:
+        group, edge = set(), {todo.pop()}
+        while edge:
+            group |= edge
+            edge = {u for t in edge for u in todo - group if len(grams[t] & grams[u]) * 5 >= 4 * len(grams[t] | grams[u])}
+            todo -= edge
+        first.append(min(group, key=lambda t: (least[t], hashlib.md5(t.encode()).digest())))
+    w = pii.learn(frame([(None, t, None) for t in first]))
+    return [(least[t][1], pii.cover(t, pii.find([t], w, {})[0])) for t in first]
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """The small table, and beside it nulls, repeats, a long text and columns of clashing names."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(61)
+    clean = [r["text"] for r in d.where("length(text) between 900 and 4000").orderBy("doc_id").limit(6).collect()]
+    shuffled = " ".join(rng.sample(clean[4].split(), len(clean[4].split())))
+    rows = [(None, clean[0], "en"), (None, None, None), (5, clean[1], "en"), (5, clean[1], "en"), (5, clean[2], "de"), (90_001, clean[3] + " more words here", "en"), (90_002, "", "en"), (90_003, " \n ", None), (90_004, f"{shuffled} +1 (555) 555-0100 4111111111111111 ", "xx")]
+    rows += [(90_005, " ".join(rng.choice(clean[k % 6].split()) for k in range(60_000)), "en")]
+    extra = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], d.schema)
+    return d.unionByName(extra).withColumns({"found": F.lit(1), "__digest": F.lit("x"), "row": F.lit(2), "may": F.lit(3), "Found_": F.lit("y")})
+
+
+def test_pipeline_against_the_plain_version(mixed, spark):
+    want = plain_pipeline([(r["doc_id"], r["text"], r["lang"]) for r in mixed.collect()], spark)
+    docs = mixed
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        docs = docs.cache()
+    assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == Counter(want)
+    assert all(r["n_chars"] == len(r["text"]) for r in docs.select("n_chars", "text").collect())
+    packed_ok(corpus_pipeline.pack_sequences(spark, docs, SF).collect(), want)
+
+
+def test_pipeline_of_nothing(mixed, spark):
+    for some in (mixed.limit(0), mixed.where("text is null")):
+        docs = some
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+        assert docs.collect() == []
+
+
+def test_tables_of_a_block_are_removed(spark):
+    path = None
+    with common.short_lived(spark):
+        df = common.checkpointed(spark.range(5))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists() and df.count() == 5
+    assert not Path(path).exists()
+
+
 def test_pieces():
     assert list(pieces([3, 3, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)]
     assert list(pieces([], 6)) == []
