@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import language, minhash, packing, pii, quality
-from lattica.llm.common import free_name, id_bucket, shared_folder
+from lattica.llm.common import free_name, id_bucket, remove, short_lived
 from lattica.llm.queries import split_pattern, vocabulary
+from lattica.sources.scratch import fresh
 
 #: A text whose best language is less near than this has none of the known ones: other languages and noise reach 0.09, clean texts of some length have 0.17 and more.
 LEAST_NEAR = 0.15
@@ -78,12 +77,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; what a stage keeps is written and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """Applies the stages to ``documents``; what a stage keeps is written and read again as the next one's input.
+
+    Tables that a stage needed are removed when it is written, and its input
+    when the next one has no more use for it.
+    """
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = fresh(spark, f"-{name}")
+        with short_lived(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
