@@ -868,7 +868,7 @@ def plain_pipeline(rows, spark):
     kept = []
     for r in rows:
         (lang,), (score,) = language.predict([r[1] or ""], profiles)
-        if lang != "und" and score >= corpus_pipeline.LEAST_NEAR and quality.measure([r[1]], squeeze)[0]["kept"]:
+        if lang != "und" and score >= corpus_pipeline.LEAST_NEAR * min(1, len(r[1]) / corpus_pipeline.SHORT) ** 0.5 and quality.measure([r[1]], squeeze)[0]["kept"]:
             kept.append(r)
     least = {t: min((i is None, i) for i, u, _ in kept if u == t) for t in {r[1] for r in kept}}
     grams = {t: {tuple(w[k : k + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", t)] for k in range(len(w) - 4)} for t in least}
