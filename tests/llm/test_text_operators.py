@@ -385,7 +385,7 @@ def peak_mb(code):
 LONG = "t = ' '.join(''.join(random.choices('abcdefgh', k=random.randrange(2, 9))) for _ in range(1 << 16)) + ' '\nt = (t * (64 * 2**20 // len(t) + 1))[: 64 * 2**20]\n"
 
 
-@pytest.mark.parametrize("code", ["quality.measure([t], zstandard.ZstdCompressor(level=3))", "language.text_bundles([t], __import__('numpy').zeros(1, int), 1)", "words.hashed([t.encode()])", "pii.find([t + ' a@b.co'], pii.fit_weights({}), {})"])
+@pytest.mark.parametrize("code", ["quality.measure([t], zstandard.ZstdCompressor(level=3))", "language.text_bundles([t], __import__('numpy').zeros(1, int), 1)", "words.hashed([t.encode()])", "suffix_tree.tree_scores(suffix_tree.grow(__import__('pandas').DataFrame({'d': [0], 'code': [97], 'n': [1]}), 1), [t.encode()])", "pii.find([t + ' a@b.co'], pii.fit_weights({}), {})"])
 def test_a_text_of_64_mb_is_held_in_bounded_memory(code):
     assert peak_mb(LONG + code) < 1600
 
@@ -786,22 +786,87 @@ def test_suffix_tree(docs, empty, spark):
     assert unlearned["score"] == pytest.approx(3 * math.log10(1 / 256), abs=1e-4)
 
 
-def test_tree_scores_by_the_longest_state(spark):
+def plain_tree(train, least, core):
+    """Next-byte probabilities by context, and the retained contexts, from the texts themselves: those of ``core`` occurrences as a tree, others of full depth on top of it."""
+    body = lambda t: b"".join(w + b" " for w in t.encode().lower().split()) + b"\n"
+    depth, counts, total = suffix_tree.DEPTH, defaultdict(Counter), 0
+    for t in train:
+        x = b"\n" * depth + body(t or "")
+        for i in range(depth, len(x)):
+            total += 1
+            for d in range(depth + 1):
+                counts[x[i - d : i]][x[i]] += 1
+    of = {c: sum(n.values()) for c, n in counts.items()}
+    chance, kept = {b"": {s: (counts[b""][s] + 1) / (of[b""] + 256) for s in range(256)}}, {b""}
+
+    def add(c, prior):
+        n, kinds = of[c], len(counts[c])
+        chance[c] = {s: (counts[c][s] + kinds * prior[s]) / (n + kinds) for s in range(256)}
+        return sum(k * math.log(k / n / prior[s]) for s, k in counts[c].items()) > 0.5 * kinds * math.log(total)
+
+    for c in sorted((c for c in of if c and of[c] >= core), key=len):
+        if add(c, chance[c[1:]]):
+            kept |= {c[k:] for k in range(len(c))}
+    inner = set(kept)
+    longest = lambda c, some: next(c[k:] for k in range(len(c) + 1) if c[k:] in some)
+    for c in of:
+        if len(c) == depth and least <= of[c] < core and add(c, chance[longest(c, inner)]):
+            kept.add(c)
+
+    def score(t):
+        x = b"\n" * depth + body(t or "")
+        return sum(math.log10(chance[longest(x[i - depth : i], kept)][x[i]]) for i in range(depth, len(x)))
+
+    return score, inner, kept
+
+
+@pytest.mark.parametrize(("least", "most", "part"), [(2, 1 << 16, 1 << 20), (2, 40, 1 << 20), (5, 150, 64)])
+def test_scores_against_a_plain_tree(spark, monkeypatch, least, most, part):
+    """The core alone, a core with many contexts beyond it, and texts in parts."""
+    rng = random.Random(71)
+    texts = [prose(rng, rng.randrange(0, 60), ["abab", "bca", "é", "a", "cabb", "zz"]) for _ in range(120)] + [None, "", "abab" * 50, "new wörds only"]
+    monkeypatch.setattr(suffix_tree, "LEAST", least)
+    monkeypatch.setattr(suffix_tree, "CORE", most)
+    monkeypatch.setattr(suffix_tree, "BATCH_BYTES", part)
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 7 != 2], "doc_id long, text string")
+    model = suffix_tree.learn(train)
+    everything = [t for i, t in enumerate(texts) if i % 7 != 2]
+    core = next(c for k in range(20) if (c := least << k) and len([1 for x in plain_contexts(everything).values() if x >= c]) <= most)
+    score, inner, kept = plain_tree(everything, least, core)
+    assert len(kept) > len(inner) if most < 1000 else kept == inner
+    assert model.beyond.count() == len(kept) - len(inner) and len(inner) > 5
+    got = suffix_tree.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(score(texts[r["doc_id"]]), rel=1e-5, abs=1e-4), texts[r["doc_id"]]
+
+
+def plain_contexts(train):
+    out = Counter()
+    for t in train:
+        x = b"\n" * suffix_tree.DEPTH + b"".join(w + b" " for w in (t or "").encode().lower().split()) + b"\n"
+        out.update(x[i - d : i] for i in range(suffix_tree.DEPTH, len(x)) for d in range(1, suffix_tree.DEPTH + 1))
+    return out
+
+
+def test_tree_is_a_distribution_and_grows_with_the_corpus(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     tree = suffix_tree.learn(d).tree
     width = tree.logp.shape[1]
     unseen = 256 - (width - 1)
     mass = (10.0 ** tree.logp[:, :-1]).sum(axis=1) + unseen * 10.0 ** tree.logp[:, -1]
     assert np.allclose(mass, 1, atol=1e-3) and tree.contexts > 100
-    texts = [r["text"].encode().lower() for r in d.limit(5).collect()] + [b"", b"the \xff the"]
-    for t, s in zip(texts, suffix_tree.tree_scores(tree, texts), strict=True):
-        state, want = 0, 0.0
-        for c in bytes([suffix_tree.END]) * suffix_tree.DEPTH:
-            state = tree.following[state, tree.symbol[c]]
-        for c in b"".join(w + b" " for w in t.split()) + bytes([suffix_tree.END]):
-            want += float(tree.logp[state, tree.symbol[c]])
-            state = tree.following[state, tree.symbol[c]]
-        assert s == pytest.approx(want, abs=1e-6 * max(1, len(t)))
+    more = suffix_tree.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert more.tree.contexts > 1.5 * tree.contexts
+
+
+def test_contexts_that_the_core_has_no_room_for_are_in_the_table(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "CORE", 300)
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = suffix_tree.learn(d)
+    assert model.beyond.count() > 300
+    rich = suffix_tree.score(d, model).agg(F.sum("score")).first()[0]
+    poor = sum(suffix_tree.tree_scores(model.tree, [(r["text"] or "").lower().encode() for r in d.collect()])[0])
+    assert rich > poor
 
 
 def test_rare_words_are_joined(spark, monkeypatch):
