@@ -820,9 +820,10 @@ def plain_tree(train, least, core):
     return score, inner, kept
 
 
-@pytest.mark.parametrize(("least", "most", "part"), [(2, 1 << 16, 1 << 20), (2, 40, 1 << 20), (5, 150, 64)])
-def test_scores_against_a_plain_tree(spark, monkeypatch, least, most, part):
-    """The core alone, a core with many contexts beyond it, and texts in parts."""
+@pytest.mark.parametrize(("least", "most", "part", "travelling"), [(2, 1 << 16, 1 << 20, 1 << 20), (2, 40, 1 << 20, 0), (2, 40, 1 << 20, 40), (5, 150, 64, 1 << 20)])
+def test_scores_against_a_plain_tree(spark, monkeypatch, least, most, part, travelling):
+    """The core alone; a core with many contexts beyond it that are joined, travel in part, or travel all; texts in parts."""
+    monkeypatch.setattr(suffix_tree, "TRAVELLING", travelling)
     rng = random.Random(71)
     texts = [prose(rng, rng.randrange(0, 60), ["abab", "bca", "é", "a", "cabb", "zz"]) for _ in range(120)] + [None, "", "abab" * 50, "new wörds only"]
     monkeypatch.setattr(suffix_tree, "LEAST", least)
@@ -834,7 +835,9 @@ def test_scores_against_a_plain_tree(spark, monkeypatch, least, most, part):
     core = next(c for k in range(20) if (c := least << k) and len([1 for x in plain_contexts(everything).values() if x >= c]) <= most)
     score, inner, kept = plain_tree(everything, least, core)
     assert len(kept) > len(inner) if most < 1000 else kept == inner
-    assert model.beyond.count() == len(kept) - len(inner) and len(inner) > 5
+    near = 0 if model.near is None else len(model.near.context)
+    assert model.beyond.count() + near == len(kept) - len(inner) and len(inner) > 5
+    assert most > 1000 or (near > 0) == (travelling > 0) and (model.beyond_filter is None) == (travelling > 1000)
     got = suffix_tree.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
     for r in got:
         assert r["score"] == pytest.approx(score(texts[r["doc_id"]]), rel=1e-5, abs=1e-4), texts[r["doc_id"]]
@@ -861,6 +864,7 @@ def test_tree_is_a_distribution_and_grows_with_the_corpus(spark):
 
 def test_contexts_that_the_core_has_no_room_for_are_in_the_table(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "CORE", 300)
+    monkeypatch.setattr(suffix_tree, "TRAVELLING", 0)
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     model = suffix_tree.learn(d)
     assert model.beyond.count() > 300
