@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import RequestError
@@ -37,6 +37,27 @@ def expression(df: DataFrame, spec: dict, approximate: bool = False) -> Column:
     return known[function](c)
 
 
+def medians_of(rows: DataFrame, keys: list[Column], value: Column, buckets: int = 32) -> DataFrame:
+    """(g, median) exactly, g the struct of the keys, without any task that holds a group's values.
+
+    Values are counted before they are shuffled, the counts fall into buckets
+    at approximate quantiles, the buckets' totals tell in which of them a
+    group's middle lies, and only there values are put in order.
+    """
+    counts = rows.select(F.struct(*(keys or [F.lit(0)])).alias("g"), value.cast("double").alias("v")).where("v is not null").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.agg(F.percentile_approx("v", F.array(*[F.lit((k + 1) / buckets) for k in range(buckets - 1)]), 1_000).alias("cuts"))
+    # A bucket holds equal values together, so its number is an order on values whatever the cuts' accuracy.
+    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    of = Window.partitionBy("g")  # a row for each bucket
+    totals = dealt.groupBy("g", "bucket").agg(F.sum("n").alias("t"))
+    placed = totals.select("g", "bucket", "t", (F.sum("t").over(of.orderBy("bucket")) - F.col("t")).alias("before"), F.sum("t").over(of).alias("all"))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = placed.select("g", "bucket", "before", low.alias("low"), high.alias("high")).where((F.col("before") <= high) & (F.col("before") + F.col("t") > low))
+    inside = dealt.join(middle, ["g", "bucket"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("g", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = lambda place: F.max(F.when((F.col("upto") - F.col("n") <= F.col(place)) & (F.col(place) < F.col("upto")), F.col("v")))
+    return inside.groupBy("g").agg(((at("low") + at("high")) / 2).alias("median"))
+
+
 def groups_of(df: DataFrame, aggregations: list[dict], group_by: list[str] | None = None, filters: list[dict] | None = None, having: list[dict] | None = None, approximate: bool = False) -> DataFrame:
     """All groups; HAVING filters on the aggregates' aliases, which may repeat a column's name."""
     if not aggregations:
@@ -44,7 +65,13 @@ def groups_of(df: DataFrame, aggregations: list[dict], group_by: list[str] | Non
     rows, keys = where(df, filters), [resolve(df, g) for g in group_by or []]
     aliases = [default_alias(a) for a in aggregations]
     # Aggregates carry their place as a name until the group columns are out of the way.
-    out = rows.groupBy(*[F.col(f"`{k}`").alias(f"__g{i}") for i, k in enumerate(keys)]).agg(*[expression(df, a, approximate).alias(f"__a{i}") for i, a in enumerate(aggregations)])
+    exact = [i for i, a in enumerate(aggregations) if a.get("function") == "median" and not approximate and a.get("column", "*") != "*"]
+    plain = [expression(df, a, approximate).alias(f"__a{i}") for i, a in enumerate(aggregations) if i not in exact]
+    out = rows.groupBy(*[F.col(f"`{k}`").alias(f"__g{i}") for i, k in enumerate(keys)]).agg(*(plain or [F.count(F.lit(1)).alias("__n")]))
+    for i in exact:
+        medians = medians_of(rows, [F.col(f"`{k}`") for k in keys], F.col(f"`{resolve(df, aggregations[i]['column'])}`"))
+        own = F.struct(*([F.col(f"__g{k}").alias(key) for k, key in enumerate(keys)] or [F.lit(0)]))
+        out = out.withColumn("__key", own).join(medians.select(F.col("g").alias("__key"), F.col("median").alias(f"__a{i}")), "__key", "left").drop("__key")
     values = out.select(*[F.col(f"__g{i}") for i in range(len(keys))], *[F.col(f"__a{i}").alias(a) for i, a in enumerate(aliases)])
     values = where(values, having, HAVING_OPERATORS)
     return values.select(*[F.col(f"__g{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"`{a}`") for a in aliases])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, words
+from ..sources.scratch import fresh
 
 K1, B = 1.5, 0.75
 WEIGHTS = {"name_exact": 20.0, "name_substring": 10.0, "name_word": 5.0, "summary_word": 3.0, "value_exact": 8.0, "value_substring": 4.0, "type_boost": 2.0, "bm25": 5.0, "semantic": 20.0}
@@ -27,9 +28,10 @@ def containing(part: str) -> Callable[[Column], Column]:
 def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, top: int | None = 10) -> DataFrame:
     """(id, score) of the best documents, or of all that have a word of the query.
 
-    Only the query's words leave a document's task; lengths and document
-    frequencies are one aggregation, and the query is a literal, so no index
-    and no join over the corpus is needed.
+    Texts are read once: each document's length and counts of the query's
+    words, a few numbers, are written down, and document frequencies and
+    scores come from those.  The query is a literal, so no index and no join
+    over the corpus is needed.
     """
     terms = sorted(set(words_of(query)))
     if not terms:
@@ -37,6 +39,9 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, top: int | Non
     # Words are counted where they stand in the text, never laid out as arrays.
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     counts = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit("[a-z0-9]+")).alias("dl"), *[F.when(text.contains(w), F.regexp_count(text, F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))).otherwise(0).alias(f"tf{i}") for i, w in enumerate(terms)])
+    path = fresh(docs.sparkSession)
+    counts.write.parquet(path)
+    counts = docs.sparkSession.read.schema(counts.schema).parquet(path)
     stats = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):

@@ -160,3 +160,21 @@ def test_gate_keeps_names_apart(spark):
 def test_gate_lets_words_in_literals_pass(spark):
     out = gate.run_sql(spark, "SELECT 'DELETE; DROP' AS a, replace('x', 'x', 'y') AS b, count(*) AS n FROM t.rows", {"t": spark.range(3)})
     assert [tuple(r) for r in gate.collect_within(out, 60)] == [("DELETE; DROP", "y", 3)]
+
+
+def test_medians_are_exact(spark):
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([None, rng.uniform(-5, 5), float(rng.randrange(4))])) for _ in range(3000)] + [("only", 1, None), ("one", 1, 7.5)]
+    df = spark.createDataFrame(rows, "g string, h int, v double")
+    got = {(r["g"], r["h"]): r for r in agg.groups_of(df, [{"column": "v", "function": "median", "alias": "m"}, {"column": "v", "function": "count_distinct", "alias": "d"}], ["g", "h"]).collect()}
+    want = {}
+    for g, h, v in rows:
+        want.setdefault((g, h), []).extend([] if v is None else [v])
+    assert set(got) == set(want)
+    for k, values in want.items():
+        assert got[k]["m"] == (pytest.approx(statistics.median(values)) if values else None) and got[k]["d"] == len(set(values))
+    assert agg.groups_of(df, [{"column": "v", "function": "median"}]).first()[0] == pytest.approx(statistics.median(v for *_, v in rows if v is not None))
+    assert agg.groups_of(df.limit(0), [{"column": "v", "function": "median"}]).first()[0] is None
