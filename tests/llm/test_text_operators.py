@@ -817,6 +817,11 @@ def plain_tree(train, least, core):
         x = b"\n" * depth + body(t or "")
         return sum(math.log10(chance[longest(x[i - depth : i], kept)][x[i]]) for i in range(depth, len(x)))
 
+    def prefix(x):
+        y = b"\n" * depth + x
+        return sum(math.log10(chance[longest(y[i - depth : i], kept)][y[i]]) for i in range(depth, len(y)))
+
+    score.prefix = prefix
     return score, inner, kept
 
 
@@ -851,6 +856,52 @@ def plain_contexts(train):
     return out
 
 
+def test_whole_words_as_contexts_against_a_plain_version(spark, monkeypatch):
+    """With no word frequent, every retained word is a context of the next word whole; documents that occur twice are told apart."""
+    rng = random.Random(72)
+    once = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(3, 6))) for _ in range(30)) for _ in range(60)]
+    texts = [*once, *once[:15], "aaa bbb aaa bbb aaa ccc", None]
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 0)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = suffix_tree.learn(df)
+    score, _, _ = plain_tree(texts, suffix_tree.LEAST, suffix_tree.LEAST)
+    lp = lambda before, after: score_of(score, before, after)
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    pairs, total = Counter(), sum(len(b" ".join(tokens(t)[:-1])) + (2 if tokens(t)[:-1] else 1) for t in texts)
+    prior = {}
+    for t in texts:
+        x = tokens(t)
+        for i in range(len(x) - 1):
+            pairs[x[i], x[i + 1]] += 1
+            prior[x[i], x[i + 1]] = max(prior.get((x[i], x[i + 1]), -999), lp(x[: i + 1], x[i + 1]))
+    kept = {}
+    for w in {a for a, _ in pairs}:
+        mine = {b: c for (a, b), c in pairs.items() if a == w}
+        n = sum(mine.values())
+        if n >= 2 and sum(c * (math.log(c / n) - math.log(10) * prior[w, b]) for b, c in mine.items()) > 0.5 * len(mine) * math.log(total):
+            kept[w] = (n, len(mine))
+    assert 50 < len(kept) and model.pairs.count() == sum(k for _, k in kept.values())
+    got = {r["doc_id"]: r for r in suffix_tree.score(df, model).collect()}
+    for i, t in enumerate(texts):
+        want, x = score(t), tokens(t)
+        for k, w in enumerate(x[:-1]):
+            if w in kept:
+                n, kinds = kept[w]
+                p = 10.0 ** lp(x[: k + 1], x[k + 1])
+                want += math.log10((pairs[w, x[k + 1]] + kinds * p) / (n + kinds) / p)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-4, abs=1e-3), i
+    twice, single = ([got[i]["score"] / got[i]["n_tokens"] for i in some] for some in (range(15), range(15, 60)))
+    assert min(twice) > max(single)
+
+
+def score_of(score, before, after):
+    """log10 probability of the next word, or of the end, after some words, from a plain score of whole texts."""
+    text = lambda words: b" ".join(words).decode()
+    if after is None:
+        return score(text(before)) - score.prefix(b" ".join(before) + b" ")
+    return score.prefix(b" ".join([*before, after]) + b" ") - score.prefix(b" ".join(before) + b" ")
+
+
 def test_tree_is_a_distribution_and_grows_with_the_corpus(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     tree = suffix_tree.learn(d).tree
