@@ -894,6 +894,22 @@ def test_whole_words_as_contexts_against_a_plain_version(spark, monkeypatch):
     assert min(twice) > max(single)
 
 
+def test_what_follows_some_words_is_scored_alike():
+    rng = random.Random(73)
+    texts = [prose(rng, n).encode() for n in (0, 1, 2, 40, 500)] + [b"", b" a  b "]
+    counted = [(d, c) for t in texts for x in [b"\n" * 5 + suffix_tree.spaced(t)] for i in range(5, len(x)) for d in range(6) for c in [int.from_bytes(x[i - d : i + 1], "big")]]
+    levels = Counter(counted)
+    import pandas as pd
+
+    tree = suffix_tree.grow(pd.DataFrame([(d, c, n) for (d, c), n in levels.items()], columns=["d", "code", "n"]), len(counted) // 6)
+    w, by_word = suffix_tree.hashed(texts), []
+    suffix_tree.tree_scores(tree, texts, None, None, by_word)
+    want = suffix_tree.followed(w, *by_word)
+    some = np.array(sorted(rng.sample(range(len(want)), 200)))
+    assert np.allclose(suffix_tree.followed_by(tree, None, texts, w, some), want[some], atol=1e-4)
+    assert np.allclose(suffix_tree.followed_by(tree, None, texts, w, np.arange(len(want))), want, atol=1e-4)
+
+
 def score_of(score, before, after):
     """log10 probability of the next word, or of the end, after some words, from a plain score of whole texts."""
     text = lambda words: b" ".join(words).decode()
