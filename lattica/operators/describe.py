@@ -37,7 +37,7 @@ def describe_dataset(profiles: DataFrame, values: DataFrame, columns: list[str]
             raise RequestError("INVALID_COLUMN", ", ".join(unknown))
         rows = rows.where(F.col("name").isin(columns))
     preview = values.where(F.col("rank") <= PREVIEW).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))), lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"))).alias("top_values"))
-    out = rows.join(F.broadcast(preview), "name", "left").select(
+    out = rows.join(preview, "name", "left").select(
         "position", "name", "type", "count", "null_count", "null_pct", "cardinality", "cardinality_is_exact", "is_unique", "is_primary_key_candidate", "min", "max", "mean", "std_dev", F.element_at("quantiles", 3).alias("median"), "semantic_type", "top_values", column_summary().alias("summary")
     )
     out = out.orderBy("position", "name")

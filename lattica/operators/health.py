@@ -28,7 +28,7 @@ def hotspots(profiles: DataFrame, traffic: DataFrame | None = None, top: int = 1
         score = 0.4 * F.col("null_risk") + 0.3 * F.col("cardinality_risk") + 0.3 * F.col("outlier_risk")
     else:
         most = traffic.agg(F.max("calls").alias("most"))
-        rows = rows.join(F.broadcast(traffic.select("name", "calls")), "name", "left").crossJoin(F.broadcast(most)).withColumn("traffic_risk", F.coalesce(F.col("calls") / F.nullif(F.col("most"), F.lit(0)), F.lit(0.0)))
+        rows = rows.join(traffic.select("name", "calls"), "name", "left").crossJoin(F.broadcast(most)).withColumn("traffic_risk", F.coalesce(F.col("calls") / F.nullif(F.col("most"), F.lit(0)), F.lit(0.0)))
         score = 0.3 * F.col("null_risk") + 0.2 * F.col("cardinality_risk") + 0.2 * F.col("outlier_risk") + 0.3 * F.col("traffic_risk")
     rows = rows.withColumn("score", F.round(score, 4))
     level = F.when(F.col("score") >= 0.6, "high").when(F.col("score") >= 0.3, "medium").otherwise("low")

@@ -190,7 +190,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         rows = [r + [F.col(f"d{i}").alias("cardinality"), F.lit(None).cast("long").alias("most")] for i, r in enumerate(rows)]
     out = df.agg(*parts).select(F.inline(F.array(*[F.struct(*r) for r in rows])))
     if exact:
-        out = out.join(F.broadcast(cardinalities(df)), "name", "left")
+        out = out.join(cardinalities(df), "name", "left")
     present = F.col("count") - F.col("null_count")
     unique = (present > 0) & (F.col("null_count") == 0) & (F.col("cardinality") == present)
     return (
@@ -211,7 +211,7 @@ def learned_null_tokens(df: DataFrame, least_share: float = 0.005, top: int = 10
     looks = F.lower(F.trim("value")).isin(*MISSING_WORDS) | F.trim("value").rlike(MISSING_RUNS)
     counts = value_counts(df)
     present = counts.groupBy("name").agg(F.sum("n").alias("present"))  # one row a column
-    hits = counts.where((F.length(F.trim("value")) <= 12) & looks).join(F.broadcast(present), "name").where(F.col("n") >= least_share * F.col("present"))
+    hits = counts.where((F.length(F.trim("value")) <= 12) & looks).join(present, "name").where(F.col("n") >= least_share * F.col("present"))
     return hits.groupBy(F.trim("value").alias("value")).agg(F.count_distinct("name").alias("columns"), F.sum("n").alias("count")).where("columns >= 2").orderBy(F.desc("count"), "value").limit(top)
 
 

@@ -31,12 +31,20 @@ def verdict(score: Column, name_score: Column, same_type: Column) -> Column:
 def similar_columns(profiles: DataFrame, least: float = 0.5, top: int = 50, same_type_only: bool = False) -> DataFrame:
     """Pairs of columns of different tables (profiles: dataset, name, type, cardinality, values array) by name, value, type and cardinality.
 
-    The join is of profiles, one row a column, so it is broadcast and small
-    whatever the tables' size.
+    Columns that share no part of their names and no value score 0.25 at most,
+    so above that only those that share one are compared.
     """
     p = profiles.select("dataset", "name", "type", "cardinality", "values", name_parts(F.col("name")).alias("parts"))
-    a, b = p.alias("a"), F.broadcast(p).alias("b")
-    j = a.join(b, (F.col("a.dataset") < F.col("b.dataset")) & ((F.col("a.type") == F.col("b.type")) if same_type_only else F.lit(True)))
+    a, b = p.alias("a"), p.alias("b")
+    apart = (F.col("a.dataset") < F.col("b.dataset")) & ((F.col("a.type") == F.col("b.type")) if same_type_only else F.lit(True))
+    if least > 0.25:
+        shared = F.explode(F.array_union(F.transform("parts", lambda x: F.concat(F.lit("name "), x)), F.transform("values", lambda x: F.concat(F.lit("value "), x))))
+        t = p.select("dataset", "name", shared.alias("shared"))
+        x, y = t.alias("x"), t.alias("y")
+        pairs = x.join(y, (F.col("x.shared") == F.col("y.shared")) & (F.col("x.dataset") < F.col("y.dataset"))).select(F.col("x.dataset").alias("da"), F.col("x.name").alias("na"), F.col("y.dataset").alias("db"), F.col("y.name").alias("nb")).distinct()
+        j = pairs.join(a, (F.col("a.dataset") == F.col("da")) & (F.col("a.name") == F.col("na"))).join(b, (F.col("b.dataset") == F.col("db")) & (F.col("b.name") == F.col("nb"))).where(apart)
+    else:
+        j = a.join(b, apart)
     name, value, same = jaccard(F.col("a.parts"), F.col("b.parts")), jaccard(F.col("a.values"), F.col("b.values")), F.col("a.type") == F.col("b.type")
     big, small = F.greatest("a.cardinality", "b.cardinality"), F.least("a.cardinality", "b.cardinality")
     card = F.when(big > 0, small / big).otherwise(0.0)
@@ -70,8 +78,11 @@ def foreign_keys(profiles: DataFrame) -> DataFrame:
     keys = profiles.where("is_primary_key_candidate").select(F.col("dataset").alias("to_dataset"), F.col("name").alias("to_column"))
     cols = profiles.select(F.col("dataset").alias("from_dataset"), F.col("name").alias("from_column"))
     stem = F.regexp_extract(F.lower("from_column"), "^(.+)_id$", 1)
-    match = (F.lower("from_column") == F.lower("to_column")) | ((F.lower("to_column") == "id") & (stem != "") & F.lower("to_dataset").isin(stem, F.concat(stem, F.lit("s"))))
-    return cols.join(F.broadcast(keys), (F.col("from_dataset") != F.col("to_dataset")) & match)
+    other = F.col("from_dataset") != F.col("to_dataset")
+    same = cols.join(keys, (F.lower("from_column") == F.lower("to_column")) & other)
+    tables = cols.where(stem != "").withColumn("table", F.explode(F.array(stem, F.concat(stem, F.lit("s")))))
+    named = tables.join(keys.where(F.lower("to_column") == "id"), (F.col("table") == F.lower("to_dataset")) & other).drop("table")
+    return same.unionByName(named)
 
 
 def worked_out(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import RequestError
 from ..functions.predicates import where
+from ..sources.scratch import fresh
 
 MOST_ROWS, MOST_SAMPLE, DEFAULT_COLUMNS = 500, 100, 30
 
@@ -83,8 +84,15 @@ def top_values(df: DataFrame, column: str, k: int = 50) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, name: str = "_row_id") -> DataFrame:
-    """Numbers rows 1..N in their present order: counts per partition first, then places inside each, so no task sees all rows."""
-    marked = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
-    counts = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return marked.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__at", "__part", "__before")
+    """Numbers rows 1..N in their present order: counts per partition first, then places inside each, so no task sees all rows.
+
+    A row's partition is written down once, since a shuffle upstream may deal
+    rows anew when they are read a second time.
+    """
+    path = fresh(df.sparkSession)
+    df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")).write.parquet(path)
+    marked = df.sparkSession.read.parquet(path).withColumn("part", F.shiftright("at", 33))
+    counts = marked.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return marked.join(F.broadcast(before), "part").select("row.*", number.alias(name))

@@ -37,7 +37,7 @@ def rollup(log: DataFrame, catalog: DataFrame, source: str = "sql_log") -> DataF
     parsed = log.select(fingerprint(sql_text(F.col("query"))).alias("fingerprint"), tables_of(F.col("query")).alias("tables"), columns_of(F.col("query")).alias("columns"), "calls", "total_time", "seen")
     rows = parsed.select("fingerprint", F.explode("tables").alias("dataset"), "columns", "calls", "total_time", "seen").select("*", F.explode(F.array_union(F.col("columns"), F.array(F.lit("")))).alias("column")).drop("columns")
     known = catalog.select(F.lower("dataset").alias("dataset"), F.lower("name").alias("column")).unionByName(catalog.select(F.lower("dataset").alias("dataset"), F.lit("").alias("column"))).distinct()
-    return merge(rows.join(F.broadcast(known), ["dataset", "column"]).withColumn("source", F.lit(source)))
+    return merge(rows.join(known, ["dataset", "column"]).withColumn("source", F.lit(source)))
 
 
 def merge(*parts: DataFrame) -> DataFrame:

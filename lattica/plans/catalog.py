@@ -396,7 +396,7 @@ def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in ("region", "nation", "customer", "supplier"):
         df = table(spark, sf_dir, name)
         values = prof.top_values(df, 50).groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("values"))
-        one = prof.profile(df).join(F.broadcast(values), "name").withColumn("dataset", F.lit(name))
+        one = prof.profile(df).join(values, "name").withColumn("dataset", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return relations.worked_out(out)
 

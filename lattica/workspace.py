@@ -248,7 +248,7 @@ class Workspace:
 
     def _searched(self, dataset: str) -> DataFrame:
         values = self.store.values(dataset).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("values"))
-        return self.store.profiles(dataset).join(F.broadcast(values), "name", "left").select("name", "type", describe.column_summary().alias("summary"), "values")
+        return self.store.profiles(dataset).join(values, "name", "left").select("name", "type", describe.column_summary().alias("summary"), "values")
 
     def search_data(self, dataset: str, query: str, search_scope: str = "all", max_results: int = 10, semantic: bool = False, semantic_weight: float = 0.5, semantic_only: bool = False) -> DataFrame:
         """(name, score) of the best columns by names and summaries ("schema"), by values ("values"), or by all; ``search_verdict`` tells what no hit means."""
@@ -320,7 +320,7 @@ class Workspace:
         coverage = None
         if include_runtime and self._state().get("rollup"):
             names = self.store.profiles(dataset).select("name")
-            hit = names.join(F.broadcast(self._traffic(dataset, window_days)), "name", "left").agg(F.count(F.lit(1)).alias("n"), F.count("calls").alias("used")).first()
+            hit = names.join(self._traffic(dataset, window_days), "name", "left").agg(F.count(F.lit(1)).alias("n"), F.count("calls").alias("used")).first()
             coverage = 100.0 * hit["used"] / hit["n"] if hit["n"] else 0.0
         return health.radar(self.store.profiles(dataset), self._drift_free(dataset), coverage)
 
@@ -335,7 +335,7 @@ class Workspace:
         out = None
         for d in datasets or self.store.names():
             values = self.store.values(d).groupBy("name").agg(F.sort_array(F.collect_list("value")).alias("values"))
-            one = self.store.profiles(d).join(F.broadcast(values), "name", "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>"))).withColumn("dataset", F.lit(d))
+            one = self.store.profiles(d).join(values, "name", "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>"))).withColumn("dataset", F.lit(d))
             out = one if out is None else out.unionByName(one)
         if out is None:
             raise RequestError("NOT_INDEXED", "no datasets")
@@ -369,7 +369,7 @@ class Workspace:
         reached, blast = relations.schema_impact(relations.foreign_keys(everything), dataset_id, column, max_depth, float(calls > 0), len(self.store.names()))
         after = new_type if kind == "retype_column" else None
         kinds = everything.select("dataset", F.col("name").alias("column"), "type")
-        items = reached.join(F.broadcast(kinds), ["dataset", "column"], "left").withColumn("type_mismatch", F.lit(after is not None) & (F.col("type") != F.lit(after))).orderBy("depth", "dataset", "column").limit(50)
+        items = reached.join(kinds, ["dataset", "column"], "left").withColumn("type_mismatch", F.lit(after is not None) & (F.col("type") != F.lit(after))).orderBy("depth", "dataset", "column").limit(50)
         return {"kind": kind, "column": column, "new_name": new_name, "new_type": new_type, "impacted": items, "runtime_calls": calls, "blast": blast}
 
     def check_column_drop_safe(self, dataset_id: str, column: str, window_days: int = 30) -> dict:
@@ -388,7 +388,7 @@ class Workspace:
     def _traffic(self, dataset: str, days: int) -> DataFrame:
         r = self._rollup().where((F.col("dataset") == dataset.lower()) & (F.col("column") != "") & (F.col("seen") >= self._since(days)))
         used = r.groupBy("column").agg(F.sum("calls").alias("calls"))
-        return self.store.profiles(dataset).select("name").join(F.broadcast(used), F.lower("name") == F.col("column")).select("name", "calls")
+        return self.store.profiles(dataset).select("name").join(used, F.lower("name") == F.col("column")).select("name", "calls")
 
     def _calls(self, dataset: str, column: str, days: int) -> int:
         return self._traffic(dataset, days).where(F.col("name") == column).agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]
