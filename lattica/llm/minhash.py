@@ -167,27 +167,10 @@ def digest_of(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links of each distinct text: (digest, class_id, n_links, first_id, root).
-
-    Texts are one class of copies by digest.  MinHash bands (their number
-    follows from ``recall`` at ``similarity``) are shuffled as counts of each
-    band's texts; texts that share a band, directly or through others, form a
-    family, and only families see their texts again (a filter of fixed size
-    keeps the others from the shuffle): every pair inside one is decided on
-    the full n-gram sets.  Families of more than a block are cut into blocks,
-    every pair of blocks is decided by itself, and the pairs are dealt to tasks
-    in turn, so no family is ever held in one task and what leaves a task is a
-    count and a root for each text, never the pairs.
+def candidate_families(docs: DataFrame, words: int, similarity: float, recall: float, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, text, digest), distinct texts (digest, bands, bytes, first_id, copies), and those of families (node, root, first_id, copies, bytes).
 
-    ``class_id`` is the least id of all texts linked directly or through
-    others, ``root`` the digest that stands for that class (ids may be null or
-    repeated, so class_id does not); ``n_links`` is the number of other
-    documents at ``similarity`` or more, copies included; ``first_id`` is the
-    least id of the text's own copies.  Texts without a word link to their
-    copies only.  Null texts count as empty, null ids are passed over unless a
-    class has no other.  Repeated rows are copies; an empty table has no
-    links; a very long text is a block of its own.
+    Texts that share a band, directly or through others, form a family.
     """
     ship(docs.sparkSession)
     bands = bands_for(similarity, recall, rows)
@@ -209,14 +192,37 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
     crowded = checkpointed(texts.select(F.explode("bands").alias("hub")).groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hub"))
     edges = checkpointed(texts.select(F.col("digest").alias("node"), F.explode(KeyFilter(crowded).only_held(F.col("bands"))).alias("hub")))
     families = checkpointed(components(edges, shared_only=True).join(texts.select(F.col("digest").alias("node"), "first_id", "copies", "bytes"), "node"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    family = salted_join(families, families.groupBy("root").agg(blocks.alias("blocks")), "root", "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return plain, texts, families
+
+
+def blocks_of(which: Column) -> Column:
+    """Blocks that the texts of a group for which ``which`` holds are cut into."""
+    return F.greatest(F.ceil(F.count_if(which) / BLOCK), F.ceil(F.sum(F.when(which, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+
+
+def dealt_into(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+
+def in_blocks(families: DataFrame) -> DataFrame:
+    """Families with their number of blocks and each text's block."""
+    return salted_join(families, families.groupBy("root").agg(blocks_of(F.lit(True)).alias("blocks")), "root", "node").withColumn("block", dealt_into("blocks"))
+
+
+def decided(plain: DataFrame, family: DataFrame, partners: Column, words: int, similarity: float, apart: bool) -> DataFrame:
+    """(digest, hub, links): for each text and each pair of blocks in which it has a link, a text it is joined to and its links.
+
+    ``partners`` are the blocks that a text's own block is paired with.  Pairs
+    of blocks are dealt to tasks in turn, so no family is held in one task.
+    With ``apart`` a pair of different blocks tells only of links between the
+    two, so that each link is counted once; without, of links inside them too.
+    """
     # One row for each text of a family: repeated rows collapse on the way to the join, by the key of the join.
-    inside = KeyFilter(families.select(F.xxhash64("node").alias("key")))
+    inside = KeyFilter(family.select(F.xxhash64("node").alias("key")))
     wanted = plain.where(inside.may_hold(F.xxhash64("digest"))).withColumn("key", as_key("id")).groupBy("key", "digest").agg(F.first("text").alias("text"))
-    members = wanted.join(family.select(as_key("first_id").alias("key"), F.col("node").alias("digest"), "root", "copies", "blocks", "block"), ["key", "digest"])
+    members = wanted.join(family.select(as_key("first_id").alias("key"), F.col("node").alias("digest"), "root", "copies", "blocks", "block", partners.alias("partners")), ["key", "digest"])
     low, high, n = F.col("low"), F.col("high"), F.col("blocks")
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_turn = F.pmod(F.xxhash64("root") + low * n - (low * (low - 1) / 2).cast("long") + high - low, F.lit(tasks)).cast("int")
     pairs = members.select(
         "root",
@@ -225,7 +231,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
         "blocks",
         "block",
         "text",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).cast("long").alias("low"), F.greatest(k, F.col("block")).cast("long").alias("high")))).alias("pair"),
+        F.explode(F.transform("partners", lambda k: F.struct(F.least(k, F.col("block")).cast("long").alias("low"), F.greatest(k, F.col("block")).cast("long").alias("high")))).alias("pair"),
     ).select("root", "pair.low", "pair.high", "digest", "copies", "blocks", "block", "text")
     pairs = pairs.select("root", "low", "high", "digest", "copies", "block", "text", in_turn.alias("task"))
 
@@ -248,7 +254,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
     def decide(key: tuple, held: dict[str, list]) -> Iterator[pa.RecordBatch]:
         links = link_matrix(shingle_sets([t.encode() for t in held["text"]], words), similarity)
         block, copies = np.array(held["block"]), np.array(held["copies"], np.int64)
-        if key[1] != key[2]:  # inside a block, pairs are counted by the task of that block alone
+        if apart and key[1] != key[2]:  # inside a block, pairs are counted by the task of that block alone
             links &= block[:, None] != block[None, :]
         some = np.flatnonzero(links.any(axis=1))
         if len(some):
@@ -259,15 +265,74 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMIL
             )
 
     dealt = pairs.repartitionById(tasks, F.col("task")).sortWithinPartitions("root", "low", "high")
-    found = checkpointed(dealt.mapInArrow(verify, "digest binary, hub binary, links bigint"))
-    linked = components(found.select(F.col("digest").alias("node"), "hub"))
-    counts = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    near = linked.select(F.col("node").alias("digest"), "root").join(counts, "digest")
+    return checkpointed(dealt.mapInArrow(verify, "digest binary, hub binary, links bigint"))
+
+
+def joined_by(found: DataFrame) -> DataFrame:
+    """(digest, root) of the texts that links join."""
+    return components(found.select(F.col("digest").alias("node"), "hub")).select(F.col("node").alias("digest"), "root")
+
+
+def jaccard_links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links of each distinct text: (digest, class_id, n_links, first_id, root).
+
+    Texts are one class of copies by digest.  MinHash bands (their number
+    follows from ``recall`` at ``similarity``) are shuffled as counts of each
+    band's texts; texts that share a band, directly or through others, form a
+    family, and only families see their texts again (a filter of fixed size
+    keeps the others from the shuffle): every pair inside one is decided on
+    the full n-gram sets.  Families of more than a block are cut into blocks,
+    every pair of blocks is decided by itself, and the pairs are dealt to tasks
+    in turn, so no family is ever held in one task and what leaves a task is a
+    count and a root for each text, never the pairs.
+
+    ``class_id`` is the least id of all texts linked directly or through
+    others, ``root`` the digest that stands for that class (ids may be null or
+    repeated, so class_id does not); ``n_links`` is the number of other
+    documents at ``similarity`` or more, copies included; ``first_id`` is the
+    least id of the text's own copies.  Texts without a word link to their
+    copies only.  Null texts count as empty, null ids are passed over unless a
+    class has no other.  Repeated rows are copies; an empty table has no
+    links; a very long text is a block of its own.
+    """
+    plain, texts, families = candidate_families(docs, words, similarity, recall, rows, id_col, text_col)
+    found = decided(plain, in_blocks(families), F.sequence(F.lit(0), F.col("blocks") - 1), words, similarity, apart=True)
+    near = joined_by(found).join(found.groupBy("digest").agg(F.sum("links").alias("links")), "digest")
     table = checkpointed(texts.select("digest", "first_id", "copies").join(near, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
     least = table.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("texts"))
     return salted_join(table, least, "root", "digest", many=F.col("texts")).select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "first_id", "root")
 
 
+def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The classes of ``jaccard_links`` without its counts: (digest, first_id, root, alone) of each distinct text.
+
+    Which texts are joined can be told without deciding every pair.  A family's
+    blocks are first paired with its block 0 alone, which is linear in the
+    family; of the texts so joined the most numerous class needs no pairs
+    inside it any more.  What is left of the family is then compared with all
+    of it, so no link is lost.  Where a family has a core of near copies, as a
+    page's many versions have, little is left; where it has none, the work is
+    that of ``jaccard_links``.  ``alone`` texts have neither copy nor link.
+    """
+    plain, texts, families = candidate_families(docs, words, similarity, recall, rows, id_col, text_col)
+    family = checkpointed(in_blocks(families))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    found = decided(plain, family, F.when(F.col("block") == 0, every).otherwise(F.array(F.lit(0))), words, similarity, apart=False)
+    parts = joined_by(found).select(F.col("digest").alias("node"), F.col("root").alias("part"))
+    large = checkpointed(family.where("blocks > 1").drop("blocks", "block").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    core = large.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "part"))["part"].alias("core"), F.count(F.lit(1)).alias("parts"))
+    left = checkpointed(salted_join(large, core.where("parts > 1"), "root", "node").withColumn("rest", F.col("part") != F.col("core")).drop("part", "core", "parts"))
+    if left.limit(1).count():
+        # Blocks of the rest come first: they are paired with all blocks, those of the core with them.
+        cut = left.groupBy("root").agg(blocks_of(F.col("rest")).alias("rests"), blocks_of(~F.col("rest")).alias("cores"))
+        left = salted_join(left, cut, "root", "node").withColumn("blocks", F.col("rests") + F.col("cores")).withColumn("block", F.when(F.col("rest"), dealt_into("rests")).otherwise(F.col("rests") + dealt_into("cores")))
+        found = found.unionByName(decided(plain, left, F.when(F.col("rest"), every).otherwise(F.sequence(F.lit(0), F.col("rests") - 1)), words, similarity, apart=False))
+        parts = joined_by(found).select(F.col("digest").alias("node"), F.col("root").alias("part"))
+    near = parts.select(F.col("node").alias("digest"), F.col("part").alias("root"))
+    linked = texts.select("digest", "first_id", "copies").join(near, "digest", "left")
+    return linked.select("digest", "first_id", F.coalesce("root", "digest").alias("root"), (F.col("root").isNull() & (F.col("copies") == 1)).alias("alone"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row for each row of ``docs``: id, ``class_id``, ``n_links`` and ``copy_of`` (least id of the equal texts); cases as in ``jaccard_links``."""
     links = checkpointed(jaccard_links(docs, id_col=id_col, text_col=text_col, **settings))
@@ -283,8 +348,8 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with equal id and text the one whose other columns come first as JSON
     stays.  A null id comes after all others.  An empty table stays empty.
     """
-    links = checkpointed(jaccard_links(docs, id_col=id_col, text_col=text_col, **settings))
-    linked = KeyFilter(links.where(F.col("n_links") > 0).select(F.xxhash64("digest").alias("key")))
+    links = checkpointed(near_classes(docs, id_col=id_col, text_col=text_col, **settings))
+    linked = KeyFilter(links.where(~F.col("alone")).select(F.xxhash64("digest").alias("key")))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest_of(text_col).alias("digest"))
     rows = rows.withColumn("may", linked.may_hold(F.xxhash64("digest")))
     first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest"))

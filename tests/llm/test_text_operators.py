@@ -697,6 +697,45 @@ def test_join_against_brute_force(docs, empty, spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c, _ in want})
 
 
+def drifting(rng, n, words=120):
+    """Texts of which each is near the one before and the one after, and no other."""
+    w = [f"d{rng.randrange(10**6)}" for _ in range(words)]
+    for k in range(n):
+        yield " ".join(w)
+        for j in (0, 1):
+            w[(20 * k + 10 * j) % words] = f"e{rng.randrange(10**6)}"
+
+
+def test_classes_without_counts_lose_no_link(docs, empty, spark, monkeypatch):
+    rng = random.Random(51)
+    chain = list(drifting(rng, 40))
+    around = chain[0].split()  # a core of many near copies, from which a chain leads away
+    core = [" ".join([*around[:k], f"c{k}", *around[k + 1 :]]) for k in range(120)]
+    texts = [*chain, *core, *core[:9], *drifting(rng, 30), *near_family(rng, 30), *[prose(rng, 60) for _ in range(20)], "one two", "one two", "", None]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = {i: c for i, c, _ in plain_classes(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    paired = []
+    decide = minhash.decided
+    monkeypatch.setattr(minhash, "decided", lambda *args, **named: paired.append(args[1]) or decide(*args, **named))
+    for block, size in ((1024, 1 << 30), (8, 1 << 30), (1024, 1 << 13)):  # whole families, then blocks by texts and by bytes
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+        paired.clear()
+        classes = minhash.near_classes(df).collect()
+        assert len(paired) == (1 if block == 1024 and size == 1 << 30 else 2)  # what is left is compared with all where there are blocks
+        roots = {}
+        for r in classes:
+            roots[r["root"]] = min(r["first_id"], roots.get(r["root"], r["first_id"]))
+        assert {r["first_id"]: roots[r["root"]] for r in classes} == {r["first_id"]: want[r["first_id"]] for r in classes}
+        alone = Counter(want.values())
+        assert {r["first_id"] for r in classes if r["alone"]} == {i for i, c in want.items() if alone[c] == 1}
+        assert sorted(r["doc_id"] for r in minhash.without_near_copies(df).collect()) == sorted(set(want.values()))
+    assert minhash.near_classes(empty).collect() == []
+    assert minhash.near_classes(docs).count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
 def test_pairs_at_exactly_the_threshold_are_linked(spark):
     for c in range(4, 4001, 4):  # c of c + c / 4 distinct shingles are 0.8; one more shingle is less
         a = np.arange(c, dtype=np.uint64)
