@@ -8,6 +8,8 @@ from lattica.operators import distribution as dist
 from lattica.operators import join as joins
 from lattica.operators import rows
 from lattica.operators import sql as gate
+from lattica.operators.sql import collect_within
+from lattica.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -178,3 +180,17 @@ def test_medians_are_exact(spark):
         assert got[k]["m"] == (pytest.approx(statistics.median(values)) if values else None) and got[k]["d"] == len(set(values))
     assert agg.groups_of(df, [{"column": "v", "function": "median"}]).first()[0] == pytest.approx(statistics.median(v for *_, v in rows if v is not None))
     assert agg.groups_of(df.limit(0), [{"column": "v", "function": "median"}]).first()[0] is None
+
+
+def test_theta_join_counts_pairs_without_forming_them(spark, tmp_path):
+    """40,000 parts of one brand and type make 800 million pairs; nulls and lone parts make none, and the gate still runs the join as written."""
+    many = [(i, "Brand#1", "A", i % 20_000) for i in range(40_000)]
+    odd = [(1, "Brand#2", "A", 5), (2, "Brand#2", "A", None), (3, None, "A", 6), (4, None, "A", 7), (5, "Brand#3", None, 1), (6, "Brand#3", None, 2), (7, "Brand#4", "A", 3), (8, "Brand#4", "A", 3), (9, "Brand#5", "B", -2), (10, "Brand#5", "B", 2**30), (11, "Brand#5", "B", 0), (12, "Brand#5", "C", 9)]
+    spark.createDataFrame(many + odd, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = catalog.queries()["sql_theta_join"](spark, str(tmp_path))
+    n = 20_000
+    got = {r["p_brand"]: (r["pairs"], r["steps"]) for r in collect_within(df, 10)}
+    assert got == {"Brand#1": (4 * n * (n - 1) // 2, 4 * (n - 1) * n * (n + 1) // 6), "Brand#5": (3, 2 + 2**30 + 2**30 + 2)}
+    few = spark.createDataFrame(odd, "p_partkey long, p_brand string, p_type string, p_size int")
+    joined = gate.run_sql(spark, catalog.oracle_sql()["sql_theta_join"], {"part": few})
+    assert [tuple(r) for r in joined.collect()] == [("Brand#5", 3, 2 + 2**30 + 2**30 + 2)]
