@@ -89,7 +89,7 @@ _SEEDED = " ".join(f"WHEN {n} THEN {random.Random(7).sample(range(1, n + 1), 20)
 
 @query(f"WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) AS _row_id, c_custkey FROM customer) SELECT * FROM c WHERE _row_id IN (SELECT unnest(CASE (SELECT count(*) FROM customer) {_SEEDED} END))")
 def sample_random_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.sample_rows(rows.with_row_ids(table(spark, sf_dir, "customer")), 20, "random", "_row_id", ["_row_id", "c_custkey"], seed=7)
+    return rows.sample_rows(rows.with_row_ids(table(spark, sf_dir, "customer").orderBy("c_custkey")), 20, "random", "_row_id", ["_row_id", "c_custkey"], seed=7)
 
 
 _ALL = [

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,14 @@ def test_theta_join_counts_pairs_without_forming_them(spark, tmp_path):
     few = spark.createDataFrame(odd, "p_partkey long, p_brand string, p_type string, p_size int")
     joined = gate.run_sql(spark, catalog.oracle_sql()["sql_theta_join"], {"part": few})
     assert [tuple(r) for r in joined.collect()] == [("Brand#5", 3, 2 + 2**30 + 2**30 + 2)]
+
+
+def test_seeded_sample_numbers_rows_by_key(spark, tmp_path):
+    """150 customers in files of falling keys: the rows of the query's SQL, which numbers them by key."""
+    for k in range(3):
+        spark.range(101 - 50 * k, 151 - 50 * k, 1, 1).withColumnRenamed("id", "c_custkey").orderBy(F.desc("c_custkey")).write.mode("append").parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.queries()["sample_random_seeded"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["sample_random_seeded"]).fetchall()
+    assert len(want) == 20 and sorted(map(tuple, got.collect())) == sorted(want)
