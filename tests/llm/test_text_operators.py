@@ -887,6 +887,53 @@ def test_scores_against_a_plain_tree(spark, monkeypatch, least, most, part, trav
         assert r["score"] == pytest.approx(score(texts[r["doc_id"]]), rel=1e-5, abs=1e-4), texts[r["doc_id"]]
 
 
+@pytest.mark.parametrize(("least", "most", "part", "travelling"), [(2, 1 << 16, 1 << 20, 1 << 20), (2, 40, 1 << 20, 0), (2, 40, 1 << 20, 40), (5, 150, 64, 1 << 20), (2, 0, 1 << 20, 40)])
+def test_whole_tree_does_not_depend_on_what_the_core_holds(spark, monkeypatch, least, most, part, travelling):
+    """Contexts of every depth, retained as by one plain tree, whatever the core has room for and whatever travels."""
+    rng = random.Random(71)
+    texts = [prose(rng, rng.randrange(0, 60), ["abab", "bca", "é", "a", "cabb", "zz"]) for _ in range(120)] + [None, "", "abab" * 50, "new wörds only"]
+    for name, value in (("TRAVELLING", travelling), ("LEAST", least), ("CORE", most), ("BATCH_BYTES", part), ("FAMILY_ROWS", 7)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 7 != 2], "doc_id long, text string")
+    model = suffix_tree.learn(train, whole=True)
+    score, _, kept = plain_tree([t for i, t in enumerate(texts) if i % 7 != 2], least, least)
+    near = set() if model.near is None else set(model.near.context.tolist())
+    beyond = {r["key"] for r in model.beyond.collect()}
+    assert not near & beyond and (travelling > 0 or not near)
+    outside = {(k & ((1 << 40) - 1)).to_bytes(k >> 40, "big") for k in near | beyond}
+    assert outside <= kept and len(outside) + model.tree.contexts == len(kept)
+    assert most > 1000 and not outside or len({len(c) for c in outside}) > 2
+    got = suffix_tree.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        assert r["score"] == pytest.approx(score(texts[r["doc_id"]]), rel=1e-5, abs=1e-4), texts[r["doc_id"]]
+
+
+def test_whole_tree_has_words_as_contexts_whatever_travels(spark, monkeypatch):
+    """The words that are contexts follow from their occurrences, not from how many words or followers travel."""
+    rng = random.Random(72)
+    once = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(3, 6))) for _ in range(30)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*once, *once[:15], "aaa bbb aaa bbb aaa ccc", None])), "doc_id long, text string")
+    found = []
+    for frequent, core, travelling in ((1 << 19, 1 << 16, 1 << 21), (0, 40, 0), (50, 40, 100)):
+        for name, value in (("FREQUENT", frequent), ("CORE", core), ("TRAVELLING", travelling)):
+            monkeypatch.setattr(suffix_tree, name, value)
+        model = suffix_tree.learn(df, whole=True)
+        assert (model.beyond_filter is None) == (core > 1000)
+        assert [tuple(r)[1:] for r in suffix_tree.score(df.where("text is null"), model).collect()] == [pytest.approx(tuple(r)[1:]) for r in suffix_tree.score(df, model).where("doc_id = 76").collect()]
+        found.append(({tuple(r) for r in model.pairs.collect()}, {r["doc_id"]: tuple(r)[1:] for r in suffix_tree.score(df, model).collect()}))
+    assert len(found[0][0]) > 50 and found[0][0] == found[1][0] == found[2][0]
+    for k, row in found[0][1].items():
+        assert row == pytest.approx(found[1][1][k], rel=1e-6) and row == pytest.approx(found[2][1][k], rel=1e-6)
+
+
+def test_op10_does_not_depend_on_what_the_core_holds(spark, monkeypatch):
+    want = {r["doc_id"]: r for r in queries.op10_suffix_tree(spark, SF).collect()}
+    monkeypatch.setattr(suffix_tree, "CORE", 300)
+    monkeypatch.setattr(suffix_tree, "FREQUENT", 50)
+    for r in queries.op10_suffix_tree(spark, SF).collect():
+        assert tuple(r) == pytest.approx(tuple(want[r["doc_id"]]), rel=1e-5)
+
+
 def plain_contexts(train):
     out = Counter()
     for t in train:
