@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, release, ship, slices
+from .common import pieces, release, ship, slice_by_slice, slices
 from .words import mix
 
 DIMENSIONS = 1024
@@ -182,6 +182,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
                     sums[name] = sums.get(name, 0) + row
                 if len(sums) > MOST_LANGUAGES:
                     raise ValueError(f"more than {MOST_LANGUAGES} languages")
+            batch = some = texts = None
         release()
         for name, row in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(row)], ["lang", "place", "value"])
@@ -238,12 +239,10 @@ def with_language(docs: DataFrame, profiles: Profiles, into: str, text_col: str
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            names, scores = [], []
-            for _, some in slices(texts):
-                for all_of, new in zip((names, scores), predict([t or "" for t in some.to_pylist()], shared.value), strict=True):
-                    all_of += new
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(RESULT))
-            release()
+        def predicted(some: pa.Array) -> pa.Array:
+            names, scores = predict([t or "" for t in some.to_pylist()], shared.value)
+            return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(RESULT))
+
+        return slice_by_slice(batches, predicted)
 
     return docs.withColumn(into, identify.asNondeterministic()(F.col(text_col)))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, KeyFilter, checkpointed, pieces, release, ship, slices
+from .common import SLICE_BYTES, KeyFilter, checkpointed, pieces, release, ship, slice_by_slice
 from .words import hashed, mix, windows
 
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9995, 6
@@ -178,10 +178,7 @@ def candidate_families(docs: DataFrame, words: int, similarity: float, recall: f
 
     @F.arrow_udf("array<bigint>")
     def signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [pa.array(band_hashes(shingle_sets([t.encode() for t in some.to_pylist()], words), bands, rows), pa.list_(pa.int64())) for _, some in slices(texts)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
-            release()
+        return slice_by_slice(batches, lambda some: pa.array(band_hashes(shingle_sets([t.encode() for t in some.to_pylist()], words), bands, rows), pa.list_(pa.int64())))
 
     # Equal texts have equal bands, so copies collapse before the shuffle.
     texts = checkpointed(

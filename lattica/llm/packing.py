@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks, read_vocabulary
-from .common import checkpointed, release, ship, slices
+from .common import checkpointed, ship, slice_by_slice
 
 CAPACITY = 2048
 #: Items of one island's problem, islands for each problem, and rounds between migrations.
@@ -175,13 +175,12 @@ def cut_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int,
     @F.arrow_udf(_PIECES)
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder(vocabulary, pattern, added=True)
-        for texts in batches:
-            rows = []
-            for t in (t for _, some in slices(texts) for t in some.to_pylist()):
-                ids = encode(t) if t else np.empty(0, np.uint32)
-                rows.append(cut(np.append(ids, np.uint32(end_id)).astype("<u4", copy=False), capacity))
-            yield pa.array(rows, _ARROW)
-            release()
+
+        def cut_all(some: pa.Array) -> pa.Array:
+            ids = (encode(t) if t else np.empty(0, np.uint32) for t in some.to_pylist())
+            return pa.array([cut(np.append(x, np.uint32(end_id)).astype("<u4", copy=False), capacity) for x in ids], _ARROW)
+
+        return slice_by_slice(batches, cut_all)
 
     cuts = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("pieces"))
     return cuts.select("id", F.inline("pieces")).withColumn("uid", F.monotonically_increasing_id())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, ship, slices
+from .common import release, ship, slice_by_slice, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -374,6 +374,7 @@ def learn(docs: DataFrame, text_col: str = "text", hide: float = 0.0) -> Weights
                     dropped: list = []
                     spans = base_spans(text, dropped)
                     found.update(examples(graph(text, spans, dropped, [s for s in spans if hidden(text, s, hide)])))
+            batch = text = None
         release()
         keys = list(found)
         yield pa.RecordBatch.from_arrays(
@@ -472,12 +473,11 @@ def masked(text: Column, weights: Weights) -> Column:
     @F.arrow_udf("string")
     def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, np.ndarray] = {}
-        for texts in batches:
-            done = [pa.array([], pa.string())]
-            for _, some in slices(texts):
-                plain = some.to_pylist()
-                done.append(pa.array([cover(t, s) for t, s in zip(plain, find([t or "" for t in plain], weights, known), strict=True)], pa.string()))
-            yield pa.concat_arrays(done)
-            release()
+
+        def covered(some: pa.Array) -> pa.Array:
+            plain = some.to_pylist()
+            return pa.array([cover(t, s) for t, s in zip(plain, find([t or "" for t in plain], weights, known), strict=True)], pa.string())
+
+        return slice_by_slice(batches, covered)
 
     return mask(text)

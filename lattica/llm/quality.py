@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, ship, slices
+from .common import ship, slice_by_slice
 from .words import WHITE, hashed, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -120,9 +120,7 @@ def with_quality(docs: DataFrame, into: str, text_col: str = "text") -> DataFram
     @F.arrow_udf(SCHEMA)
     def verdicts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL)
-        for texts in batches:
-            yield pa.array([x for _, some in slices(texts) for x in measure(some.to_pylist(), squeeze)], RESULT)
-            release()
+        return slice_by_slice(batches, lambda some: pa.array(measure(some.to_pylist(), squeeze), RESULT))
 
     # Named nondeterministic so that a filter on the verdict does not evaluate it a second time.
     return docs.withColumn(into, verdicts.asNondeterministic()(F.col(text_col)))

@@ -1,5 +1,6 @@
 """The text operators against plain versions of themselves, on small hostile tables."""
 
+import gc
 import hashlib
 import itertools
 import math
@@ -15,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 import zstandard
 from pyspark.sql import functions as F
@@ -1160,3 +1162,25 @@ def test_digests_are_of_real_outputs(spark):
     for r in queries.op3_bpe(spark, SF).limit(20).collect():
         ids = np.array(enc.encode_ordinary(texts[r["doc_id"]]), "<u4").tobytes()
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+
+
+def test_masked_texts_leave_a_batch_slice_by_slice(monkeypatch):
+    made = []
+    monkeypatch.setattr(pii.F, "arrow_udf", lambda kind: lambda f: made.append(f) or f)
+    pii.masked(None, pii.fit_weights({}))
+    texts = [f"{'word ' * 400} a{k}@b.co" for k in range(2000)] + [None, ""]
+    gc.collect()
+    before = pa.total_allocated_bytes()
+
+    def batches():
+        yield pa.array(texts, pa.string())
+        yield pa.array([], pa.string())
+
+    done, most = [], 0
+    for some in made[0](batches()):
+        most = max(most, some.nbytes)
+        done += some.to_pylist()
+    del some
+    assert done == [t and f"{'word ' * 400} [EMAIL]" for t in texts]
+    assert most < 2 * common.SLICE_BYTES  # of some 4 MB
+    assert pa.total_allocated_bytes() == before
