@@ -36,6 +36,8 @@ POPULATION, CHILDREN, GENERATIONS, PATIENCE = 12, 8, 40, 16
 INJECTED, EMPTIEST, ANY = (0.2, 0.7), 0.03, 0.1
 #: Bins filled less than this are opened again and packed together with those of other groups.
 WELL_FILLED = 0.97
+#: Rows for each file that is written, at least: on a plain file system the JVM starts a process for each folder, file and checksum.
+FILE_ROWS = 1 << 14
 
 
 @dataclass
@@ -223,6 +225,11 @@ def island_round(capacity: int, level: int, epoch: int) -> Callable[[pd.DataFram
     return island
 
 
+def in_files(df: DataFrame, n_rows: int) -> DataFrame:
+    """``df`` in no more partitions than FILE_ROWS asks for, to however many its shuffles deal it."""
+    return df.coalesce(max(1, -(-n_rows // FILE_ROWS)))
+
+
 def pack_level(items: DataFrame, n_items: int, level: int, capacity: int) -> DataFrame:
     """Packs items of (uid, length) in groups of about GROUP, each by ISLANDS islands over EPOCHS rounds; the better island's bins stay."""
     groups = max(1, -(-n_items // GROUP))
@@ -241,7 +248,7 @@ def pack_level(items: DataFrame, n_items: int, level: int, capacity: int) -> Dat
         solved = rows.groupBy("group", "island").applyInPandas(island_round(capacity, level, epoch), _SOLVED)
         # Each island keeps its elite (role 0) and gets its neighbour's (role 1).
         rows = solved.select("uid", "length", "group", "bin", "first_bins", "crossovers", F.inline(F.array(F.struct(F.col("island"), F.lit(0).alias("role")), F.struct(F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.lit(1).alias("role")))))
-    solved = checkpointed(solved)
+    solved = checkpointed(in_files(solved, n_items * ISLANDS))
     best = solved.groupBy("group").agg(F.min(F.struct("n_bins", "cost", "island", "first_bins", "crossovers")).alias("best"))
     winner = best.select("group", "best.island", "best.first_bins", F.col("best.n_bins").alias("group_bins"), "best.crossovers")
     return solved.drop("first_bins", "crossovers").join(winner, ["group", "island"]).select("uid", "length", "group", "bin", "offset", "fill", *REPORT)
@@ -270,10 +277,10 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACIT
     cuts = checkpointed(cut_documents(docs, vocabulary, pattern, capacity, end_id, id_col, text_col))
     full = cuts.where(F.col("length") == capacity).select("uid", (F.col("uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *[F.lit(None).cast("long").alias(c) for c in REPORT])
     left = cuts.where(F.col("length") < capacity).select("uid", "length")
-    n = left.count()
+    n_pieces, n = cuts.agg(F.count("*"), F.count_if(F.col("length") < capacity)).first()
     places, level, base = [full], 0, 0
     while n:
-        solved = checkpointed(pack_level(left, n, level, capacity))
+        solved = checkpointed(in_files(pack_level(left, n, level, capacity), n))
         groups = max(1, -(-n // GROUP))
         loose = (F.col("fill") < WELL_FILLED * capacity) if groups > 1 else F.lit(False)
         n_left = solved.where(loose).count() if groups > 1 else 0
@@ -283,4 +290,5 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACIT
         places.append(solved.where(~loose).select("uid", (number * 2 + 1).alias("sequence_id"), "offset", *REPORT))
         left, base = solved.where(loose).select("uid", "length"), base + groups * GROUP * 4
         n, level = n_left, level + 1
-    return cuts.join(functools.reduce(DataFrame.unionByName, places), "uid").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *REPORT)
+    placed = cuts.join(functools.reduce(DataFrame.unionByName, places), "uid").select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *REPORT)
+    return in_files(placed, n_pieces)

@@ -640,6 +640,24 @@ def test_packings_of_the_tables_come_through_crossover(spark):
     assert all(r["group_bins"] <= math.ceil(1.003 * r["n"] / packing.CAPACITY) for r in rows)
 
 
+def test_packing_writes_few_files_whatever_the_shuffle_partitions(spark, monkeypatch, tmp_path):
+    tables, write = [], packing.checkpointed
+    monkeypatch.setattr(packing, "checkpointed", lambda df: tables.append(write(df)) or tables[-1])
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 20 + 37 * i % 400)) for i in range(5000)], "doc_id long, text string").coalesce(1)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert len(rows.inputFiles()) == 1 and len(tables) > 2 and all(len(t.inputFiles()) == 1 for t in tables)
+    packed_ok(rows.collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
 # n-gram join
 
 
